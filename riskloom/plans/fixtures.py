@@ -26,6 +26,16 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def tick(c: Column) -> Column:
+    """Price in millionths. The odd offset keeps exact halves out of the rounding decision, which
+    would otherwise depend on the order of a floating-point sum."""
+    return F.floor(c * 1e6 + 0.637) / 1e6
+
+
+def sql_tick(e: str) -> str:
+    return f"(floor(({e}) * 1e6 + 0.637) / 1e6)"
+
+
 def brand(n: Column) -> Column:
     return F.concat(F.lit("Brand#"), (1 + n % 25).cast("string"))
 
@@ -45,10 +55,10 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
         items.join(parts, items.l_partkey == parts.p_partkey)
         .groupBy("Symbol", "Date")
         .agg(
-            rnd((F.max("p") + F.min("p")) / 2).alias("Open"),
-            rnd(F.max("p")).alias("High"),
-            rnd(F.min("p")).alias("Low"),
-            rnd(F.avg("p")).alias("Close"),
+            tick((F.max("p") + F.min("p")) / 2).alias("Open"),
+            tick(F.max("p")).alias("High"),
+            tick(F.min("p")).alias("Low"),
+            tick(F.avg("p")).alias("Close"),
             F.sum("q").alias("Volume"),
         )
     )
@@ -71,7 +81,7 @@ def event_bars(spark: SparkSession, d: str, unit: str = "day") -> DataFrame:
 def nation_panel(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("Date"), "o_totalprice")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("Symbol"))
-    return o.join(c, o.o_custkey == c.c_custkey).groupBy("Symbol", "Date").agg(rnd(F.avg("o_totalprice")).alias("Close"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("Symbol", "Date").agg(tick(F.avg("o_totalprice")).alias("Close"))
 
 
 def gappy_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +107,7 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         "doc_id",
         brand(n).alias("Symbol"),
-        spread_day(n, 37).alias("published_date"),
+        spread_day(F.floor(n / 75), 37).alias("published_date"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.split_part("text", F.lit("\n"), F.lit(2)).alias("description"),
         F.col("text").alias("content"),
@@ -112,7 +122,7 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(
         "page_id",
         brand(n).alias("Symbol"),
-        spread_day(n, 91).alias("filing_date"),
+        spread_day(F.floor(n / 50), 91).alias("filing_date"),
         F.when(n % 4 == 0, "10-K").otherwise("10-Q").alias("form_type"),
         "url",
         "html",
@@ -121,7 +131,7 @@ def filings(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("vec_id")
-    return table(spark, d, "embeddings").select("vec_id", brand(n).alias("Symbol"), spread_day(n, 5).alias("Date"), "embedding", "label")
+    return table(spark, d, "embeddings").select("vec_id", brand(n).alias("Symbol"), spread_day(F.floor(n / 50), 5).alias("Date"), "embedding", "label")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +212,11 @@ def sql_clip(e: str, lo: float, hi: float) -> str:
 _AHEAD5 = win("1 FOLLOWING", "5 FOLLOWING")
 
 CTES: dict[str, str] = {
-    "panel": """SELECT p_brand AS Symbol, CAST(l_shipdate AS DATE) AS Date,
-      round((max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2, 6) AS Open,
-      round(max(l_extendedprice / l_quantity), 6) AS High, round(min(l_extendedprice / l_quantity), 6) AS Low,
-      round(avg(l_extendedprice / l_quantity), 6) AS Close, sum(l_quantity) AS Volume
-      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    "panel": f"""SELECT Symbol, Date, {sql_tick('(hi + lo) / 2')} AS Open, {sql_tick('hi')} AS High, {sql_tick('lo')} AS Low, {sql_tick('mean')} AS Close, Volume
+      FROM (SELECT p_brand AS Symbol, CAST(l_shipdate AS DATE) AS Date, max(l_extendedprice / l_quantity) AS hi, min(l_extendedprice / l_quantity) AS lo,
+      avg(l_extendedprice / l_quantity) AS mean, sum(l_quantity) AS Volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
     "ret": f"SELECT *, {change('Close')} AS Returns FROM panel",
-    "nations": """SELECT CAST(c_nationkey AS VARCHAR) AS Symbol, CAST(o_orderdate AS DATE) AS Date, round(avg(o_totalprice), 6) AS Close
+    "nations": f"""SELECT CAST(c_nationkey AS VARCHAR) AS Symbol, CAST(o_orderdate AS DATE) AS Date, {sql_tick('avg(o_totalprice)')} AS Close
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "gappy": """SELECT Symbol, Date, Open, High, Low,
       CASE WHEN (dayofyear(Date) + CAST(split_part(Symbol, '#', 2) AS INTEGER)) % 7 <> 0 THEN Close END AS Close,
@@ -216,14 +224,14 @@ CTES: dict[str, str] = {
     "fund": """SELECT p_brand AS Symbol, round(avg(p_size), 6) AS PE_Ratio,
       round(stddev_samp(p_retailprice) / avg(p_retailprice), 6) AS Beta, round(sum(p_retailprice), 2) AS Market_Cap FROM part GROUP BY 1""",
     "news": f"""SELECT doc_id, 'Brand#' || (1 + doc_id % 25) AS Symbol,
-      CAST(DATE '{EPOCH_DAY}' + CAST((doc_id * 37) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS published_date,
+      CAST(DATE '{EPOCH_DAY}' + CAST((doc_id // 75 * 37) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS published_date,
       split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS description, text AS content,
       'doc/' || doc_id AS url, source AS api_source, lang FROM documents""",
     "filings": f"""SELECT page_id, 'Brand#' || (1 + page_id % 25) AS Symbol,
-      CAST(DATE '{EPOCH_DAY}' + CAST((page_id * 91) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS filing_date,
+      CAST(DATE '{EPOCH_DAY}' + CAST((page_id // 50 * 91) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS filing_date,
       CASE WHEN page_id % 4 = 0 THEN '10-K' ELSE '10-Q' END AS form_type, url, html FROM pages""",
     "vectors": f"""SELECT vec_id, 'Brand#' || (1 + vec_id % 25) AS Symbol,
-      CAST(DATE '{EPOCH_DAY}' + CAST((vec_id * 5) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS Date, embedding, label FROM embeddings""",
+      CAST(DATE '{EPOCH_DAY}' + CAST((vec_id // 50 * 5) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS Date, embedding, label FROM embeddings""",
     "fut": f"""SELECT *, {full('avg(Returns)', 'Returns', 5, _AHEAD5)} AS Future_Return,
       {full('stddev_samp(Returns)', 'Returns', 5, _AHEAD5)} AS Future_Volatility FROM ret""",
     "labelled": f"""SELECT *, CASE WHEN Future_Volatility > 0.02 OR Future_Return < -0.05 THEN 1 ELSE 0 END AS Risk_Label,
@@ -260,3 +268,65 @@ def sql(body: str, *needs: str, **ctes: str) -> str:
         add(n)
     parts = [f"{n} AS ({CTES[n]})" for n in ordered] + [f"{n} AS ({q})" for n, q in ctes.items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
+
+
+# Frequent word starts of the given texts, which the default stems do not occur in.
+CORPUS_POSITIVE = "the tio que men ein ene ono sch ane thin mente orant".split()
+CORPUS_NEGATIVE = "tha tht ere ing one ert ths ble ero than ering onble".split()
+
+
+def scored_news(spark: SparkSession, d: str) -> DataFrame:
+    from riskloom.functions.tone import score_news
+
+    return score_news(news(spark, d), CORPUS_POSITIVE, CORPUS_NEGATIVE)
+
+
+def filing_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Filings whose two sections are the first and the rest of the page's readable text."""
+    from riskloom.functions.text import clean_text
+
+    text = clean_text(F.col("html"))
+    half = F.floor(F.length("t") / 2)
+    return (
+        filings(spark, d)
+        .withColumn("t", text)
+        .withColumns({"mda_text": F.substring("t", F.lit(1), half.cast("int")), "risk_factors_text": F.substring("t", (half + 1).cast("int"), F.length("t"))})
+        .drop("t", "html")
+    )
+
+
+def scored_filings(spark: SparkSession, d: str) -> DataFrame:
+    from riskloom.functions.tone import score_filings
+
+    return score_filings(filing_sections(spark, d), positive=CORPUS_POSITIVE, negative=CORPUS_NEGATIVE)
+
+
+def sql_compound(t: str) -> str:
+    def hits(stems: list[str]) -> str:
+        return f"len(regexp_extract_all(lower({t}), '(^|[^a-z''])({'|'.join(stems)})'))"
+
+    p, n = hits(CORPUS_POSITIVE), hits(CORPUS_NEGATIVE)
+    return f"(({p} - {n})::DOUBLE / greatest({p} + {n}, 1))"
+
+
+def sql_label(c: str) -> str:
+    return f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
+
+
+def sql_clean(t: str) -> str:
+    return (
+        f"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({t}, ''), '<[^>]+>', ' ', 'g'), "
+        f"'[^\\p{{L}}\\p{{N}}_\\s.,!?;:()\\-''\"$%]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    )
+
+
+CTES["scored"] = f"""SELECT doc_id, Symbol, published_date, title, description, api_source, lang, {sql_compound('title')} AS tc, {sql_compound('description')} AS dc,
+  {sql_compound("trim(title || ' ' || description || ' ' || content)")} AS cc,
+  len(regexp_extract_all(title, '\\S+')) AS tw, len(regexp_extract_all(description, '\\S+')) AS dw FROM news"""
+CTES["dailynews"] = """SELECT Symbol, published_date AS Date, avg(cc) AS nm, coalesce(stddev_samp(cc), 0) AS ns, count(cc) AS nc, avg(abs(cc)) AS ni,
+  avg(tw) AS ntl, avg(dw) AS ndl, avg(tc) AS nt, avg(dc) AS nd FROM scored GROUP BY 1, 2"""
+CTES["sections"] = f"""SELECT page_id, Symbol, filing_date, form_type, url, left(t, CAST(length(t) // 2 AS BIGINT)) AS mda_text,
+  substr(t, CAST(length(t) // 2 + 1 AS BIGINT)) AS risk_factors_text FROM (SELECT *, {sql_clean('html')} AS t FROM filings)"""
+CTES["secscored"] = f"""SELECT *, (m + k) / 2 AS c FROM (SELECT *, {sql_compound('mda_text')} AS m, {sql_compound('risk_factors_text')} AS k FROM sections)"""
+CTES["dailysec"] = "SELECT Symbol, filing_date AS Date, avg(m) AS sm, avg(k) AS sk, avg(c) AS sc FROM secscored GROUP BY 1, 2"
+NEEDS.update({"scored": ("news",), "dailynews": ("scored",), "sections": ("filings",), "secscored": ("sections",), "dailysec": ("secscored",)})
