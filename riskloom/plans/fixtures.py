@@ -22,8 +22,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:
+    """Rounding for results that are compared: the odd offset keeps exact halves, which averages
+    of short decimals often are, out of the decision."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)
+    return F.floor(c * 10.0**digits + 0.500137) / 10.0**digits
 
 
 def tick(c: Column) -> Column:
@@ -95,9 +97,9 @@ def fundamentals(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "part")
         .groupBy(F.col("p_brand").alias("Symbol"))
         .agg(
-            rnd(F.avg("p_size")).alias("PE_Ratio"),
-            rnd(F.stddev_samp("p_retailprice") / F.avg("p_retailprice")).alias("Beta"),
-            rnd(F.sum("p_retailprice"), 2).alias("Market_Cap"),
+            tick(F.avg("p_size")).alias("PE_Ratio"),
+            tick(F.stddev_samp("p_retailprice") / F.avg("p_retailprice")).alias("Beta"),
+            tick(F.sum("p_retailprice")).alias("Market_Cap"),
         )
     )
 
@@ -198,6 +200,10 @@ def full(agg: str, col: str, k: int, frame: str | None = None, at_least: int | N
 
 
 def r(expr: str, digits: int = 6) -> str:
+    return f"(floor(({expr}) * 1e{digits} + 0.500137) / 1e{digits})"
+
+
+def plain_round(expr: str, digits: int) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
@@ -221,8 +227,8 @@ CTES: dict[str, str] = {
     "gappy": """SELECT Symbol, Date, Open, High, Low,
       CASE WHEN (dayofyear(Date) + CAST(split_part(Symbol, '#', 2) AS INTEGER)) % 7 <> 0 THEN Close END AS Close,
       CASE WHEN (dayofyear(Date) + CAST(split_part(Symbol, '#', 2) AS INTEGER)) % 7 <> 0 THEN Volume END AS Volume FROM panel""",
-    "fund": """SELECT p_brand AS Symbol, round(avg(p_size), 6) AS PE_Ratio,
-      round(stddev_samp(p_retailprice) / avg(p_retailprice), 6) AS Beta, round(sum(p_retailprice), 2) AS Market_Cap FROM part GROUP BY 1""",
+    "fund": f"""SELECT p_brand AS Symbol, {sql_tick('avg(p_size)')} AS PE_Ratio,
+      {sql_tick('stddev_samp(p_retailprice) / avg(p_retailprice)')} AS Beta, {sql_tick('sum(p_retailprice)')} AS Market_Cap FROM part GROUP BY 1""",
     "news": f"""SELECT doc_id, 'Brand#' || (1 + doc_id % 25) AS Symbol,
       CAST(DATE '{EPOCH_DAY}' + CAST((doc_id // 75 * 37) % {CALENDAR_DAYS} AS INTEGER) AS DATE) AS published_date,
       split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS description, text AS content,
