@@ -73,6 +73,12 @@ class Series:
     def std(self, c: Column | str, k: int, at_least: int | None = None) -> Column:
         return self.full(k, F.stddev_samp, c, at_least=at_least)
 
+    def corr(self, a: Column | str, b: Column | str, k: int, at_least: int | None = None) -> Column:
+        """Rolling correlation; null when a side does not vary (``corr`` raises there in ANSI mode)."""
+        frame = self.last(k)
+        value = correlation(a, b, lambda e: e.over(frame))
+        return F.when(F.count(_both(a, b)[0]).over(frame) >= (at_least or k), value)
+
     def fill_forward(self, c: Column | str) -> Column:
         return F.last(_c(c), ignorenulls=True).over(self.so_far)
 
@@ -87,6 +93,23 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _both(a: Column | str, b: Column | str) -> tuple[Column, Column]:
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+
+
+def correlation(a: Column | str, b: Column | str, over: Callable[[Column], Column] = lambda e: e) -> Column:
+    """Pearson correlation of the rows where both are set; null when a side does not vary."""
+    x, y = _both(a, b)
+    return F.try_divide(over(F.covar_samp(x, y)), over(F.stddev_samp(x)) * over(F.stddev_samp(y)))
+
+
+def slope(y: Column | str, x: Column | str) -> Column:
+    """Least-squares slope; null when ``x`` does not vary."""
+    v, u = _both(y, x)
+    return F.try_divide(F.covar_pop(v, u), F.var_pop(u))
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_pos") -> DataFrame:
     """Exact 0-based row position inside each key, without giving a key to one task.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.quantiles import exact_quantiles, one_row
-from riskloom.functions.series import Series
+from riskloom.functions.series import Series, correlation, slope
 from riskloom.operators.clean import null_shares, numeric_columns
 from riskloom.operators.labels import flag
 
@@ -147,12 +147,12 @@ def recent_versus_all(df: DataFrame, label: str = "Risk_Label", n: int = 30, ord
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Correlation of every pair of columns over the rows where both are set, in one aggregation."""
     pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("corr")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[f"_{i}" for i in range(len(pairs))])))
 
 
 def label_correlations(df: DataFrame, cols: Sequence[str], label: str = "Risk_Label", top: int = 15) -> DataFrame:
-    one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.abs(F.corr(c, label)).alias("importance")).alias(f"_{i}") for i, c in enumerate(cols)])
+    one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.abs(correlation(c, label)).alias("importance")).alias(f"_{i}") for i, c in enumerate(cols)])
     out = one.select(F.inline(F.array(*[f"_{i}" for i in range(len(cols))])))
     return out.where(F.col("importance").isNotNull()).orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -168,7 +168,8 @@ def quartiles(df: DataFrame, col: str) -> DataFrame:
 
 
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return known.agg(slope(y, x).alias("slope"), (F.avg(y) - slope(y, x) * F.avg(x)).alias("intercept"))
 
 
 def monitor_summary(df: DataFrame, symbols: DataFrame, tone: str, key: str = "Symbol") -> DataFrame:

@@ -126,7 +126,7 @@ def rolling_means(df: DataFrame, cols: Sequence[str], spans: Sequence[int] = (7,
 
 
 def rolling_corr(df: DataFrame, a: str, b: str, span: int = 20, name: str = "rolling_corr", s: Series = SYMBOL_DAY) -> DataFrame:
-    return df.withColumn(name, s.full(span, F.corr, a, b))
+    return df.withColumn(name, s.corr(a, b, span))
 
 
 def tone_volatility(df: DataFrame, tone: str, span: int = 7, s: Series = SYMBOL_DAY) -> DataFrame:

@@ -101,7 +101,7 @@ def main() -> int:
         except Exception as e:
             bad += 1
             print(f"ERR  {name}: {str(e)[:900]}", flush=True)
-            if not any(k in type(e).__name__ for k in ("Analysis", "Parse", "Binder", "Catalog", "Parser")):
+            if not any(k in type(e).__name__ for k in ("Analysis", "Parse", "Binder", "Catalog", "Arithmetic", "Java")):
                 traceback.print_exc(limit=-3, file=sys.stdout)
     print("bad:", bad)
     return 1 if bad else 0
