@@ -36,7 +36,8 @@ def pair_correlations(df: DataFrame, span: int = SPAN, s: Series = SYMBOL_DAY, b
     joined per (day, block pair), so no task forms all pairs of a day.
     """
     key, date = s.keys[0], s.order[0]
-    rows = aligned_returns(df, s=s)
+    # read on both sides of the join and for the symbol count
+    rows = checkpoint(aligned_returns(checkpoint(df.select(key, date, "Returns")), s=s))
     blocks = F.greatest(F.lit(1), F.ceil(rows.select(key).distinct().agg(F.count(F.lit(1))).scalar() / block)).cast("int")
     rows = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
     other = F.sequence(F.lit(0), F.col("_n") - 1)
@@ -73,7 +74,7 @@ def eigenvector(e: DataFrame, iterations: int = 20, every: int = 5, date: str =
     links = checkpoint(e.select(date, "src", "dst", F.abs("weight").alias("w")))
     v = links.select(date, F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
     for step in range(1, iterations + 1):
-        pushed = links.join(v, (links[date] == v[date]) & (links.src == v.node)).select(links[date], F.col("dst").alias("node"), (F.col("w") * F.col("x")).alias("x"))
+        pushed = links.join(v.withColumnRenamed("node", "src"), [date, "src"]).select(date, F.col("dst").alias("node"), (F.col("w") * F.col("x")).alias("x"))
         v = pushed.unionByName(v).groupBy(date, "node").agg(F.sum("x").alias("x"))
         if step % every == 0 or step == iterations:
             norm = v.groupBy(date).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -85,8 +86,9 @@ def clustering(e: DataFrame, date: str = "Date") -> DataFrame:
     """Weighted local clustering: geometric mean of triangle weights relative to the largest weight.
 
     Edges point from the node of lower degree to the higher one, so a hub opens few wedges
-    and each triangle is found once.
+    and each triangle is found once. The edge list is read six times, so it is checkpointed.
     """
+    e = checkpoint(e.select(date, "src", "dst", "weight"))
     top = e.groupBy(date).agg(F.max(F.abs("weight")).alias("top"))
     deg = degrees(e, date).select(date, F.col("Symbol").alias("node"), "degree")
     w = e.join(top, date).select(date, "src", "dst", (F.abs("weight") / F.col("top")).alias("w"))

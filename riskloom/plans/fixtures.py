@@ -12,6 +12,7 @@ from riskloom.functions.series import SYMBOL_DAY
 from riskloom.operators import indicators as ind
 from riskloom.operators import labels as lab
 from riskloom.operators.labels import clip
+from riskloom.sources.tables import spread
 
 EPOCH_DAY = "1995-01-02"
 CALENDAR_DAYS = 2499
@@ -106,7 +107,7 @@ def fundamentals(spark: SparkSession, d: str) -> DataFrame:
 
 def news(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id",
         brand(n).alias("Symbol"),
         spread_day(F.floor(n / 75), 37).alias("published_date"),
@@ -121,7 +122,7 @@ def news(spark: SparkSession, d: str) -> DataFrame:
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("page_id")
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages")).select(
         "page_id",
         brand(n).alias("Symbol"),
         spread_day(F.floor(n / 50), 91).alias("filing_date"),

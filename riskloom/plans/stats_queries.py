@@ -11,6 +11,7 @@ from riskloom.plans.aggregate_queries import rounded
 from riskloom.plans.fixtures import W, labelled, panel_returns, predictions, r, rnd, scored_filings, scored_news, sql, text_labels, win
 from riskloom.plans.join_queries import news_panel
 from riskloom.plans.registry import query
+from riskloom.session import checkpoint
 
 KEY = ["Symbol", "Date"]
 
@@ -137,7 +138,7 @@ def correlations(spark, d):
 
 
 def snapshot_edges(spark, d):
-    p = panel_returns(spark, d)
+    p = checkpoint(panel_returns(spark, d).select(*KEY, "Returns"))
     return gr.edges(gr.pair_correlations(p).join(gr.month_ends(p), "Date", "left_semi"))
 
 

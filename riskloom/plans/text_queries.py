@@ -13,11 +13,12 @@ from riskloom.plans.fixtures import (
     sql_label, table,
 )
 from riskloom.plans.registry import query
+from riskloom.sources.tables import spread
 
 
 @query("g1_clean_text", f"SELECT doc_id, {sql_clean('text')} AS clean FROM documents")
 def g1(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+    return spread(table(spark, d, "documents")).select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
 
 
 def _sql_filing(t: str) -> str:
@@ -33,12 +34,12 @@ _MARKED = "'Form 10-K page 12 ... table of contents Item 7a. ' || html || ' ---
 @query("g2_clean_filing_text", f"SELECT page_id, {_sql_filing(_MARKED)} AS clean FROM pages")
 def g2(spark, d):
     marked = F.concat(F.lit("Form 10-K page 12 ... table of contents Item 7a. "), "html", F.lit(" --- Pursuant to Section 13"))
-    return table(spark, d, "pages").select("page_id", tx.clean_filing_text(marked).alias("clean"))
+    return spread(table(spark, d, "pages")).select("page_id", tx.clean_filing_text(marked).alias("clean"))
 
 
 @query("g3_tidy_fields", "SELECT doc_id, trim(regexp_replace(coalesce(nullif(source, 'src1'), ''), '\\s+', ' ', 'g')) AS source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
 def g3(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select("doc_id", tx.tidy(F.expr("nullif(source, 'src1')")).alias("source"), tx.tidy(F.col("text")).alias("text"))
 
 
@@ -46,7 +47,7 @@ def g3(spark, d):
     CAST(len(string_split(text, chr(10))) AS INTEGER) AS paragraphs, CAST(length(text) AS INTEGER) AS chars FROM documents""")
 def g4(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", tx.word_count(t).alias("words"), tx.piece_count(t, "\\.").alias("sentences"), tx.piece_count(t, "\n").alias("paragraphs"), F.length(t).alias("chars"))
 
 
@@ -64,14 +65,14 @@ _stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
     k AS (SELECT doc_id, word, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS INTEGER) AS rank FROM c)
     SELECT * FROM k WHERE rank <= 20""")
 def g6(spark, d):
-    return tx.keywords(table(spark, d, "documents"), "doc_id", "text")
+    return tx.keywords(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query("g8_lexicon_tone", f"""SELECT doc_id, {r('greatest(-c, 0.0)')} AS neg, {r('1 - abs(c)')} AS neu, {r('greatest(c, 0.0)')} AS pos, {r('c')} AS compound
     FROM (SELECT doc_id, {sql_compound('text')} AS c FROM documents)""")
 def g8(spark, d):
     c = tone.compound(F.col("text"), CORPUS_POSITIVE, CORPUS_NEGATIVE)
-    df = table(spark, d, "documents").select("doc_id", c.alias("compound"))
+    df = spread(table(spark, d, "documents")).select("doc_id", c.alias("compound"))
     return df.select("doc_id", *[rnd(v).alias(k) for k, v in tone.parts(F.col("compound")).items()], rnd("compound").alias("compound"))
 
 
@@ -122,7 +123,7 @@ def g13(spark, d):
     '\\s+', ' ', 'g'), 'page\\s+\\d+', '', 'gi'), 'table\\s+of\\s+contents', '', 'gi'), '\\.{3,}', '...', 'g'), '-{3,}', '---', 'g')) AS tidy FROM pages""")
 def g14(spark, d):
     t = F.concat(F.lit("Page 3 .... "), "html", F.lit(" table  of contents -----"))
-    return table(spark, d, "pages").select("page_id", tx.tidy_section(t).alias("tidy"))
+    return spread(table(spark, d, "pages")).select("page_id", tx.tidy_section(t).alias("tidy"))
 
 
 @query("b13_drop_short_texts", sql("""SELECT 'news' AS kind, doc_id AS id FROM news WHERE len(regexp_extract_all(trim(title || ' ' || description || ' ' || content), '\\S+')) >= 5

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +28,25 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only by a local master that names none.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a machine-local one only for a
+    local master that names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage: store the rows in the shared folder, so lost executors reread them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
