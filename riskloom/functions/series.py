@@ -44,8 +44,10 @@ class Series:
         return self.rows(Window.unboundedPreceding, 0)
 
     @property
-    def from_here(self) -> WindowSpec:
-        return self.rows(0, Window.unboundedFollowing)
+    def backwards(self) -> WindowSpec:
+        """From the end of the series down to the current row. A frame that runs to the end in
+        series order is evaluated anew for every row; this one is a single pass."""
+        return Window.partitionBy(*self.keys).orderBy(*[F.col(o).desc() for o in self.order]).rowsBetween(Window.unboundedPreceding, 0)
 
     def lag(self, c: Column | str, k: int = 1) -> Column:
         return F.lag(_c(c), k).over(self.w)
@@ -83,7 +85,7 @@ class Series:
         return F.last(_c(c), ignorenulls=True).over(self.so_far)
 
     def fill_back(self, c: Column | str) -> Column:
-        return F.first(_c(c), ignorenulls=True).over(self.from_here)
+        return F.last(_c(c), ignorenulls=True).over(self.backwards)
 
 
 SYMBOL_DAY = Series()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.quantiles import exact_quantiles, one_row
 from riskloom.functions.series import SYMBOL_DAY, Series
+from riskloom.session import checkpoint
 
 # Neutral fills, keyword lists and group rules.
 NEUTRAL_NEWS = {"news_count": 0, "news_sentiment_mean": 0.0, "news_sentiment_std": 0.0, "news_sentiment_intensity": 0.0}
@@ -93,6 +94,7 @@ def zero_fill_by_name(df: DataFrame, words: Sequence[str] = ZERO_FILL_WORDS) ->
 
 
 def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    df = checkpoint(df)
     mid = one_row(exact_quantiles(df, {f"m{i}": (c, 0.5) for i, c in enumerate(cols)}))
     return df.withColumn("_mid", mid).withColumns({c: F.coalesce(F.col(c), F.col(f"_mid.m{i}")) for i, c in enumerate(cols)}).drop("_mid")
 
@@ -113,7 +115,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], s: Series = SYMBOL_DAY) -> D
     for c in cols:
         at = F.when(F.col(c).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(c).cast("double").alias("v")))
         staged[f"_p_{c}"] = F.last(at, ignorenulls=True).over(s.so_far)
-        staged[f"_q_{c}"] = F.first(at, ignorenulls=True).over(s.from_here)
+        staged[f"_q_{c}"] = F.last(at, ignorenulls=True).over(s.backwards)
     df = df.withColumns(staged)
 
     def blend(c: str) -> Column:
@@ -127,6 +129,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], s: Series = SYMBOL_DAY) -> D
 
 def winsorise(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     wanted = {f"{side}{i}": (c, p) for i, c in enumerate(cols) for side, p in (("lo", low), ("hi", high))}
+    df = checkpoint(df)
     df = df.withColumn("_cut", one_row(exact_quantiles(df, wanted)))
     return df.withColumns({
         c: F.when(F.col(c) > F.col(f"_cut.hi{i}"), F.col(f"_cut.hi{i}")).when(F.col(c) < F.col(f"_cut.lo{i}"), F.col(f"_cut.lo{i}")).otherwise(F.col(c))

@@ -15,6 +15,7 @@ from riskloom.operators.clean import numeric_columns, top_per_group
 from riskloom.operators.indicators import YEAR
 from riskloom.operators.joins import interval_join, pre_event
 from riskloom.operators.labels import clip
+from riskloom.session import checkpoint
 
 # Thresholds, windows and quantiles.
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -76,14 +77,22 @@ def best_threshold(df: DataFrame, beta: float = 1.0, prob: str = "Risk_Probabili
     return grid.agg(F.max_by("threshold", F.struct("f_score", -F.col("threshold"))).alias("threshold"), F.max("f_score").alias("f_score"))
 
 
+def score_counts(df: DataFrame, prob: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score; all that rank metrics need."""
+    return df.groupBy(*by, F.col(prob).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+
+
 def score_totals(df: DataFrame, prob: str, label: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    counts = df.groupBy(*by, F.col(prob).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running_totals(counts, "score", {"cum_pos": "pos", "cum_neg": "neg"}, by, descending)
+    return running_totals(score_counts(df, prob, label, by), "score", {"cum_pos": "pos", "cum_neg": "neg"}, by, descending)
 
 
 def auc(df: DataFrame, prob: str = "Risk_Probability", label: str = "Risk_Label", by: Sequence[str] = ()) -> DataFrame:
     """Exact rank-sum ROC AUC (ties count half); null for a single-class group."""
-    t = score_totals(df, prob, label, by)
+    return auc_of_counts(score_counts(df, prob, label, by), by)
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    t = running_totals(counts, "score", {"cum_neg": "neg"}, by)
     wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
     return t.groupBy(*by).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -217,7 +226,7 @@ def strategy_summary(daily: DataFrame) -> DataFrame:
 
 def tail_metrics(df: DataFrame, ret: str = "Returns") -> DataFrame:
     """VaR, expected shortfall, annual volatility, bias-corrected skewness and excess kurtosis."""
-    df = df.select(F.col(ret).alias("r")).where(F.col("r").isNotNull())
+    df = checkpoint(df.select(F.col(ret).alias("r")).where(F.col("r").isNotNull()))
     q = one_row(exact_quantiles(df, {"v95": ("r", 0.05), "v99": ("r", 0.01)}))
     df = df.withColumn("q", q)
     n = F.count("r").cast("double")

@@ -48,28 +48,23 @@ def rsi(df: DataFrame, price: str = "Close", span: int = 14, s: Series = SYMBOL_
 def ewm_mean(df: DataFrame, values: dict[str, tuple[str, int]], s: Series = SYMBOL_DAY, block: int = 256) -> DataFrame:
     """Bias-adjusted exponential means, ``name -> (column, span)``.
 
-    The decayed sum is a running sum of ``x * decay**-i`` inside blocks of rows, plus
-    what the earlier blocks carry in; only one number per block crosses blocks.
+    The decayed sum is a running sum of ``x * decay**-i`` inside blocks of rows, plus what the
+    earlier blocks carry in. Blocks nest in the series, so it all runs on one exchange.
     """
     decay = {n: 1.0 - 2.0 / (span + 1.0) for n, (_, span) in values.items()}
-    rn = F.row_number().over(s.w) - 1
-    staged = df.withColumn("_i", rn).withColumns({"_blk": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
+    staged = df.withColumn("_i", F.row_number().over(s.w) - 1).withColumns({"_blk": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
     inner = Window.partitionBy(*s.keys, "_blk").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    grow, sums, last_of_block = {}, {}, {}
+    earlier = Window.partitionBy(*s.keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("_j") == block - 1
+    sums, carried = {}, {}
     for n, (c, _) in values.items():
         up = F.pow(F.lit(decay[n]), -F.col("_j"))
-        grow[f"_{n}_x"] = F.sum(F.coalesce(F.col(c), F.lit(0.0)) * up).over(inner)
-        grow[f"_{n}_d"] = F.sum(F.when(F.col(c).isNotNull(), up).otherwise(0.0)).over(inner)
+        sums[f"_{n}_x"] = F.sum(F.coalesce(F.col(c), F.lit(0.0)) * up).over(inner)
+        sums[f"_{n}_d"] = F.sum(F.when(F.col(c).isNotNull(), up).otherwise(0.0)).over(inner)
         for part in ("x", "d"):
-            down = F.pow(F.lit(decay[n]), F.lit(float(block - 1)))
-            last_of_block[f"_{n}_{part}_s"] = F.max_by(f"_{n}_{part}", "_j") * down
-    staged = staged.withColumns(grow)
-    blocks = staged.groupBy(*s.keys, "_blk").agg(*[e.alias(a) for a, e in last_of_block.items()])
-    earlier = Window.partitionBy(*s.keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    for a in last_of_block:
-        sums[f"{a[:-2]}_c"] = _decayed_total(F.collect_list(a).over(earlier), decay[a[1:-4]] ** block)
-    carried = blocks.select(*s.keys, "_blk", *[e.alias(a) for a, e in sums.items()])
-    out = staged.join(carried, [*s.keys, "_blk"])
+            done = F.when(last, F.col(f"_{n}_{part}") * decay[n] ** (block - 1))
+            carried[f"_{n}_{part}_c"] = _decayed_total(F.collect_list(done).over(earlier), decay[n] ** block)
+    out = staged.withColumns(sums).withColumns(carried)
 
     def decayed(n: str, part: str) -> Column:
         d = F.lit(decay[n])

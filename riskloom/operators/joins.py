@@ -36,8 +36,7 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], by: Se
                   tie: Sequence[str] = ()) -> DataFrame:
     """Latest right row on or before each left row, by key: one union, one shuffle, one window.
 
-    ``left`` has one row per (by, on); for other left tables use :func:`asof_nearest`,
-    which matches distinct days and joins them back.
+    ``left`` has one row per (by, on), so a window partition is a calendar of rows.
     """
     s = Series(tuple(by), (on, "_side"))
     r = latest_of_day(right, by, on, cols, tie).withColumn("_side", F.lit(0)).withColumn("_seen", F.col(on))
@@ -51,22 +50,28 @@ def asof_nearest(left: DataFrame, right: DataFrame, cols: Sequence[str], by: Seq
                  tolerance_days: int = 5 * 365, tie: Sequence[str] = ()) -> DataFrame:
     """Right row with the smallest day gap within the tolerance; a tie goes to the earlier one.
 
-    Matching runs on the distinct left days, so windows are calendar series even with no
-    key and even when one key holds most left rows.
+    With a key, ``left`` has one row per (by, on) and both sides share one window per series.
+    Without a key, every day within reach of the right side is matched once, a calendar of
+    rows, and left rows look their day up.
     """
     s = Series(tuple(by), (on, "_side"))
-    days = left.select(*by, on).distinct().withColumn("_side", F.lit(1))
     r = latest_of_day(right, by, on, cols, tie).withColumn("_side", F.lit(0))
-    both = days.unionByName(r, allowMissingColumns=True)
+    if by:
+        rows = left.withColumn("_side", F.lit(1))
+    else:
+        reach = r.agg(F.date_sub(F.min(on), tolerance_days).alias("a"), F.date_add(F.max(on), tolerance_days).alias("b"))
+        rows = reach.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias(on)).withColumn("_side", F.lit(1))
+    both = rows.unionByName(r, allowMissingColumns=True)
     hit = F.when(F.col("_side") == 0, F.struct(F.col(on).alias("day"), F.col("_v").alias("v")))
-    both = both.withColumns({"_b": F.last(hit, ignorenulls=True).over(s.so_far), "_f": F.first(hit, ignorenulls=True).over(s.from_here)})
+    both = both.withColumns({"_b": F.last(hit, ignorenulls=True).over(s.so_far), "_f": F.last(hit, ignorenulls=True).over(s.backwards)})
     # a right row of the same day sorts before the left row, so it is the backward candidate
     back, ahead = F.datediff(F.col(on), F.col("_b.day")), F.datediff(F.col("_f.day"), F.col(on))
     near = F.when(ahead.isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_f"))
     matched = both.where("_side = 1").withColumn("_m", near)
     ok = F.abs(F.datediff(F.col(on), F.col("_m.day"))) <= tolerance_days
-    matched = matched.select(*by, on, F.when(ok, F.col("_m.day")).alias("matched_date"), *[F.when(ok, F.col(f"_m.v.{c}")).alias(c) for c in cols])
-    return left.join(matched, [*by, on], "left")
+    kept = left.columns if by else [on]
+    matched = matched.select(*kept, F.when(ok, F.col("_m.day")).alias("matched_date"), *[F.when(ok, F.col(f"_m.v.{c}")).alias(c) for c in cols])
+    return matched if by else left.join(matched, on, "left")
 
 
 def attach_external_tone(left: DataFrame, keyed: DataFrame, market: DataFrame, col: str, s: Series = SYMBOL_DAY, tolerance_days: int = 5 * 365) -> DataFrame:

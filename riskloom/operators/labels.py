@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.quantiles import exact_quantiles, one_row
 from riskloom.functions.series import SYMBOL_DAY, Series
-from riskloom.operators.indicators import YEAR
+from riskloom.session import checkpoint
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -79,7 +79,7 @@ def forward_drawdown(df: DataFrame, price: str = "Close", spans: Sequence[int] =
 def volatility_regime(df: DataFrame, ret: str = "Returns", span: int = 30, low: float = 0.33, high: float = 0.66,
                       s: Series = SYMBOL_DAY) -> DataFrame:
     """low / moderate / high volatility by global quantile cuts; unknown counts as moderate."""
-    df = df.withColumn("regime_volatility", s.std(ret, span, at_least=max(5, span // 3)))
+    df = checkpoint(df.withColumn("regime_volatility", s.std(ret, span, at_least=max(5, span // 3))))
     cuts = one_row(exact_quantiles(df, {"lo": ("regime_volatility", low), "hi": ("regime_volatility", high)}))
     v = F.col("regime_volatility")
     regime = (
@@ -100,6 +100,7 @@ def ensure_returns(df: DataFrame, ret: str = "Returns", s: Series = SYMBOL_DAY)
 
 def quantile_bins(df: DataFrame, col: str, bins: int = 10, name: str = "bin") -> DataFrame:
     """Right-closed bins between value quantiles; equal edges collapse into one bin."""
+    df = checkpoint(df)
     cuts = one_row(exact_quantiles(df, {f"q{i}": (col, i / bins) for i in range(bins + 1)}))
     staged = df.withColumn("_e", cuts).withColumn("_edges", F.array_distinct(F.array(*[F.col(f"_e.q{i}") for i in range(bins + 1)])))
     below = F.size(F.filter("_edges", lambda e: e < F.col(col)))

@@ -171,11 +171,14 @@ def regime_weights(df: DataFrame, models: Sequence[str], label: str, regime: str
     """(regime, weights struct): AUC share of each model inside the regime; a regime with too few
     rows takes the global shares. Reads scores as per-value counts, not rows."""
     long = df.select(regime, label, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models])).alias("x")).select(regime, label, "x.*")
-    overall = ev.auc(long, "p", label, ["model"]).select("model", F.greatest(F.coalesce("auc", F.lit(0.5)), F.lit(floor)).alias("a"))
+    counts = checkpoint(ev.score_counts(long, "p", label, [regime, "model"]))
+    pooled = counts.groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    overall = ev.auc_of_counts(pooled, ["model"]).select("model", F.greatest(F.coalesce("auc", F.lit(0.5)), F.lit(floor)).alias("a"))
     total = overall.agg(F.map_from_entries(F.collect_list(F.struct("model", "a"))).alias("m")).scalar()
-    local = ev.auc(long, "p", label, [regime, "model"]).select(regime, "model", F.greatest(F.coalesce("auc", F.lit(floor)), F.lit(floor)).alias("a"))
-    sizes = df.groupBy(regime).agg(F.count(F.lit(1)).alias("n"))
-    n_all = df.agg(F.count(F.lit(1))).scalar()
+    local = ev.auc_of_counts(counts, [regime, "model"]).select(regime, "model", F.greatest(F.coalesce("auc", F.lit(floor)), F.lit(floor)).alias("a"))
+    one_model = counts.where(F.col("model") == models[0])
+    sizes = one_model.groupBy(regime).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    n_all = one_model.agg(F.sum(F.col("pos") + F.col("neg"))).scalar()
     enough = F.col("n") >= F.greatest(F.lit(MIN_REGIME_ROWS), F.floor(F.lit(MIN_REGIME_SHARE) * n_all))
     per = local.groupBy(regime).agg(F.map_from_entries(F.collect_list(F.struct("model", "a"))).alias("mine")).join(sizes, regime)
     per = per.withColumn("use", F.when(enough, F.col("mine")).otherwise(total))

@@ -12,6 +12,7 @@ from riskloom.functions.tone import row_mean
 from riskloom.operators.clean import numeric_columns
 from riskloom.operators.joins import align_text_frame
 from riskloom.operators.labels import clip, flag
+from riskloom.session import checkpoint
 
 # Rule tables (first lower bound exceeded wins) and weights.
 RISK_LEVELS = [(0.8, "Very High"), (0.6, "High"), (0.4, "Medium"), (0.2, "Low")]
@@ -76,6 +77,7 @@ def calendar_flags(df: DataFrame, date: str = "Date") -> DataFrame:
 def cross_source_flags(df: DataFrame, tone: str = "news_sentiment_mean", change: str = "Price_Change_1d", count: str = "news_count", vol: str = "Volatility_20d",
                        pe: str = "PE_Ratio", filing: str = "mda_sentiment") -> DataFrame:
     """Flags that compare news tone with price, volatility, valuation and filings."""
+    df = checkpoint(df)
     t = F.col(tone)
     mid = exact_quantiles(df, {"m": (pe, 0.5)}).scalar()
     gap = F.abs(F.col(filing) - t)
@@ -104,6 +106,7 @@ def composite_risk(df: DataFrame) -> DataFrame:
     """Four additive rule parts blended and clipped to 0..1; a part uses the columns present."""
     cuts = {n: (c, p) for n, c, p in (("div", "sentiment_divergence", 0.8), ("park", "parkinson_volatility", 0.9)) if c in df.columns}
     if cuts:
+        df = checkpoint(df)
         df = df.withColumn("_cut", one_row(exact_quantiles(df, cuts)))
     rules = {
         "sentiment": [

@@ -12,6 +12,7 @@ from riskloom.functions.series import SYMBOL_DAY
 from riskloom.operators import indicators as ind
 from riskloom.operators import labels as lab
 from riskloom.operators.labels import clip
+from riskloom.session import checkpoint
 from riskloom.sources.tables import spread
 
 EPOCH_DAY = "1995-01-02"
@@ -144,7 +145,9 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Three scores per brand-day: from 20-row and 5-row volatility, and the share of falls."""
     s = SYMBOL_DAY
-    df = labelled(spark, d).withColumns({"_v20": s.std("Returns", 20), "_v5": s.std("Returns", 5)})
+    falls = F.avg(F.when(F.col("Returns") < 0, 1.0).otherwise(0.0)).over(s.last(10))
+    df = labelled(spark, d).withColumns({"_v20": s.std("Returns", 20), "_v5": s.std("Returns", 5), "_falls": falls})
+    df = checkpoint(df.select("Symbol", "Date", "Close", "Returns", "Risk_Label", "Risk_Score", "_v20", "_v5", "_falls"))
     mean_dev = df.agg(
         F.avg("_v20").alias("m20"), F.stddev_samp("_v20").alias("d20"), F.avg("_v5").alias("m5"), F.stddev_samp("_v5").alias("d5")
     )
@@ -154,8 +157,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         z = (F.col(v) - F.col(f"_m.{m}")) / F.col(f"_m.{dev}")
         return rnd(F.coalesce(clip(0.5 + 0.25 * z, 0.0, 1.0), F.lit(0.5)))
 
-    falls = F.avg(F.when(F.col("Returns") < 0, 1.0).otherwise(0.0)).over(s.last(10))
-    return df.withColumns({"Risk_Probability": prob("_v20", "m20", "d20"), "prob_b": prob("_v5", "m5", "d5"), "prob_c": rnd(falls)}).select(
+    return df.withColumns({"Risk_Probability": prob("_v20", "m20", "d20"), "prob_b": prob("_v5", "m5", "d5"), "prob_c": rnd("_falls")}).select(
         "Symbol", "Date", "Close", "Returns", "Risk_Label", rnd("Risk_Score").alias("Risk_Score"), "Risk_Probability", "prob_b", "prob_c"
     )
 

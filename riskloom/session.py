@@ -47,6 +47,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage: store the rows in the shared folder, so lost executors reread them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and read them back.
+
+    Used where a result is read several times or must not change between reads. Lost executors
+    reread the files, later plans start from a short lineage, and readers prune columns.
+    """
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
