@@ -93,35 +93,42 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def _column(fn, *cols: Column) -> Column:
+def _batch(fn, *xs: pd.Series) -> pd.Series:
+    return pd.Series([None if any(pd.isna(v) for v in vs) else float(fn(*map(float, vs))) for vs in zip(*xs)], dtype="float64")
+
+
+def _two(fn, a: Column, b: Column) -> Column:
     """Apply a scalar function to aggregated rows as an Arrow batch."""
 
-    def batch(*xs):
-        return pd.Series([None if any(pd.isna(v) for v in vs) else float(fn(*map(float, vs))) for vs in zip(*xs)], dtype="float64")
+    @F.pandas_udf("double")
+    def call(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _batch(fn, x, y)
+
+    return call(a, b)
+
+
+def _three(fn, a: Column, b: Column, c: Column) -> Column:
+    @F.pandas_udf("double")
+    def call(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return _batch(fn, x, y, z)
 
-    if len(cols) == 1:
-        udf = F.pandas_udf(lambda a: batch(a), "double", F.PandasUDFType.SCALAR)
-    elif len(cols) == 2:
-        udf = F.pandas_udf(lambda a, b: batch(a, b), "double", F.PandasUDFType.SCALAR)
-    else:
-        udf = F.pandas_udf(lambda a, b, c: batch(a, b, c), "double", F.PandasUDFType.SCALAR)
-    return udf(*cols)
+    return call(a, b, c)
 
 
 def t_p_value(t: Column, df: Column) -> Column:
-    return _column(t_two_sided, t, df)
+    return _two(t_two_sided, t, df)
 
 
 def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
-    return _column(f_upper, f, d1, d2)
+    return _three(f_upper, f, d1, d2)
 
 
 def chi2_p_value(x: Column, df: Column) -> Column:
-    return _column(chi2_upper, x, df)
+    return _two(chi2_upper, x, df)
 
 
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
-    return _column(ks_upper, d, n, m)
+    return _three(ks_upper, d, n, m)
 
 
 def normal_tail(z: Column) -> Column:

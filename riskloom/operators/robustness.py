@@ -57,7 +57,7 @@ def garch(df: DataFrame, ret: str = "Returns", confidence_z: float = NORMAL_95,
         r = pdf["r"].to_numpy(dtype=float)
         var = r.var()
         if len(r) < min_observations or var <= 0:
-            return pd.DataFrame({key: [], date: [], "r": [], "alpha": [], "beta": [], "loglik": [], "garch_volatility": []})
+            return pdf[[key, date, "r"]].iloc[:0].assign(alpha=0.0, beta=0.0, loglik=0.0, garch_volatility=0.0)
         alpha, beta = grid[:, 0], grid[:, 1]
         h = np.full((len(r), len(grid)), var)
         for t in range(1, len(r)):
