@@ -71,11 +71,14 @@ def eigenvector(e: DataFrame, iterations: int = 20, every: int = 5, date: str =
     Adding the vector itself each step shifts the spectrum, so bipartite graphs converge too.
     Scaled and checkpointed every few steps.
     """
-    links = checkpoint(e.select(date, "src", "dst", F.abs("weight").alias("w")))
-    v = links.select(date, F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    flat = checkpoint(e.select(date, "src", "dst", F.abs("weight").alias("w")))
+    nodes = flat.select(date, "src").distinct()
+    # a self link of weight 1 adds the vector itself, so each step reads the vector once
+    links = checkpoint(flat.unionByName(nodes.select(date, "src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))))
+    v = nodes.select(date, F.col("src").alias("node"), F.lit(1.0).alias("x"))
     for step in range(1, iterations + 1):
         pushed = links.join(v.withColumnRenamed("node", "src"), [date, "src"]).select(date, F.col("dst").alias("node"), (F.col("w") * F.col("x")).alias("x"))
-        v = pushed.unionByName(v).groupBy(date, "node").agg(F.sum("x").alias("x"))
+        v = pushed.groupBy(date, "node").agg(F.sum("x").alias("x"))
         if step % every == 0 or step == iterations:
             norm = v.groupBy(date).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
             v = checkpoint(v.join(norm, date).select(date, "node", (F.col("x") / F.col("norm")).alias("x")))
