@@ -125,7 +125,8 @@ GRAPH = dict(
     al0="SELECT fd.Symbol, fd.Date, Returns FROM fd LEFT JOIN ret USING (Symbol, Date) WHERE fd.Date IN (SELECT Date FROM ret)",
     al=f"SELECT * FROM (SELECT Symbol, Date, last_value(Returns IGNORE NULLS) OVER {win('UNBOUNDED PRECEDING')} AS r FROM al0) WHERE r IS NOT NULL",
     pr="SELECT x.Symbol AS a, y.Symbol AS b, x.Date, x.r AS ra, y.r AS rb FROM al x JOIN al y ON x.Date = y.Date AND x.Symbol < y.Symbol",
-    pc="SELECT a, b, Date, coalesce(CASE WHEN count(*) OVER w >= 30 THEN corr(ra, rb) OVER w END, 0) AS c FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY Date ROWS 59 PRECEDING) QUALIFY count(*) OVER w >= 30",
+    # an undefined correlation (a side that does not vary) counts as 0; DuckDB returns NaN there
+    pc="SELECT a, b, Date, CASE WHEN isnan(corr(ra, rb) OVER w) THEN 0 ELSE coalesce(corr(ra, rb) OVER w, 0) END AS c FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY Date ROWS 59 PRECEDING) QUALIFY count(*) OVER w >= 30",
 )
 SNAP = dict(
     me="SELECT max(Date) AS Date FROM ret GROUP BY date_trunc('month', Date)",
