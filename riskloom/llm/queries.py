@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import cuckoo, lines, mixing, simhash
+from riskloom.llm import chat, cuckoo, cws, langid, lines, lm, mixing, simhash, spieces, toxicity
 from riskloom.llm.common import documents
 from riskloom.session import checkpoint
 
@@ -54,6 +54,26 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
 """
 
 
+@query()
+def op1_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    pieces = spieces.Pieces()
+    coded = spieces.encode(documents(spark, d, "doc_id", "text"), pieces)
+    return coded.withColumn("decodes", F.sha2(spieces.decode(F.col("ids"), pieces), 256) == F.col("text_sha256"))
+
+
+@query()
+def op2_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    """Unigram and mixed-context scores of every document."""
+    return lm.score(documents(spark, d, "doc_id", "text"))
+
+
+@query()
+def op3_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(documents(spark, d, "doc_id", "text", "lang"))
+
+
 @query(MIX_SQL)
 def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     """Words, target of the source and words taken of every document."""
@@ -61,6 +81,29 @@ def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+"""Schemas of the tools that conversations may call."""
+
+
+@query("""
+SELECT conv_id, turn, 0::INT AS place, coalesce(role, '') AS role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked,
+  '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, '')) || '}' AS message
+FROM conversations WHERE coalesce(role, '') <> 'tool' AND NOT contains(coalesce(text, ''), '<tool_call>')
+""")
+def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    """Every message as canonical JSON, calls linked to results."""
+    return chat.format_chats(spark.read.parquet(f"{d}/conversations.parquet"), TOOLS)
+
+
+@query()
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(documents(spark, d, "doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
@@ -73,6 +116,12 @@ def op7_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return cuckoo.exact_dedup(documents(spark, d, "doc_id", "text"))
 
 
+@query()
+def op8_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return cws.fingerprint(documents(spark, d, "doc_id", "text"))
+
+
 @query()
 def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
