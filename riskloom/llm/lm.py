@@ -22,17 +22,22 @@ from riskloom.llm.blocks import by_bucket, in_blocks, join_words, split_words, s
 from riskloom.llm.common import partitions, remainder
 from riskloom.session import checkpoint
 
-ORDERS = (1, 2, 3, 4)
-WINDOW = 5
-"""Bytes of a gram: the longest context and the byte it predicts."""
-SLOTS = 1 << 22
+CONTEXTS = ((1, False), (2, False), (3, False), (4, False), (5, False), (4, True))
+"""Bytes before the one to predict, and whether the length of the current word so far belongs to the context."""
+WINDOW = 6
+"""Bytes of a gram: the longest context and the byte it predicts; above them the word's length (4 bits)."""
+SLOT_BITS = 24
+SLOTS = 1 << SLOT_BITS
 CHUNK = 2_000_000
 PIECES = 64
 """Parts of the table that are added up on their own."""
 PRIOR = 0.25
-RATE = 0.02
+RATE = 0.3
+PASSES = 3
 LEVELS = 33
-GATES = 8 * (len(ORDERS) + 1)
+GATES = 8 * (len(CONTEXTS) + 1)
+MOST = 65_535
+"""Counts of a slot are scaled down to this, both bits alike, so that the table has a fixed size."""
 
 
 def stretched(p: np.ndarray) -> np.ndarray:
@@ -52,28 +57,35 @@ def windows(texts: list[bytes]) -> np.ndarray:
     """The gram of every byte and end sign; contexts start as zeros at each text."""
     pad = b"\0" * (WINDOW - 1)
     raw = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
-    g = np.zeros(max(0, len(raw) - WINDOW + 1), np.uint64)
+    n = max(0, len(raw) - WINDOW + 1)
+    g = np.zeros(n, np.uint64)
     for i in range(WINDOW):
-        g = (g << np.uint64(8)) | raw[i:len(raw) - WINDOW + 1 + i]
-    lengths = np.array([len(t) + 1 for t in texts])
-    first = np.cumsum(lengths + WINDOW - 1) - (lengths + WINDOW - 1)
-    keep = np.zeros(len(g), bool)
-    for a, n in zip(first.tolist(), lengths.tolist()):
-        keep[a:a + n] = True
+        g = (g << np.uint64(8)) | raw[i:n + i]
+    before = raw[WINDOW - 2:WINDOW - 2 + n]
+    at = np.arange(n)
+    word = np.minimum(at - np.maximum.accumulate(np.where((before == 32) | (before == 0), at, 0)), 15)
+    g |= word.astype(np.uint64) << np.uint64(8 * WINDOW)
+    keep = np.zeros(n, bool)
+    first = 0
+    for t in texts:
+        keep[first:first + len(t) + 1] = True
+        first += len(t) + WINDOW
     return g[keep]
 
 
 def slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (gram x bit x order) and the bits themselves (gram x bit)."""
+    """Slots (gram x bit x context) and the bits themselves (gram x bit)."""
     byte = (grams & np.uint64(255)).astype(np.int64)
     bits = (byte[:, None] >> np.arange(7, -1, -1)) & 1
-    node = (np.int64(1) << np.arange(8)) | (byte[:, None] >> (8 - np.arange(8)))
-    out = np.empty((len(grams), 8, len(ORDERS)), np.int64)
-    for k, order in enumerate(ORDERS):
-        context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-        h = (context[:, None] * np.uint64(256) + node.astype(np.uint64) + np.uint64(order << 56)) * np.uint64(0x9E3779B97F4A7C15)
+    node = ((np.int64(1) << np.arange(8)) | (byte[:, None] >> (8 - np.arange(8)))).astype(np.uint64)
+    word = grams >> np.uint64(8 * WINDOW)
+    out = np.empty((len(grams), 8, len(CONTEXTS)), np.int64)
+    for k, (order, with_word) in enumerate(CONTEXTS):
+        h = ((grams >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)) * np.uint64(16) + (word if with_word else np.uint64(0))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h[:, None] + node) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, :, k] = (h >> np.uint64(64 - 22)).astype(np.int64)
+        out[:, :, k] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     return out, bits
 
 
@@ -85,30 +97,30 @@ def inputs(counts: np.ndarray, grams: np.ndarray, leave_out: bool) -> tuple[np.n
     if leave_out:
         n1 = np.maximum(n1 - bits[:, :, None], 0)
         n0 = np.maximum(n0 - (1 - bits)[:, :, None], 0)
-    x = np.ones((*bits.shape, len(ORDERS) + 1), np.float32)
+    x = np.ones((*bits.shape, len(CONTEXTS) + 1), np.float32)
     x[:, :, :-1] = stretched((n1 + PRIOR) / (n0 + n1 + 2 * PRIOR))
     x[:, :, -1] = 0.3
     seen = (n0 + n1 > 0).sum(2)
-    return x, np.arange(8)[None, :] * (len(ORDERS) + 1) + seen, bits
+    return x, np.arange(8)[None, :] * (len(CONTEXTS) + 1) + seen, bits
 
 
 def start_weights() -> np.ndarray:
-    return np.tile(np.array([0.1] * (len(ORDERS) - 2) + [0.3, 0.5, 0.0]), (GATES, 1))
+    return np.tile(np.array([0.3] * len(CONTEXTS) + [0.0]), (GATES, 1))
 
 
 def learn(counts: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights after one pass over grams in an order by hash; each step moves the weights of the gates it met."""
+    """Weights after ``PASSES`` over grams in an order by hash; each step moves the weights of the gates it met."""
     w = start_weights()
-    order = np.argsort(grams * np.uint64(0x9E3779B97F4A7C15))
-    for at in range(0, len(order), 512):
-        part = order[at:at + 512]
-        x, gate, bits = inputs(counts, grams[part], True)
-        p = squash((x * w[gate]).sum(2))
-        step = (np.sqrt(n[part])[:, None] * (bits - p))[:, :, None] * x
-        total = np.zeros_like(w)
-        np.add.at(total, gate.ravel(), step.reshape(-1, step.shape[2]))
-        met = np.bincount(gate.ravel(), np.broadcast_to(np.sqrt(n[part])[:, None], gate.shape).ravel(), GATES)
-        w += RATE * 10 * total / np.maximum(met, 1)[:, None]
+    for turn in range(PASSES):
+        order = np.argsort((grams + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15))
+        for at in range(0, len(order), 1024):
+            part = order[at:at + 1024]
+            x, gate, bits = inputs(counts, grams[part], True)
+            many = np.sqrt(n[part])[:, None]
+            miss = many * (bits - squash((x * w[gate]).sum(2)))
+            total = np.stack([np.bincount(gate.ravel(), (miss * x[:, :, k]).ravel(), GATES) for k in range(x.shape[2])], 1)
+            met = np.bincount(gate.ravel(), np.broadcast_to(many, gate.shape).ravel(), GATES)
+            w += RATE / (1 + turn) * total / np.maximum(met, 1)[:, None]
     return w
 
 
@@ -240,16 +252,17 @@ def bit_counts(grams: DataFrame) -> np.ndarray:
                 yield pa.record_batch({"piece": pa.array([p], pa.int32()), "at": pa.array([squeeze(at)], pa.binary()), "n": pa.array([squeeze(part[:, at])], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((2, width), np.uint32)
+        total = np.zeros((2, width), np.uint64)
         for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
             at = stretch(at, np.int32)
             total[:, at] += stretch(n, np.uint32).reshape(2, -1)
+        total = np.ceil(total * np.minimum(1, MOST / np.maximum(total.max(0), 1))).astype(np.uint16)
         return pa.table({"piece": table.column("piece").slice(0, 1), "n": pa.array([squeeze(total)], pa.binary())})
 
     parts = grams.select("words", "counts").mapInArrow(spread, "piece int, at binary, n binary").groupBy("piece").applyInArrow(add, "piece int, n binary")
-    counts = np.zeros((2, SLOTS), np.uint32)
+    counts = np.zeros((2, SLOTS), np.uint16)
     for r in parts.toLocalIterator():
-        counts[:, r["piece"] * width:(r["piece"] + 1) * width] = stretch(r["n"], np.uint32).reshape(2, width)
+        counts[:, r["piece"] * width:(r["piece"] + 1) * width] = stretch(r["n"], np.uint16).reshape(2, width)
     return counts
 
 
@@ -258,7 +271,7 @@ def fit(grams: DataFrame) -> Model:
     to the driver has a fixed size per row of the three small tables."""
     sc = grams.sparkSession.sparkContext
     counts = bit_counts(grams)
-    shared = sc.broadcast(counts)  # 2 x SLOTS x 4 bytes, fixed
+    shared = sc.broadcast(counts)  # 2 x SLOTS x 2 bytes, fixed
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,13 +350,11 @@ def score(docs: DataFrame) -> DataFrame:
         out: list[tuple] = []
         held: list[bytes] = []
 
+        chunks: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+
         def flush() -> None:
-            g = windows(held)
-            inv, found = pd.factorize(g)
-            starts = np.cumsum([0, *[len(t) + 1 for t in held[:-1]]])
-            sums = np.add.reduceat(model.cost(found)[inv], starts)
-            for k, s in enumerate(sums.tolist()):
-                out[k - len(held)] += (s,)
+            inv, found = pd.factorize(windows(held))
+            chunks.append((inv.astype(np.int32), found, [len(t) + 1 for t in held]))
 
         size = 0
         for own, fs, z in zip(table.column("ids").to_pylist(), flags, packs):
@@ -358,6 +369,12 @@ def score(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             flush()
+        distinct_grams = np.unique(np.concatenate([found for _, found, _ in chunks]))
+        cost = model.cost(distinct_grams)
+        scores: list[float] = []
+        for inv, found, lengths in chunks:
+            scores += np.add.reduceat(cost[np.searchsorted(distinct_grams, found)][inv], np.cumsum([0, *lengths[:-1]])).tolist()
+        out = [(*o, s) for o, s in zip(out, scores)]
         cols = list(zip(*out))
         return pa.table({
             "doc_id": pa.array(cols[0], pa.int64()), "held_out": pa.array(cols[1], pa.bool_()), "n_tokens": pa.array(cols[2], pa.int64()), "n_known": pa.array(cols[3], pa.int64()),

@@ -125,7 +125,7 @@ def op8_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash.near_dedup(documents(spark, d, "doc_id", "text"))
+    return simhash.near_dedup(documents(spark, d, "doc_id", "text")).drop("version")
 
 
 LINES_SQL = f"""

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import partitions
+from riskloom.llm.common import partitions, whole
 from riskloom.session import checkpoint
 
 SEGMENTS = 4
@@ -63,14 +63,15 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (64 bits as a long); null texts are empty, texts without words have 0."""
+    """``doc_id, version, fp`` (a hash of the text; 64 bits as a long); null texts are empty, texts without words have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(shingle_hashes(t or "", words)) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": fps.view(np.int64)})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "version": b.column("version"), "fp": fps.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(whole("text")).alias("version"))
+    return rows.mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def ring_keys(fps: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per document.
+    """``doc_id, version, fingerprint, component_id`` per document; ``version`` is a hash of the text.
 
     Texts: A-Z in lower case, words between ASCII white space, shingles of ``words`` words. Null and
     empty texts and those without words have the fingerprint 0, linked like any other. Fingerprints
@@ -218,4 +219,17 @@ def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     rooted = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = checkpoint(rooted.join(least, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, "fp").select("doc_id", "version", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` without all but one row of each component: that of its smallest doc_id (of rows that repeat it
+    with other texts the one with the smallest hash). Rows without id stay where their component has no
+    id at all, one for each fingerprint."""
+    found = near_dedup(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("doc_id").isNull(), F.col("fingerprint"))
+    chosen = found.groupBy("component_id", alone.alias("alone")).agg(F.min("version").alias("version")).select(F.col("component_id").alias("id"), "version").distinct().alias("c")
+    left = docs.withColumn("_version", F.xxhash64(whole("text"))).alias("d")
+    kept = left.join(chosen, F.col("d.doc_id").eqNullSafe(F.col("c.id")) & (F.col("d._version") == F.col("c.version")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_version").orderBy(F.lit(1)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -89,45 +89,53 @@ def features_of(text: str, lexicon: dict[str, float], second_person: set[str]) -
 
 
 def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` (any flat columns and ``text``) with ``features`` instead of the text."""
+    """``docs`` (any flat columns and ``text``) with ``features``."""
     second_person = set(SECOND_PERSON.split())
-    kept = [c for c in docs.columns if c != "text"]
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features_of(t or "", lexicon, second_person) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rows, pa.list_(pa.float64()))], [*kept, "features"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], [*names, "features"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "features array<double>"])
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "features array<double>"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.3, rounds: int = 25, depth: int = 4) -> DataFrame:
-    """``doc_id, held_out, score, predicted``, one row per row of ``docs``.
-
-    Labels are learned from at most about ``sample`` labelled documents whose crc32 remainder is not
-    2: seven tenths grow the trees and the lexicon, the rest calibrate. Null texts are empty and are
-    scored like others; null ids are scored and not learned from; repeated rows get equal scores; null
-    or contradicting labels: see ``sample_labels``. If the labels hold one class or none, the score
-    is its share (0 without labels). Extra columns are not read. Empty table: no rows.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.3, rounds: int = 25, depth: int = 4) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; input columns of these names are replaced. Rows are scored where
+    they are read: no shuffle of texts. See ``toxicity`` for what is learned from what."""
+    docs = docs.drop("score", "predicted", "features", "rawPrediction", "probability", "prediction", "raw", "level")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    done = lambda df, score: df.select(*columns, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     # bounded by the sample: some 20,000 rows of an id and a flag
     chosen = F.broadcast(sample_labels(labels, sample))
-    train = checkpoint(docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("fit", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) < 7))
+    train = checkpoint(narrow.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("fit", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) < 7))
     share = train.agg(F.avg("toxic").alias("s"), F.sum(F.when(F.col("fit"), F.col("toxic"))).alias("t"), F.sum(F.when(F.col("fit"), 1 - F.col("toxic"))).alias("c")).first()
-    ids = [F.col("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out")]
-    done = lambda score: [*ids, score.alias("score"), (score >= threshold).cast("int").alias("predicted")]
     if not share["t"] or not share["c"]:
-        return docs.select(*done(F.lit(float(share["s"] or 0.0))))
+        return done(docs, F.lit(float(share["s"] or 0.0)))
     lexicon = learn_lexicon(train.where("fit"))
     vectors = lambda df: df.withColumn("features", array_to_vector("features"))
-    rows = vectors(checkpoint(featured(train, lexicon).withColumn("label", F.col("toxic").cast("double"))))
+    rows = vectors(checkpoint(featured(train, lexicon).drop("text").withColumn("label", F.col("toxic").cast("double"))))
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=11, minInstancesPerNode=2).fit(rows.where("fit").coalesce(2))
-    raw = lambda df: trees.transform(vectors(df) if dict(df.dtypes)["features"].startswith("array") else df).withColumn("raw", vector_to_array("rawPrediction")[1])
-    level = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(raw(rows.where("not fit")).coalesce(1)) if rows.where("not fit").limit(1).count() else None
-    scored = raw(featured(docs, lexicon))
+    raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("rawPrediction")[1])
+    held = rows.where("not fit")
+    level = None if held.isEmpty() else IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(raw(held).coalesce(1))
+    scored = raw(vectors(featured(docs, lexicon)))
     margin = 1 / (1 + F.exp(-2 * F.col("raw")))  # the trees' own probability orders the steps of the calibration
     if level is None:
-        return scored.select(*done(margin))
-    return level.transform(scored).select(*done(F.lit(0.9) * F.col("level") + F.lit(0.1) * margin))
+        return done(scored, margin)
+    return done(level.transform(scored), F.lit(0.9) * F.col("level") + F.lit(0.1) * margin)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc_id, held_out, score, predicted``, one row per row of ``docs``.
+
+    Labels are learned from at most about ``sample`` (20,000) labelled documents whose crc32 remainder is not
+    2: seven tenths grow the trees and the lexicon, the rest calibrate. Null texts are empty and are
+    scored like others; null ids are scored and not learned from; repeated rows get equal scores; null
+    or contradicting labels: see ``sample_labels``. If the labels hold one class or none, the score
+    is its share (0 without labels). Extra columns are not read. Empty table: no rows.
+    """
+    rows = with_scores(docs.select("doc_id", "text"), labels, **options)
+    return rows.select(F.col("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
