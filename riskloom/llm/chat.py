@@ -119,9 +119,9 @@ def links(turns: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
 
 
 def quoted(c: str) -> Column:
-    """A string column as JSON."""
+    """A string column as JSON; null stays null."""
     wrapped = F.to_json(F.struct(F.col(c).alias("x")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(F.col(c).isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
 def fields(**values: Column) -> Column:

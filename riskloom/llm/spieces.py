@@ -12,8 +12,7 @@ boundary inside an edge whose ends are boundaries and which holds exactly one mo
 from __future__ import annotations
 
 import re
-
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,10 +75,16 @@ class Pieces:
 
     @property
     def ranks(self) -> list[int]:
-        """Equal scores have equal ranks: the leftmost goes first, then the shorter."""
+        """Equal scores have equal ranks: the leftmost goes first."""
         rank = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
         return [rank[s] for s in self.scores]
 
+    @property
+    def tied(self) -> list[int]:
+        """Ranks that several longer pieces share (runs of white space in the public files)."""
+        ranks = [r for r, x in zip(self.ranks, self.pieces) if len(x) > 1]
+        return [r for r, n in Counter(ranks).items() if n > 1]
+
     def chunk_pattern(self) -> str:
         """Cuts before white space, around newlines and behind a run of word characters, as far as no piece
         has such a place inside."""
@@ -176,9 +181,11 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     rank = F.coalesce(F.col("rank"), F.lit(0xFFFF).cast("long"))
     edge = rank * two(47) + (F.col("s") - 1).cast("long") * two(26) + F.col("n").cast("long") * two(20) + F.coalesce(F.col("id"), F.lit(UNKNOWN))
     lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    short = F.length("chunk") <= (MASK if not pieces.unigram else 400)
     start = lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(0x1FFFFF))
     size = lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63))
+    short = F.length("chunk") <= (MASK if not pieces.unigram else 400)
+    if pieces.tied and not pieces.unigram:  # pieces of equal rank grow from the left as they are found: the heap does that
+        short &= ~F.exists("edges", lambda x: F.shiftright(x, 47).isin(pieces.tied) & (size(x) > 1))
     if pieces.unigram:
         kept = _viterbi_fold(pieces, start, size)
     else:
