@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import checkpoint
+
 BUCKETS_PER_E_FOLD = 1000.0
 SMALLEST_SCALE = 1e6
 
@@ -27,9 +29,11 @@ def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], keys: Seq
 
     ``df`` holds one row per (keys, order) value. Adds each ``name`` as the total of
     ``sums[name]`` up to and including the row, and ``name_all`` as the total of the key.
+    The slices are ranges of (keys, order) with about the same number of rows each, however close
+    together the values are; the checkpoint freezes them before their sums are taken.
     """
-    sign = -1 if descending else 1
-    rows = df.withColumn("_b", order_bucket(F.col(order)) * sign)
+    by = [*keys, F.col(order).desc() if descending else F.col(order).asc()]
+    rows = checkpoint(df.repartitionByRange(*by).withColumn("_b", F.spark_partition_id()))
     per_bucket = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,8 +85,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> D
         .groupBy("q", "before", "lo", "hi", "frac", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    inside = Window.partitionBy("q", "before").orderBy("v")
-    ranked = values.withColumn("end", F.col("before") + F.sum("n").over(inside)).withColumn("start", F.col("end") - F.col("n"))
+    # a bucket may hold any number of values: their ranks are running totals in slices
+    ranked = running_totals(values, "v", {"upto": "n"}, ["q", "before"]).withColumn("end", F.col("before") + F.col("upto")).withColumn("start", F.col("end") - F.col("n"))
 
     def at(r: str) -> Column:
         return F.max(F.when((F.col("start") <= F.col(r)) & (F.col("end") > F.col(r)), F.col("v")))

@@ -183,10 +183,18 @@ def monitor_summary(df: DataFrame, symbols: DataFrame, tone: str, key: str = "Sy
                       monitor_label(m).alias("sentiment_label"), indicator(m).alias("risk_indicator"))
 
 
-def mean_vectors(df: DataFrame, dims: int, vec: str = "embedding", keys: Sequence[str] = ("Symbol", "Date")) -> DataFrame:
-    """Mean vector per key: element means combine map-side, one shuffle of fixed-width rows."""
-    means = [F.avg(F.col(vec)[i].cast("double")) for i in range(dims)]
-    return df.groupBy(*keys).agg(F.array(*means).alias("mean_vector"), F.count(F.lit(1)).alias("article_count"))
+def mean_vectors(df: DataFrame, vec: str = "embedding", keys: Sequence[str] = ("Symbol", "Date")) -> DataFrame:
+    """Mean vector per key, of any length. Element sums combine map-side. Vectors of one key that differ in length
+    are an error; rows without a vector count as articles only."""
+    long = df.select(*keys, F.posexplode_outer(vec).alias("_i", "_v"))
+    per = long.groupBy(*keys, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    first = F.max(F.when(F.col("_i") == 0, F.col("_n")))
+    even = F.max(F.when(F.col("_i").isNotNull(), F.col("_n"))) == F.min(F.when(F.col("_i").isNotNull(), F.col("_n")))
+    cells = F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_m"))))
+    out = per.groupBy(*keys).agg(cells.alias("_cells"), even.alias("_even"), (F.coalesce(first, F.lit(0)) + F.coalesce(F.max(F.when(F.col("_i").isNull(), F.col("_n"))), F.lit(0))).alias("article_count"))
+    means = F.transform("_cells", lambda c: c["_m"])
+    vector = F.when(F.coalesce("_even", F.lit(True)), means).otherwise(F.raise_error(F.lit("vectors of one key differ in length")).cast("array<double>"))
+    return out.select(*keys, F.when(F.size("_cells") > 0, vector).alias("mean_vector"), "article_count")
 
 
 def run_comparison(runs: DataFrame, metrics: Sequence[str], name: str = "model") -> tuple[DataFrame, DataFrame]:

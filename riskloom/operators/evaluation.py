@@ -159,7 +159,7 @@ def event_analysis(df: DataFrame, windows: DataFrame, tones: Sequence[str] = (),
         F.sum(label).cast("bigint").alias("risk_periods"), F.avg(label).alias("risk_rate"), F.avg(score).alias("avg_risk_score"), F.avg(prob).alias("avg_risk_probability"),
         F.max(prob).alias("max_risk_probability"), F.avg((F.col(prob) > 0.7).cast("int")).alias("high_risk_predictions_pct"),
     ]
-    for t in tones[:3]:
+    for t in tones:
         aggs += [F.avg(t).alias(f"{t}_avg"), F.stddev_samp(t).alias(f"{t}_volatility"), F.avg(F.when(F.col(t).isNotNull(), (F.col(t) < 0).cast("int"))).alias(f"{t}_negative_pct")]
     found = interval_join(df, windows).groupBy("name").agg(*aggs)
     return windows.select("name", "type").join(found, "name", "left").withColumn("status", F.when(F.col("observations").isNull(), "no_data").otherwise("ok"))

@@ -56,9 +56,13 @@ def edges(corr: DataFrame, cut: float = EDGE_CUT, date: str = "Date") -> DataFra
     return strong.select(date, F.explode(both).alias("e"), F.col("corr").alias("weight")).select(date, "e.src", "e.dst", "weight")
 
 
-def density(corr: DataFrame, cut: float = EDGE_CUT, date: str = "Date") -> DataFrame:
-    """Share of the possible edges that exist; the pair table itself tells the number of pairs."""
-    return corr.groupBy(date).agg(F.count_if(F.abs("corr") >= cut).alias("pairs"), F.count(F.lit(1)).alias("possible")).withColumn("density", F.col("pairs") / F.col("possible"))
+def density(corr: DataFrame, nodes: DataFrame, cut: float = EDGE_CUT, date: str = "Date") -> DataFrame:
+    """Share of the possible edges that exist, for every day of ``nodes`` (a row per day and symbol). Pairs that are
+    too young to have a correlation are possible, too; a day with one symbol has density 0."""
+    strong = corr.groupBy(date).agg(F.count_if(F.abs("corr") >= cut).alias("pairs"))
+    count = nodes.groupBy(date).agg(F.count(F.lit(1)).alias("_n")).withColumn("possible", F.expr("_n * (_n - 1) div 2"))
+    out = count.join(strong, date, "left").select(date, F.coalesce("pairs", F.lit(0)).alias("pairs"), "possible")
+    return out.withColumn("density", F.coalesce(F.try_divide("pairs", "possible"), F.lit(0.0)))
 
 
 def degrees(e: DataFrame, date: str = "Date") -> DataFrame:

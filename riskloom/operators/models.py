@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -186,21 +186,33 @@ def regime_weights(df: DataFrame, models: Sequence[str], label: str, regime: str
     return per.select(regime, *[(F.col("use")[m] / whole).alias(f"w_{m}") for m in models])
 
 
-def regime_ensemble(df: DataFrame, weights: DataFrame, models: Sequence[str], regime: str = "regime", name: str = "ensemble") -> DataFrame:
-    joined = df.join(weights, regime)
-    return joined.withColumn(name, sum((F.col(m) * F.col(f"w_{m}") for m in models[1:]), F.col(models[0]) * F.col(f"w_{models[0]}")))
+def regime_ensemble(df: DataFrame, weights: DataFrame, models: Sequence[str], regime: str = "regime", name: str = "ensemble", default: Mapping[str, float] | None = None) -> DataFrame:
+    """Rows of a regime without weights, or without regime, take the default weights (equal if none are given)."""
+    usual = normalised(default or dict.fromkeys(models, 1.0))
+    # one row of weights per regime
+    joined = df.join(weights.select(regime, *[F.col(f"w_{m}") for m in models]), regime, "left")
+    w = {m: F.coalesce(F.col(f"w_{m}"), F.lit(usual[m])) for m in models}
+    return joined.withColumns({f"w_{m}": w[m] for m in models}).withColumn(name, sum((F.col(m) * F.col(f"w_{m}") for m in models[1:]), F.col(models[0]) * F.col(f"w_{models[0]}")))
 
 
-def regime_meta_models(df: DataFrame, models: Sequence[str], label: str, regimes: Sequence[str], regime: str = "regime", name: str = "stacked") -> DataFrame:
-    """A logistic stack of the model probabilities per regime (three regimes, so three fits)."""
+def fit_regime_stacks(df: DataFrame, models: Sequence[str], label: str, regime: str = "regime") -> dict[str, LogisticRegressionModel]:
+    """A logistic stack of the model probabilities for each regime that has enough rows and both classes.
+    Regimes are a handful of names, so their counts come to the driver."""
+    sizes = df.where(F.col(regime).isNotNull()).groupBy(regime).agg(F.count(label).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi")).collect()
+    n_all = sum(r["n"] for r in sizes)
+    usable = [r[regime] for r in sizes if r["n"] >= max(MIN_REGIME_ROWS, MIN_REGIME_SHARE * n_all) and r["lo"] != r["hi"]]
     rows = assembled(df, models, "_stack")
-    out = None
-    for g in regimes:
-        part = rows.where(F.col(regime) == g)
-        fitted = LogisticRegression(featuresCol="_stack", labelCol=label, regParam=1e-4, maxIter=50).fit(part)
-        done = fitted.transform(part).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "_stack")
-        out = done if out is None else out.unionByName(done)
-    return out
+    fit = LogisticRegression(featuresCol="_stack", labelCol=label, regParam=1e-4, maxIter=50)
+    return {g: fit.fit(rows.where(F.col(regime) == g)) for g in sorted(usable)}
+
+
+def apply_regime_stacks(df: DataFrame, stacks: Mapping[str, LogisticRegressionModel], models: Sequence[str], regime: str = "regime", name: str = "stacked") -> DataFrame:
+    """Scores every row: by its regime's stack, else by the mean of the models."""
+    value = sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)
+    for g, fitted in stacks.items():
+        z = sum((F.col(m) * float(c) for m, c in zip(models, fitted.coefficients)), F.lit(float(fitted.intercept)))
+        value = F.when(F.col(regime) == g, 1 / (1 + F.exp(-z))).otherwise(value)
+    return df.withColumn(name, value)
 
 
 def linear_attribution(df: DataFrame, features: Sequence[str], coefficients: Sequence[float], means: Sequence[float]) -> DataFrame:

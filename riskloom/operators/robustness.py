@@ -43,11 +43,11 @@ def mask_rows(df: DataFrame, cols: Sequence[str], ratio: float, key: Sequence[st
     return df.withColumns({c: F.when(~hit, F.col(c)) for c in cols})
 
 
-def garch(df: DataFrame, ret: str = "Returns", confidence_z: float = NORMAL_95, min_observations: int = 60, s: Series = SYMBOL_DAY) -> DataFrame:
+def garch(df: DataFrame, ret: str = "Returns", confidence_z: float = NORMAL_95, min_observations: int = 100, s: Series = SYMBOL_DAY) -> DataFrame:
     """GARCH(1,1) conditional volatility per symbol, variance-targeted, best grid point by likelihood.
 
     A group is one calendar series; the variance recursion runs over time for all grid points
-    at once.
+    at once. Series that are too short or do not vary keep their rows with null estimates; ``status`` tells.
     """
     key, date = s.keys[0], s.order[0]
     grid = np.array(GARCH_GRID)
@@ -57,18 +57,20 @@ def garch(df: DataFrame, ret: str = "Returns", confidence_z: float = NORMAL_95,
         r = pdf["r"].to_numpy(dtype=float)
         var = r.var()
         if len(r) < min_observations or var <= 0:
-            return pdf[[key, date, "r"]].iloc[:0].assign(alpha=0.0, beta=0.0, loglik=0.0, garch_volatility=0.0)
+            none = dict.fromkeys(["alpha", "beta", "loglik", "garch_volatility"], np.nan)
+            return pdf[[key, date, "r"]].assign(**none, status="constant" if len(r) >= min_observations else "too_short")
         alpha, beta = grid[:, 0], grid[:, 1]
         h = np.full((len(r), len(grid)), var)
         for t in range(1, len(r)):
             h[t] = (1 - alpha - beta) * var + alpha * r[t - 1] ** 2 + beta * h[t - 1]
         ll = -0.5 * (np.log(2 * np.pi) + np.log(h) + (r[:, None] ** 2) / h).sum(axis=0)
         k = int(ll.argmax())
-        return pd.DataFrame({key: pdf[key], date: pdf[date], "r": r, "alpha": alpha[k], "beta": beta[k], "loglik": ll[k], "garch_volatility": np.sqrt(h[:, k])})
+        return pd.DataFrame({key: pdf[key], date: pdf[date], "r": r, "alpha": alpha[k], "beta": beta[k], "loglik": ll[k], "garch_volatility": np.sqrt(h[:, k]), "status": "ok"})
 
     kinds = dict(df.dtypes)
     rows = df.where(F.col(ret).isNotNull()).select(key, date, F.col(ret).cast("double").alias("r"))
-    out = rows.groupBy(key).applyInPandas(fit, f"`{key}` {kinds[key]}, `{date}` {kinds[date]}, r double, alpha double, beta double, loglik double, garch_volatility double")
+    out = rows.groupBy(key).applyInPandas(fit, f"`{key}` {kinds[key]}, `{date}` {kinds[date]}, r double, alpha double, beta double, loglik double, garch_volatility double, status string")
+    out = out.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in ("alpha", "beta", "loglik", "garch_volatility")})
     vol = F.col("garch_volatility")
-    return out.withColumns({"garch_var_threshold": F.greatest(vol * confidence_z, F.lit(0.0)),
-                            "garch_tail_probability": F.least(normal_tail(F.col("r") / F.greatest(vol, F.lit(VOLATILITY_FLOOR))), F.lit(1.0))}).drop("r")
+    return out.withColumns({"garch_var_threshold": F.when(vol.isNotNull(), F.greatest(vol * confidence_z, F.lit(0.0))),
+                            "garch_tail_probability": F.when(vol.isNotNull(), F.least(normal_tail(F.col("r") / F.greatest(F.coalesce(vol, F.lit(1.0)), F.lit(VOLATILITY_FLOOR))), F.lit(1.0)))}).drop("r")

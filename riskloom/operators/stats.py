@@ -40,14 +40,16 @@ def sign_flip_means(df: DataFrame, a: str, b: str, key: Sequence[str], permutati
     """
     blocks = -(-permutations // HASH_BITS)
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        (F.col(a) - F.col(b)).alias("d"), F.array(*[keyed_md5(key, seed, i) for i in range(blocks)]).alias("h"))
+        (F.col(a) - F.col(b)).alias("d"), F.concat(*[F.unhex(keyed_md5(key, seed, i)) for i in range(blocks)]).alias("h"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(permutations), 0
         for pdf in batches:
-            digits = np.array([[int(c, 16) for c in "".join(h)] for h in pdf["h"]], dtype=np.uint8).reshape(len(pdf), -1)
-            bits = np.stack([(digits >> k) & 1 for k in range(4)], axis=2).reshape(len(pdf), -1)[:, :permutations]
-            total += pdf["d"].to_numpy() @ (bits * 2.0 - 1.0)
+            raw = np.frombuffer(b"".join(pdf["h"]), dtype=np.uint8).reshape(len(pdf), -1)
+            d = pdf["d"].to_numpy()
+            for at in range(0, len(pdf), 1000):  # bounds the unpacked bits
+                bits = np.unpackbits(raw[at:at + 1000], axis=1)[:, :permutations]
+                total += d[at:at + 1000] @ (bits * 2.0 - 1.0)
             n += len(pdf)
         yield pd.DataFrame({"perm": np.arange(permutations), "total": total, "n": n})
 

@@ -213,7 +213,7 @@ def d24(spark, d):
 @query("d25_mean_vectors", sql(f"SELECT Symbol, Date, any_value(k) AS article_count, {r('sum(m)', 5)} AS vector_sum, {r('max(m)', 5)} AS vector_max FROM g GROUP BY 1, 2", "vectors",
     u="SELECT Symbol, Date, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM vectors", g="SELECT Symbol, Date, i, avg(x) AS m, count(*) AS k FROM u GROUP BY 1, 2, 3"))
 def d25(spark, d):
-    v = ag.mean_vectors(vectors(spark, d), 64)
+    v = ag.mean_vectors(vectors(spark, d))
     total = F.aggregate("mean_vector", F.lit(0.0), lambda a, x: a + x)
     return v.select(*KEY, "article_count", rnd(total, 5).alias("vector_sum"), rnd(F.array_max("mean_vector"), 5).alias("vector_max"))
 

@@ -163,7 +163,7 @@ def i12(spark, d):
 @query("i13_regime_meta_models")
 def i13(spark, d):
     rows = checkpoint(regime_rows(spark, d))
-    out = md.regime_meta_models(rows, MODELS, "y", ["low_volatility", "moderate_volatility", "high_volatility"])
+    out = md.apply_regime_stacks(rows, md.fit_regime_stacks(rows, MODELS, "y"), MODELS)
     return out.select(*KEY, "regime", "stacked", "y")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import tone
@@ -143,9 +145,22 @@ def finished(spark, stream, folder):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query("l1_tone_monitor")
+def ended_stream(spark, d, folder):
+    """The events with a closing row a month behind the last one."""
+    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return mo.with_end(tone_stream(spark, d), str(last + timedelta(days=30)), folder)
+
+
+TONE = "least(value / 100.0, 2.0) - 1.0"
+
+
+@query("l1_tone_monitor", f"""SELECT s AS window_start, s + INTERVAL 24 HOUR AS window_end, Symbol, {r('m')} AS average_sentiment, n AS article_count, CASE WHEN m IS NULL THEN 'No Data' WHEN m > 0.05 THEN 'Positive' WHEN m < -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label,
+    CASE WHEN m IS NULL THEN 'Unknown' WHEN m < -0.2 THEN 'High' WHEN m > 0.2 THEN 'Low' ELSE 'Medium' END AS risk_indicator
+    FROM (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS s, event_type AS Symbol, avg({TONE}) AS m, count({TONE}) AS n FROM events, range(24) t(k) GROUP BY 1, 2)""")
 def l1(spark, d):
-    return finished(spark, mo.tone_monitor(tone_stream(spark, d), "tone"), new_folder(spark, "monitor"))
+    folder = new_folder(spark, "monitor")
+    out = finished(spark, mo.tone_monitor(ended_stream(spark, d, folder), "tone"), folder)
+    return out.select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "Symbol", rnd("average_sentiment").alias("average_sentiment"), "article_count", "sentiment_label", "risk_indicator")
 
 
 @query("l2_stream_dedupe", "SELECT count(*) AS kept, count(DISTINCT (user_id, event_type)) AS pairs FROM (SELECT DISTINCT user_id, event_type FROM events)")
@@ -165,9 +180,13 @@ def l3(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("Symbol").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query("l4_warning_episodes")
+@query("l4_warning_episodes", f"""SELECT min(ts) AS episode_start, max(ts) + INTERVAL 30 MINUTE AS episode_end, Symbol, count(*) AS warnings FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY Symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+        SELECT event_type AS Symbol, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE {TONE} > 0.2)) GROUP BY Symbol, g""")
 def l4(spark, d):
-    return finished(spark, mo.warning_episodes(tone_stream(spark, d), F.col("tone") > 0.2), new_folder(spark, "episodes"))
+    folder = new_folder(spark, "episodes")
+    out = finished(spark, mo.warning_episodes(ended_stream(spark, d, folder), F.col("tone") > 0.2), folder)
+    return out.select(F.col("episode_start").cast("timestamp_ntz"), F.col("episode_end").cast("timestamp_ntz"), "Symbol", "warnings")
 
 
 @query("m3_rolling_hook", sql(f"SELECT Symbol, Date, {r(full('quantile_cont(Returns, 0.5)', 'Returns', 20))} AS rolling_median FROM ret", "ret"))

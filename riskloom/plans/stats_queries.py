@@ -27,15 +27,18 @@ def j1p(spark, d):
     return st.paired_t_test(predictions(spark, d), "prob_b", "prob_c", ["Symbol"])
 
 
-_bits = "SELECT p, avg(d * ((((('0x' || substr(CASE WHEN p < 128 THEN h0 ELSE h1 END, CAST(1 + (p % 128) // 4 AS INTEGER), 1))::INTEGER >> CAST(p % 4 AS INTEGER)) & 1) * 2) - 1)) AS m FROM a, range(256) t(p) GROUP BY 1"
+PERMUTATIONS = 1000
+# bit p of a row: bit 3 - p % 4 of hex digit p // 4 of its hashes, one after the other
+_bits = f"SELECT p, avg(d * ((((('0x' || substr(h, CAST(1 + p // 4 AS INTEGER), 1))::INTEGER >> CAST(3 - p % 4 AS INTEGER)) & 1) * 2) - 1)) AS m FROM a, range({PERMUTATIONS}) t(p) GROUP BY 1"
+_hashes = " || ".join(f"md5(Symbol || '|' || CAST(Date AS VARCHAR) || '|7|{i}')" for i in range(-(-PERMUTATIONS // 128)))
 
 
-@query("j2_permutation", sql(f"SELECT {r('o')} AS statistic, {r('o / s')} AS effect_size, count(*) FILTER (abs(m) >= abs(o)) AS extreme, {r('(count(*) FILTER (abs(m) >= abs(o)) + 1) / 257.0::DOUBLE')} AS p_value, {r('sum(abs(m))')} AS total_spread FROM b, (SELECT avg(d) AS o, stddev_samp(d) AS s FROM a) GROUP BY o, s", "pred",
-    a="SELECT Risk_Score - Risk_Probability AS d, md5(Symbol || '|' || CAST(Date AS VARCHAR) || '|7|0') AS h0, md5(Symbol || '|' || CAST(Date AS VARCHAR) || '|7|1') AS h1 FROM (SELECT Symbol, Date, prob_b AS Risk_Score, Risk_Probability FROM pred)", b=_bits))
+@query("j2_permutation", sql(f"SELECT {r('o')} AS statistic, {r('o / s')} AS effect_size, count(*) FILTER (abs(m) >= abs(o)) AS extreme, {r('(count(*) FILTER (abs(m) >= abs(o)) + 1) / 1001.0::DOUBLE')} AS p_value, {r('sum(abs(m))')} AS total_spread FROM b, (SELECT avg(d) AS o, stddev_samp(d) AS s FROM a) GROUP BY o, s", "pred",
+    a=f"SELECT Risk_Score - Risk_Probability AS d, {_hashes} AS h FROM (SELECT Symbol, Date, prob_b AS Risk_Score, Risk_Probability FROM pred)", b=_bits))
 def j2(spark, d):
     p = predictions(spark, d)
-    test = st.permutation_test(p, "prob_b", "Risk_Probability", KEY, 256, seed=7)
-    spread = st.sign_flip_means(p, "prob_b", "Risk_Probability", KEY, 256, seed=7).agg(F.sum(F.abs("mean"))).scalar()
+    test = st.permutation_test(p, "prob_b", "Risk_Probability", KEY, PERMUTATIONS, seed=7)
+    spread = st.sign_flip_means(p, "prob_b", "Risk_Probability", KEY, PERMUTATIONS, seed=7).agg(F.sum(F.abs("mean"))).scalar()
     return rounded(test.withColumn("total_spread", spread), "statistic", "effect_size", "p_value", "total_spread").drop("mean_a", "mean_b")
 
 
@@ -149,9 +152,10 @@ def k1(spark, d):
     return rounded(out, "mean_corr", "min_corr", "max_corr", digits=5)
 
 
-@query("k2_graph_density", sql(f"SELECT Date, count(*) FILTER (abs(c) >= 0.3) AS pairs, count(*) AS possible, {r('(count(*) FILTER (abs(c) >= 0.3))::DOUBLE / count(*)')} AS density FROM pc GROUP BY 1", "ret", **GRAPH))
+@query("k2_graph_density", sql(f"SELECT Date, pairs, possible, {r('CASE WHEN possible > 0 THEN pairs::DOUBLE / possible ELSE 0 END')} AS density FROM (SELECT n.Date, coalesce(s.pairs, 0) AS pairs, n.n * (n.n - 1) // 2 AS possible FROM (SELECT Date, count(*) AS n FROM al GROUP BY 1) n LEFT JOIN (SELECT Date, count(*) FILTER (abs(c) >= 0.3) AS pairs FROM pc GROUP BY 1) s USING (Date))", "ret", **GRAPH))
 def k2(spark, d):
-    return rounded(gr.density(correlations(spark, d)), "density")
+    rows = checkpoint(panel_returns(spark, d).select(*KEY, "Returns"))
+    return rounded(gr.density(gr.pair_correlations(rows), gr.aligned_returns(rows)), "density")
 
 
 @query("k2_edges", sql(f"SELECT Date, src, dst, {r('w', 5)} AS weight FROM ed", "ret", **GRAPH, **SNAP))

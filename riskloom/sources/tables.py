@@ -32,16 +32,6 @@ def load_dataset(spark: SparkSession, path: str, schema: str | None = None) -> D
     raise ValueError(f"unsupported dataset format: {path}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer splits than there are cores.
-
-    Heavy per-row text work on a small single-file table would run in one task otherwise;
-    a large table has more splits than cores and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def combine(tables: Mapping[str, DataFrame], key: str = "Symbol") -> DataFrame:
     """Stack per-symbol tables; one without the key column gets its name as key."""
     keyed = [df if key in df.columns else df.withColumn(key, F.lit(name)) for name, df in tables.items()]

@@ -17,6 +17,16 @@ def event_stream(spark: SparkSession, folder: str, file_name: str, schema) -> Da
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def with_end(stream: DataFrame, end: Column | str, folder: str, ts: str = "ts") -> DataFrame:
+    """The stream and a last row at ``end``, all else null: behind every window's end and lateness it moves the
+    watermark so far that what is still open is emitted. For sources that are finished."""
+    spark = stream.sparkSession
+    when = end if isinstance(end, Column) else F.lit(end).cast("timestamp")
+    last = spark.range(1).select(*[when.alias(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    last.write.parquet(f"{folder}/end")
+    return stream.unionByName(spark.readStream.schema(last.schema).parquet(f"{folder}/end"))
+
+
 def tone_monitor(stream: DataFrame, tone: str, key: str = "Symbol", ts: str = "ts", lookback: str = "24 hours", step: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Sliding mean tone and count per symbol, with label and indicator."""
     out = stream.withWatermark(ts, late).groupBy(F.window(ts, lookback, step), key).agg(F.avg(tone).alias("average_sentiment"), F.count(tone).alias("article_count"))
@@ -36,8 +46,9 @@ def alerts(stream: DataFrame, cuts: DataFrame, score: Column, key: str = "Symbol
 
 
 def warning_episodes(stream: DataFrame, warning: Column, key: str = "Symbol", ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Consecutive warnings merged while the gap stays short."""
-    out = stream.where(warning).withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("warnings"))
+    """Consecutive warnings merged while the gap stays short. All rows move the watermark, not warnings alone."""
+    # a filter that names the event time stays behind the watermark
+    out = stream.withWatermark(ts, late).where(F.when(F.col(ts).isNotNull(), warning)).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("warnings"))
     return out.select(F.col("session_window.start").alias("episode_start"), F.col("session_window.end").alias("episode_end"), key, "warnings")
 
 

@@ -102,7 +102,10 @@ def test_garch_recovers_clustering(spark):
         h = 5e-6 + 0.12 * rs[-1] ** 2 + 0.83 * h
     df = spark.createDataFrame([("A", i, float(r)) for i, r in enumerate(rs)] + [("short", i, 0.01 * i) for i in range(5)], "Symbol string, Date int, Returns double")
     out = rb.garch(df).toPandas()
-    assert set(out["Symbol"]) == {"A"} and 0.8 <= out["alpha"].iloc[0] + out["beta"].iloc[0] < 1
+    short = out[out["Symbol"] == "short"]
+    assert len(short) == 5 and set(short["status"]) == {"too_short"} and short["garch_volatility"].isna().all() and short["garch_tail_probability"].isna().all()
+    out = out[out["Symbol"] == "A"]
+    assert set(out["status"]) == {"ok"} and len(out) == 1500 and 0.8 <= out["alpha"].iloc[0] + out["beta"].iloc[0] < 1
     assert out["garch_tail_probability"].between(0, 1).all()
 
 

@@ -74,7 +74,7 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     registry.load()
-    spark = local_session()
+    spark = local_session(int(os.environ.get("CPUS", "8")))
     con = duck(args.d)
     bad = 0
     for name, fn in registry.QUERIES.items():
