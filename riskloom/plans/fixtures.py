@@ -137,6 +137,15 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", brand(n).alias("Symbol"), spread_day(F.floor(n / 50), 5).alias("Date"), "embedding", "label")
 
 
+ELEMENTS = [f"e{i}" for i in range(64)]
+VECTOR_MEANS = "SELECT Symbol, Date, " + ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS {e}" for i, e in enumerate(ELEMENTS)) + " FROM vectors GROUP BY 1, 2"
+
+
+def vector_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vector per symbol and day, a column per element."""
+    return vectors(spark, d).groupBy("Symbol", "Date").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(e) for i, e in enumerate(ELEMENTS)])
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     return lab.label_mean_step(panel_returns(spark, d))
 

@@ -9,7 +9,7 @@ from riskloom.operators import indicators as ind
 from riskloom.operators import joins as jn
 from riskloom.operators import labels as lab
 from riskloom.plans.fixtures import (
-    W, events_catalogue, fundamentals, nation_panel, panel, panel_returns, predictions, r, rnd, scored_filings, scored_news, sql, vectors, win,
+    ELEMENTS, VECTOR_MEANS, W, events_catalogue, fundamentals, nation_panel, panel, panel_returns, predictions, r, rnd, scored_filings, scored_news, sql, vector_means, win,
 )
 from riskloom.plans.registry import query
 
@@ -84,10 +84,10 @@ def c5(spark, d):
     return n.join(f, KEY, "full")
 
 
-@query("c6_labels_and_predictions", sql("SELECT Symbol, Date, l.Risk_Label, p.Risk_Probability FROM labelled l JOIN pred p USING (Symbol, Date) WHERE Date >= DATE '1998-01-01'", "labelled", "pred"))
+@query("c6_labels_and_predictions", sql("SELECT Symbol, Date, l.Risk_Label, p.Risk_Probability FROM labelled l JOIN pred p USING (Symbol, Date)", "labelled", "pred"))
 def c6(spark, d):
     labels = lab.label_mean_step(panel_returns(spark, d)).select(*KEY, "Risk_Label")
-    return labels.where(F.col("Date") >= F.lit("1998-01-01")).join(predictions(spark, d).select(*KEY, "Risk_Probability"), KEY)
+    return labels.join(predictions(spark, d).select(*KEY, "Risk_Probability"), KEY)
 
 
 @query("c7_resolve_collisions", sql("""SELECT p.Symbol, p.Date, coalesce(CASE WHEN p.Volume > 20 THEN p.Close END, q.Close) AS Close, p.Volume, q.Risk_Probability
@@ -134,11 +134,11 @@ def c12(spark, d):
     return jn.clip_windows(events_catalogue(spark), panel(spark, d))
 
 
-@query("c14_vector_fill", sql(f"SELECT Symbol, Date, {r(FF.format(c='x'))} AS x FROM j", "panel", "vectors",
-                              v="SELECT Symbol, Date, avg(embedding[1]::DOUBLE) AS x FROM vectors GROUP BY 1, 2", j="SELECT panel.Symbol, panel.Date, x FROM panel LEFT JOIN v USING (Symbol, Date)"))
+@query("c14_vector_fill", sql("SELECT Symbol, Date, " + ", ".join(f"{r(FF.format(c=e))} AS {e}" for e in ELEMENTS) + " FROM j", "panel", "vectors",
+                              v=VECTOR_MEANS, j="SELECT panel.Symbol, panel.Date, " + ", ".join(ELEMENTS) + " FROM panel LEFT JOIN v USING (Symbol, Date)"))
 def c14(spark, d):
-    v = vectors(spark, d).groupBy(*KEY).agg(F.avg(F.col("embedding")[0].cast("double")).alias("x"))
-    return jn.left_then_fill(panel(spark, d).select(*KEY), v, ["x"]).select(*KEY, rnd("x").alias("x"))
+    out = jn.left_then_fill(panel(spark, d).select(*KEY), vector_means(spark, d), ELEMENTS)
+    return out.select(*KEY, *[rnd(e).alias(e) for e in ELEMENTS])
 
 
 @query("c15_align_text_frame", sql(f"SELECT Symbol, Date, coalesce({r('nm')}, 0) AS tone, coalesce({r('ni')}, 0) AS intensity FROM panel LEFT JOIN dailynews USING (Symbol, Date)", "panel", "dailynews"))

@@ -11,7 +11,7 @@ from riskloom.operators import joins as jn
 from riskloom.operators import scoring as sc
 from riskloom.plans.aggregate_queries import _score
 from riskloom.plans.fixtures import (
-    change, full, fundamentals, labelled, last, panel, plain_round, panel_returns, predictions, r, rnd, scored_filings, scored_news, sql, table, vectors, win,
+    ELEMENTS, VECTOR_MEANS, change, full, fundamentals, labelled, last, panel, panel_returns, plain_round, predictions, r, rnd, scored_filings, scored_news, sql, table, vector_means, win,
 )
 from riskloom.plans.join_queries import LATEST_FILING, NEWS_JOIN, news_panel
 from riskloom.plans.registry import query
@@ -147,27 +147,19 @@ def g23(spark, d):
     return out.select(*KEY, *[rnd(c).alias(c) for c in floats], "sentiment_risk_binary", "sentiment_opportunity")
 
 
-_vec = "SELECT Symbol, Date, avg(embedding[1]::DOUBLE) AS e0, avg(embedding[2]::DOUBLE) AS e1 FROM vectors GROUP BY 1, 2"
-
-
-def text_vectors(spark, d):
-    v = vectors(spark, d)
-    return v.groupBy(*KEY).agg(F.avg(F.col("embedding")[0].cast("double")).alias("e0"), F.avg(F.col("embedding")[1].cast("double")).alias("e1"))
-
-
-@query("g24_concat_fusion", sql(f"SELECT Symbol, Date, coalesce({r('e0')}, 0) AS e0, coalesce({r('e1')}, 0) AS e1 FROM panel LEFT JOIN v USING (Symbol, Date)", "panel", "vectors", v=_vec))
+@query("g24_concat_fusion", sql("SELECT Symbol, Date, " + ", ".join(f"coalesce({r(e)}, 0) AS {e}" for e in ELEMENTS) + " FROM panel LEFT JOIN v USING (Symbol, Date)", "panel", "vectors", v=VECTOR_MEANS))
 def g24(spark, d):
-    text = text_vectors(spark, d).withColumn("Volume", F.lit(1.0))
+    text = vector_means(spark, d).withColumn("Volume", F.lit(1.0))
     out = sc.concat_fusion(panel(spark, d).select(*KEY, "Close", "Volume"), text)
-    return out.select(*KEY, rnd("e0").alias("e0"), rnd("e1").alias("e1"))
+    return out.select(*KEY, *[rnd(e).alias(e) for e in ELEMENTS])
 
 
-@query("g25_gated_fusion", sql(f"""SELECT Symbol, Date, {r('g')} AS fusion_gate, {r('rt * g')} AS gated_tab_Returns, {r('vl * g', 4)} AS gated_tab_Volume, {r('e0 * (1 - g)')} AS gated_text_e0, {r('e1 * (1 - g)')} AS gated_text_e1 FROM b""", "ret", "vectors", v=_vec,
-    a="SELECT Symbol, Date, coalesce(Returns, 0) AS rt, coalesce(Volume, 0) AS vl, coalesce(e0, 0) AS e0, coalesce(e1, 0) AS e1 FROM ret LEFT JOIN v USING (Symbol, Date)",
-    b="SELECT *, sqrt(rt * rt + vl * vl) / (sqrt(rt * rt + vl * vl) + sqrt(e0 * e0 + e1 * e1) + 1e-6) AS g FROM a"))
+@query("g25_gated_fusion", sql(f"""SELECT Symbol, Date, {r('g')} AS fusion_gate, {r('rt * g')} AS gated_tab_Returns, {r('vl * g', 4)} AS gated_tab_Volume, {', '.join(f"{r(f'{e} * (1 - g)')} AS gated_text_{e}" for e in ELEMENTS)} FROM b""", "ret", "vectors", v=VECTOR_MEANS,
+    a="SELECT Symbol, Date, coalesce(Returns, 0) AS rt, coalesce(Volume, 0) AS vl, " + ", ".join(f"coalesce({e}, 0) AS {e}" for e in ELEMENTS) + " FROM ret LEFT JOIN v USING (Symbol, Date)",
+    b="SELECT *, sqrt(rt * rt + vl * vl) / (sqrt(rt * rt + vl * vl) + sqrt(" + " + ".join(f"{e} * {e}" for e in ELEMENTS) + ") + 1e-6) AS g FROM a"))
 def g25(spark, d):
-    out = sc.gated_fusion(panel_returns(spark, d).select(*KEY, "Returns", "Volume"), text_vectors(spark, d))
-    return out.select(*KEY, rnd("gated_tab_Volume", 4).alias("gated_tab_Volume"), *[rnd(c).alias(c) for c in ("fusion_gate", "gated_tab_Returns", "gated_text_e0", "gated_text_e1")])
+    out = sc.gated_fusion(panel_returns(spark, d).select(*KEY, "Returns", "Volume"), vector_means(spark, d))
+    return out.select(*KEY, rnd("gated_tab_Volume", 4).alias("gated_tab_Volume"), *[rnd(c).alias(c) for c in ("fusion_gate", "gated_tab_Returns", *(f"gated_text_{e}" for e in ELEMENTS))])
 
 
 @query("g26_binary_entropy", sql(f"SELECT Symbol, Date, {r('-(q * ln(q) + (1 - q) * ln(1 - q))')} AS entropy FROM (SELECT *, least(greatest(Risk_Probability, 1e-6), 1 - 1e-6) AS q FROM pred)", "pred"))
