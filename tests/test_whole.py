@@ -11,6 +11,7 @@ from riskloom.functions.quantiles import exact_quantiles, running_totals
 from riskloom.operators import aggregates as ag
 from riskloom.operators import evaluation as ev
 from riskloom.operators import models as md
+from riskloom.session import checkpoint, scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -78,3 +79,11 @@ for name in {names!r}:
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-1500:]
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    with scratch(spark):
+        stored = checkpoint(spark.range(10))
+        folder = stored.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/")
+        assert stored.count() == 10 and os.path.isdir(folder)
+    assert not os.path.exists(folder)

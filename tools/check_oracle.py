@@ -67,7 +67,7 @@ def compare(got: pa.Table, want: pa.Table) -> list[str]:
 
 def main() -> int:
     from riskloom.plans import registry
-    from riskloom.session import local_session
+    from riskloom.session import local_session, scratch
 
     ap = argparse.ArgumentParser()
     ap.add_argument("-d", default="/root/testdata/sf0.01")
@@ -82,7 +82,8 @@ def main() -> int:
             continue
         t0 = time.time()
         try:
-            got = fn(spark, args.d).toArrow()
+            with scratch(spark):
+                got = fn(spark, args.d).toArrow()
             took = time.time() - t0
             if name in registry.ORACLES:
                 t0 = time.time()
