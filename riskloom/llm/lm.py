@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,18 +267,23 @@ def bit_counts(grams: DataFrame) -> np.ndarray:
     return counts
 
 
-def fit(grams: DataFrame) -> Model:
-    """Counts, then weights learned on the grams of each task and averaged, then the refinement. What comes
-    to the driver has a fixed size per row of the three small tables."""
+def table_of(z: bytes) -> np.ndarray:
+    return stretch(z, np.uint16).reshape(2, SLOTS)
+
+
+def fit(grams: DataFrame) -> tuple[Model, Broadcast]:
+    """Counts, then weights learned on the grams of each task and averaged, then the refinement: three tables of
+    fixed size come to the driver. The counts are broadcast once, compressed, for fitting and scoring."""
     sc = grams.sparkSession.sparkContext
     counts = bit_counts(grams)
-    shared = sc.broadcast(counts)  # 2 x SLOTS x 2 bytes, fixed
+    shared = sc.broadcast(squeeze(counts))  # 2 x SLOTS x 2 bytes at most
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = table_of(shared.value)
         for b in batches:
             for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
                 g, n = stretch(g, np.uint64), stretch(n, np.int64)
-                w = learn(shared.value, g, n).ravel()
+                w = learn(counts, g, n).ravel()
                 yield pa.record_batch({"at": pa.array(np.arange(len(w), dtype=np.int32)), "w": pa.array(w * len(g)), "n": pa.array(np.full(len(w), float(len(g))))})
 
     learned = grams.select("words", "counts").mapInArrow(weights, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
@@ -288,7 +294,7 @@ def fit(grams: DataFrame) -> Model:
     plain = sc.broadcast(w)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, plain.value)
+        model = Model(table_of(shared.value), plain.value)
         hits = np.zeros((2, 256 * LEVELS))
         for b in batches:
             for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
@@ -306,7 +312,7 @@ def fit(grams: DataFrame) -> Model:
     n0, n1 = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
     n0[cells["at"]], n1[cells["at"]] = cells["n0"], cells["n1"]
     mixer.refined = (n1 + 8 * prior) / (n0 + n1 + 8)
-    return mixer
+    return mixer, shared
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -322,15 +328,18 @@ def score(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id", "text")
     blocks = in_blocks(ids, remainder("doc_id", 7) != 2, prepared)
     merged = checkpoint(corpus_counts(blocks, n).groupBy("kind", "bucket").applyInArrow(merge, MERGED))
-    model = fit(merged.where("kind = 1"))
+    model, counts_sent = fit(merged.where("kind = 1"))
     per_bucket = merged.where("kind = 0").groupBy("bucket").agg(F.max("distinct").alias("v"), F.max("tokens").alias("n"))
     sums = per_bucket.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     texts = docs.where(remainder("doc_id", 7) != 2).count()  # an end sign each
     distinct, tokens = int(sums["v"] or 0) + (texts > 0), int(sums["n"] or 0) + texts
-    shared = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.refined))
+    weights_sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.refined))
+    cache: dict[str, Model] = {}  # of a task
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        model = Model(*shared.value)
+        if not cache:
+            cache["model"] = Model(table_of(counts_sent.value), *weights_sent.value)
+        model = cache["model"]
         packs, flags = table.column("z").to_pylist(), table.column("flags").to_pylist()
         seen: set[bytes] = set()
         for z in packs:
