@@ -29,7 +29,9 @@ SPACE = "▁"
 MASK = 61
 """Code points up to which a chunk's boundaries are bits of a long."""
 UNKNOWN = (1 << 20) - 1
-"""Id of an edge over a character without a piece."""
+"""Id of an edge over a character without a piece, or with one still to be looked up."""
+SIMPLE = 0x3000
+"""Characters below this code point are looked up in a constant array."""
 NEWLINE = "\x00\x01"
 """Stands for a newline inside the packed words, whose separator it is."""
 
@@ -79,6 +81,12 @@ class Pieces:
         rank = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
         return [rank[s] for s in self.scores]
 
+    @property
+    def singles(self) -> list[int]:
+        """Id of each character below ``SIMPLE``."""
+        known = {x: i for x, i in zip(self.pieces, self.ids) if len(x) == 1}
+        return [known.get(chr(c), UNKNOWN) for c in range(SIMPLE)]
+
     @property
     def tied(self) -> list[int]:
         """Ranks that several longer pieces share (runs of white space in the public files)."""
@@ -142,7 +150,7 @@ def merged(length: int, edges: list[int]) -> list[int]:
             offer(s)
             if s:
                 offer(left[s])
-    return [table[(s, right[s] - s)] for s in range(length) if alive[s]]
+    return [table.get((s, right[s] - s), (s << 26) | (1 << 20) | UNKNOWN) for s in range(length) if alive[s]]
 
 
 def viterbi(length: int, edges: list[int], scores: dict[int, float], unknown: float) -> list[int]:
@@ -167,52 +175,65 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     """``chunk`` (distinct) -> ``chunk, ids``.
 
     An edge is packed in a long: rank (16 bits), start (21), length (6), id (20); sorted, edges come by
-    rank, then start. Every character has an edge, one without a piece that of ``UNKNOWN``; it is written as its
-    UTF-8 bytes. The join's piece table is broadcast: the model file bounds it.
+    rank, then start. Single characters below ``SIMPLE`` are no edges of a BPE lattice (they are what no edge
+    covers); their ids are in a constant array. A character without a piece is written as its UTF-8 bytes. An empty edge
+    keeps chunks without any other. The join's piece table is broadcast: the model file bounds it.
     """
     spark = chunks.sparkSession
-    table = F.broadcast(pieces.frame(spark))
+    empty = spark.createDataFrame([("", 0xFFFF, 0.0, UNKNOWN, 0)], "piece string, rank long, score double, id int, len int")
+    table = F.broadcast(pieces.frame(spark).union(empty).select("piece", "rank", "id"))
     # chunks stay where they are from here on: explosion, join, grouping and folds need no other shuffle
     placed = chunks.repartition(partitions(chunks), "chunk")
-    starts = placed.select("chunk", F.explode(F.sequence(F.lit(1), F.length("chunk"))).alias("s"))
-    spans = starts.select("chunk", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("chunk") - F.col("s") + 1))).alias("n"))
-    found = spans.withColumn("piece", F.substring(F.col("chunk"), F.col("s"), F.col("n"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
+    least = F.lit(1) if pieces.unigram else F.when(F.col("chunk").rlike(r"[^\x{0}-\x{2FFF}]"), 1).otherwise(2)
+    starts = placed.select("chunk", least.alias("least"), F.explode(F.sequence(F.lit(0), F.length("chunk"))).alias("s"))
+    most = F.least(F.lit(pieces.longest), F.length("chunk") - F.col("s") + 1)
+    lengths = F.when(F.col("s") == 0, F.array(F.lit(0))).when(most >= F.col("least"), F.sequence(F.col("least"), most, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    spans = starts.select("chunk", "s", F.explode(lengths).alias("n"))
+    found = spans.withColumn("piece", F.substring(F.col("chunk"), F.col("s"), F.col("n"))).join(table, "piece")
     two = lambda k: F.lit(1 << k).cast("long")
-    rank = F.coalesce(F.col("rank"), F.lit(0xFFFF).cast("long"))
-    edge = rank * two(47) + (F.col("s") - 1).cast("long") * two(26) + F.col("n").cast("long") * two(20) + F.coalesce(F.col("id"), F.lit(UNKNOWN))
-    lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edge = F.col("rank") * two(47) + F.greatest(F.col("s") - 1, F.lit(0)).cast("long") * two(26) + F.col("n").cast("long") * two(20) + F.col("id")
     start = lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(0x1FFFFF))
     size = lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63))
-    short = F.length("chunk") <= (MASK if not pieces.unigram else 400)
-    if pieces.tied and not pieces.unigram:  # pieces of equal rank grow from the left as they are found: the heap does that
-        short &= ~F.exists("edges", lambda x: F.shiftright(x, 47).isin(pieces.tied) & (size(x) > 1))
+    one = lambda x: x.bitwiseAND(F.lit(UNKNOWN)).cast("int")
+    lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    lattice = lattice.withColumn("edges", F.filter("edges", lambda x: size(x) > 0))
     if pieces.unigram:
-        kept = _viterbi_fold(pieces, start, size)
+        holes = F.filter(F.sequence(F.lit(0), F.length("chunk") - 1), lambda i: ~F.exists("edges", lambda x: (size(x) == 1) & (start(x) == i)))
+        lattice = lattice.withColumn("edges", F.concat("edges", F.transform(holes, lambda i: i.cast("long") * two(26) + F.lit((1 << 20) | UNKNOWN))))
+        short, kept = F.length("chunk") <= 400, _viterbi_fold(pieces, start, size)
     else:
-        kept = _merge_fold()
+        short, kept = F.length("chunk") <= MASK, _merge_fold()
+        if pieces.tied:  # pieces of equal rank grow from the left as they are found: the heap does that
+            short &= ~F.exists("edges", lambda x: F.shiftright(x, 47).isin(pieces.tied) & (size(x) > 1))
     path = F.when(short, kept).otherwise(_long_path(pieces)(F.when(~short, F.length("chunk")), F.when(~short, F.col("edges"))))
     by_start = F.array_sort(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
-    byte_ids = listed(pieces.byte_ids).cast("array<int>")
+    byte_ids, singles = listed(pieces.byte_ids).cast("array<int>"), listed(pieces.singles).cast("array<int>")
+    char = lambda x: F.substring(F.col("chunk"), (start(x) + 1).cast("int"), F.lit(1))
+    known = lambda x: F.when(one(x) != UNKNOWN, one(x)).when(F.ascii(char(x)) < SIMPLE, F.element_at(singles, F.ascii(char(x)) + 1)).otherwise(F.lit(UNKNOWN))
 
-    def as_bytes(x: Column) -> Column:
-        h = F.hex(F.encode(F.substring(F.col("chunk"), (start(x) + 1).cast("int"), F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + 1))
+    def spelled(x: Column) -> Column:
+        own = F.filter("edges", lambda e: (size(e) == 1) & (start(e) == start(x)) & (one(e) != UNKNOWN))
+        h = F.hex(F.encode(char(x), "UTF-8"))
+        as_bytes = F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + 1))
+        return F.when(known(x) != UNKNOWN, F.array(known(x))).when(F.size(own) > 0, F.transform(own, one)).otherwise(as_bytes)
 
-    one = lambda x: x.bitwiseAND(F.lit(UNKNOWN)).cast("int")
-    some_unknown = F.exists("path", lambda x: one(x) == UNKNOWN)
-    ids = F.when(~some_unknown, F.transform("path", one)).otherwise(F.flatten(F.transform("path", lambda x: F.when(one(x) == UNKNOWN, as_bytes(x)).otherwise(F.array(one(x))))))
-    return lattice.select("chunk", by_start.alias("path")).select("chunk", ids.alias("ids"))
+    paths = lattice.select("chunk", "edges", by_start.alias("path")).withColumn("ids", F.transform("path", known))
+    ids = F.when(~F.array_contains("ids", UNKNOWN), F.col("ids")).otherwise(F.flatten(F.transform("path", spelled)))
+    return paths.select("chunk", ids.alias("ids"))
 
 
 def _merge_fold() -> Column:
-    """The set of boundaries is a long; the result are the edges between neighbouring boundaries."""
+    """The set of boundaries is a long; the result are the edges between neighbouring boundaries, and single
+    characters that are left, with the id ``UNKNOWN``."""
     s, e = "cast(shiftright(x, 26) & 2097151 as int)", "cast((shiftright(x, 26) & 2097151) + (shiftright(x, 20) & 63) as int)"
     ends = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
     inside = f"(m & (shiftleft(1L, {e}) - shiftleft(2L, {s})))"
     join = f"case when (m & {ends}) = {ends} and {inside} <> 0 and ({inside} & ({inside} - 1)) = 0 then m ^ {inside} else m end"
     longer = "filter(edges, x -> (shiftright(x, 20) & 63) > 1)"
     bounds = f"aggregate({longer}, shiftleft(1L, length(chunk) + 1) - 1L, (m, x) -> {join})"
-    return F.expr(f"transform(array({bounds}), m -> filter(edges, x -> (m & {ends}) = {ends} and {inside} = 0))[0]")
+    many = f"filter(edges, x -> (shiftright(x, 20) & 63) > 1 and (m & {ends}) = {ends} and {inside} = 0)"
+    single = f"transform(filter(sequence(0, length(chunk) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s)), s -> shiftleft(cast(s as bigint), 26) | {(1 << 20) | UNKNOWN}L)"
+    return F.expr(f"transform(array({bounds}), m -> concat({many}, {single}))[0]")
 
 
 def _viterbi_fold(pieces: Pieces, start, size) -> Column:
@@ -305,31 +326,31 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     def assemble(table: pa.Table, answers: pa.Table) -> pa.Table:
         import hashlib
 
-        seen: set[str] = set()
-        packs = table.column("z").to_pylist()
-        for z in packs:
-            for data in unpack(z):
-                seen.update(cut.findall(data.decode("utf-8", "surrogatepass")))
-        by = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("ids").to_pylist(), answers.column("sizes").to_pylist())))
-        order, ids, sizes = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for bucket, ws in by_bucket((c.encode("utf-8", "surrogatepass") if c != "\n" else NEWLINE.encode() for c in seen), n):
-            order.extend(ws)
-            ids.append(stretch(by[bucket][0], np.int32))
-            sizes.append(stretch(by[bucket][1], np.int32))
-        flat, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        at = {("\n" if w == NEWLINE.encode() else w.decode("utf-8", "surrogatepass")): i for i, w in enumerate(order)}
-        doc_ids, counts, out, shas = [], [], [], []
-        for own, z in zip(table.column("ids").to_pylist(), packs):
+        numbers, rows, doc_ids, shas = Numbers(), [], [], []
+        for own, z in zip(table.column("ids").to_pylist(), table.column("z").to_pylist()):
             for i, data in zip(own, unpack(z)):
                 text = data.decode("utf-8", "surrogatepass")
                 found = cut.findall(text)
-                idx = np.fromiter(map(at.__getitem__, found), np.int64, len(found))
-                one = gather(flat, first[idx], sizes[idx]).astype(np.int32)
+                rows.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 doc_ids.append(i)
-                counts.append(len(one))
-                out.append(one)
                 shas.append(hashlib.sha256(text[1:].replace(SPACE, " ").encode("utf-8", "surrogatepass")).hexdigest())
+        by = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("ids").to_pylist(), answers.column("sizes").to_pylist())))
+        place, ids, sizes = np.zeros(len(numbers), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        at = 0
+        for bucket, ws in by_bucket((c.encode("utf-8", "surrogatepass") if c != "\n" else NEWLINE.encode() for c in numbers), n):
+            for w in ws:
+                place[numbers["\n" if w == NEWLINE.encode() else w.decode("utf-8", "surrogatepass")]] = at
+                at += 1
+            ids.append(stretch(by[bucket][0], np.int32))
+            sizes.append(stretch(by[bucket][1], np.int32))
+        flat, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        first = (np.cumsum(sizes) - sizes)[place] if at else place
+        sizes = sizes[place] if at else place
+        counts, out = [], []
+        for idx in rows:
+            one = gather(flat, first[idx], sizes[idx])
+            counts.append(len(one))
+            out.append(one)
         offsets = np.cumsum([0, *counts])
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(counts, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), "text_sha256": pa.array(shas, pa.string())})
@@ -337,6 +358,14 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string")
 
 
+class Numbers(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Slices of an array, one after the other."""
     if not len(sizes):
