@@ -73,6 +73,14 @@ def in_blocks(docs: DataFrame, flag, prepare: Callable[[str], bytes], most: int
     return rows.mapInArrow(run, PACKED).repartition(n, "block")
 
 
+class Numbers(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 def by_bucket(words: Iterable[bytes], buckets: int) -> list[tuple[int, list[bytes]]]:
     """Words by bucket, sorted: the order both ways."""
     out: dict[int, list[bytes]] = {}

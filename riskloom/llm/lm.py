@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.blocks import by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
+from riskloom.llm.blocks import Numbers, by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
 from riskloom.llm.common import partitions, remainder
 from riskloom.session import checkpoint
 
@@ -41,10 +41,6 @@ MOST = 65_535
 """Counts of a slot are scaled down to this, both bits alike, so that the table has a fixed size."""
 
 
-def stretched(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -99,7 +95,7 @@ def inputs(counts: np.ndarray, grams: np.ndarray, leave_out: bool) -> tuple[np.n
         n1 = np.maximum(n1 - bits[:, :, None], 0)
         n0 = np.maximum(n0 - (1 - bits)[:, :, None], 0)
     x = np.ones((*bits.shape, len(CONTEXTS) + 1), np.float32)
-    x[:, :, :-1] = stretched((n1 + PRIOR) / (n0 + n1 + 2 * PRIOR))
+    np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)), out=x[:, :, :-1])  # the logit of (n1 + prior) / (n + 2 prior)
     x[:, :, -1] = 0.3
     seen = (n0 + n1 > 0).sum(2)
     return x, np.arange(8)[None, :] * (len(CONTEXTS) + 1) + seen, bits
@@ -138,7 +134,7 @@ class Model:
 
     def mixed(self, grams: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, gate, bits = inputs(self.counts, grams, leave_out)
-        s = (x * self.weights[gate]).sum(2)
+        s = np.einsum("nbk,nbk->nb", x, self.weights.astype(np.float32)[gate]).astype(float)
         last = ((grams >> np.uint64(8)) & np.uint64(255)).astype(np.int64)[:, None]
         return s, last * LEVELS + level(s), bits
 
@@ -341,21 +337,9 @@ def score(docs: DataFrame) -> DataFrame:
             cache["model"] = Model(table_of(counts_sent.value), *weights_sent.value)
         model = cache["model"]
         packs, flags = table.column("z").to_pylist(), table.column("flags").to_pylist()
-        seen: set[bytes] = set()
-        for z in packs:
-            for text in unpack(z):
-                seen.update(text.split(b" "))
-        seen.discard(b"")
-        by = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
-        order, counts = [], [np.zeros(0, np.int64)]
-        for bucket, ws in by_bucket(seen, n):
-            order.extend(ws)
-            counts.append(stretch(by[bucket], np.int64))
-        c = np.concatenate(counts)
-        at = {w: i for i, w in enumerate(order)}
-        total = tokens + distinct + 1
-        logp, known = np.log10((c + 1) / total), c > 0
+        numbers, total = Numbers(), tokens + distinct + 1
         end = float(np.log10((texts + 1) / total))
+        words: list[np.ndarray] = []
         out: list[tuple] = []
         held: list[bytes] = []
 
@@ -369,8 +353,8 @@ def score(docs: DataFrame) -> DataFrame:
         for own, fs, z in zip(table.column("ids").to_pylist(), flags, packs):
             for i, train, text in zip(own, fs, unpack(z)):
                 ws = text.split(b" ") if text else []
-                idx = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
-                out.append((i, not train, len(ws) + 1, int(known[idx].sum()) + (texts > 0), float(logp[idx].sum()) + end, len(text) + 1))
+                words.append(np.fromiter(map(numbers.__getitem__, ws), np.int32, len(ws)))
+                out.append((i, not train, len(ws) + 1, len(text) + 1))
                 held.append(text)
                 size += len(text)
                 if size > CHUNK:
@@ -383,7 +367,12 @@ def score(docs: DataFrame) -> DataFrame:
         scores: list[float] = []
         for inv, found, lengths in chunks:
             scores += np.add.reduceat(cost[np.searchsorted(distinct_grams, found)][inv], np.cumsum([0, *lengths[:-1]])).tolist()
-        out = [(*o, s) for o, s in zip(out, scores)]
+        by = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
+        c = np.zeros(len(numbers), np.int64)
+        for bucket, ws in by_bucket(numbers, n):
+            c[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[bucket], np.int64)
+        logp, known = np.log10((c + 1) / total), c > 0
+        out = [(i, h, k, int(known[w].sum()) + (texts > 0), float(logp[w].sum()) + end, b, s) for (i, h, k, b), w, s in zip(out, words, scores)]
         cols = list(zip(*out))
         return pa.table({
             "doc_id": pa.array(cols[0], pa.int64()), "held_out": pa.array(cols[1], pa.bool_()), "n_tokens": pa.array(cols[2], pa.int64()), "n_known": pa.array(cols[3], pa.int64()),

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.blocks import by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
+from riskloom.llm.blocks import Numbers, by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
 from riskloom.llm.common import partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -358,14 +358,6 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string")
 
 
-class Numbers(dict):
-    """Numbers its keys as they are asked for."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Slices of an array, one after the other."""
     if not len(sizes):
