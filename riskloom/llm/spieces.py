@@ -93,6 +93,12 @@ class Pieces:
         ranks = [r for r, x in zip(self.ranks, self.pieces) if len(x) > 1]
         return [r for r, n in Counter(ranks).items() if n > 1]
 
+    @property
+    def tied_pairs(self) -> list[str]:
+        """Without one of these pairs of characters a chunk has no such piece."""
+        tied = set(self.tied)
+        return sorted({x[:2] for x, r in zip(self.pieces, self.ranks) if len(x) > 1 and r in tied})
+
     def chunk_pattern(self) -> str:
         """Cuts before white space, around newlines and behind a run of word characters, as far as no piece
         has such a place inside."""
@@ -196,17 +202,16 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     size = lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63))
     one = lambda x: x.bitwiseAND(F.lit(UNKNOWN)).cast("int")
     lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    lattice = lattice.withColumn("edges", F.filter("edges", lambda x: size(x) > 0))
     if pieces.unigram:
         holes = F.filter(F.sequence(F.lit(0), F.length("chunk") - 1), lambda i: ~F.exists("edges", lambda x: (size(x) == 1) & (start(x) == i)))
         lattice = lattice.withColumn("edges", F.concat("edges", F.transform(holes, lambda i: i.cast("long") * two(26) + F.lit((1 << 20) | UNKNOWN))))
         short, kept = F.length("chunk") <= 400, _viterbi_fold(pieces, start, size)
     else:
         short, kept = F.length("chunk") <= MASK, _merge_fold()
-        if pieces.tied:  # pieces of equal rank grow from the left as they are found: the heap does that
-            short &= ~F.exists("edges", lambda x: F.shiftright(x, 47).isin(pieces.tied) & (size(x) > 1))
+        for pair in pieces.tied_pairs:  # pieces of equal rank grow from the left as they are found: the heap does that
+            short &= ~F.contains("chunk", F.lit(pair))
     path = F.when(short, kept).otherwise(_long_path(pieces)(F.when(~short, F.length("chunk")), F.when(~short, F.col("edges"))))
-    by_start = F.array_sort(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
+    by_start = F.sort_array(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
     byte_ids, singles = listed(pieces.byte_ids).cast("array<int>"), listed(pieces.singles).cast("array<int>")
     char = lambda x: F.substring(F.col("chunk"), (start(x) + 1).cast("int"), F.lit(1))
     known = lambda x: F.when(one(x) != UNKNOWN, one(x)).when(F.ascii(char(x)) < SIMPLE, F.element_at(singles, F.ascii(char(x)) + 1)).otherwise(F.lit(UNKNOWN))
@@ -225,13 +230,12 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
 def _merge_fold() -> Column:
     """The set of boundaries is a long; the result are the edges between neighbouring boundaries, and single
     characters that are left, with the id ``UNKNOWN``."""
-    s, e = "cast(shiftright(x, 26) & 2097151 as int)", "cast((shiftright(x, 26) & 2097151) + (shiftright(x, 20) & 63) as int)"
-    ends = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
-    inside = f"(m & (shiftleft(1L, {e}) - shiftleft(2L, {s})))"
-    join = f"case when (m & {ends}) = {ends} and {inside} <> 0 and ({inside} & ({inside} - 1)) = 0 then m ^ {inside} else m end"
-    longer = "filter(edges, x -> (shiftright(x, 20) & 63) > 1)"
-    bounds = f"aggregate({longer}, shiftleft(1L, length(chunk) + 1) - 1L, (m, x) -> {join})"
-    many = f"filter(edges, x -> (shiftright(x, 20) & 63) > 1 and (m & {ends}) = {ends} and {inside} = 0)"
+    s, n = "cast(shiftright(x, 26) & 2097151 as int)", "cast(shiftright(x, 20) & 63 as int)"
+    seen = f"(shiftrightunsigned(m, {s}) & (shiftleft(2L, {n}) - 1))"  # boundaries from the edge's start to its end
+    ends = f"(shiftleft(1L, {n}) + 1)"
+    join = f"case when bit_count({seen}) = 3 and ({seen} & {ends}) = {ends} then m - shiftleft({seen} - {ends}, {s}) else m end"
+    bounds = f"aggregate(edges, shiftleft(1L, length(chunk) + 1) - 1L, (m, x) -> {join})"
+    many = f"filter(edges, x -> {seen} = {ends} and {n} > 1)"
     single = f"transform(filter(sequence(0, length(chunk) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s)), s -> shiftleft(cast(s as bigint), 26) | {(1 << 20) | UNKNOWN}L)"
     return F.expr(f"transform(array({bounds}), m -> concat({many}, {single}))[0]")
 
