@@ -30,8 +30,8 @@ MASK = 61
 """Code points up to which a chunk's boundaries are bits of a long."""
 UNKNOWN = (1 << 20) - 1
 """Id of an edge over a character without a piece, or with one still to be looked up."""
-SIMPLE = 0x3000
-"""Characters below this code point are looked up in a constant array."""
+SIMPLE = 0x250
+"""Characters below this code point are looked up in a constant array, which plans carry and so is kept short."""
 NEWLINE = "\x00\x01"
 """Stands for a newline inside the packed words, whose separator it is."""
 
@@ -181,7 +181,7 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     """``chunk`` (distinct) -> ``chunk, ids``.
 
     An edge is packed in a long: rank (16 bits), start (21), length (6), id (20); sorted, edges come by
-    rank, then start. Single characters below ``SIMPLE`` are no edges of a BPE lattice (they are what no edge
+    rank, then start. Single characters below ``SIMPLE`` and the escape sign are no edges of a BPE lattice (they are what no edge
     covers); their ids are in a constant array. A character without a piece is written as its UTF-8 bytes. An empty edge
     keeps chunks without any other. The join's piece table is broadcast: the model file bounds it.
     """
@@ -190,7 +190,7 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.broadcast(pieces.frame(spark).union(empty).select("piece", "rank", "id"))
     # chunks stay where they are from here on: explosion, join, grouping and folds need no other shuffle
     placed = chunks.repartition(partitions(chunks), "chunk")
-    least = F.lit(1) if pieces.unigram else F.when(F.col("chunk").rlike(r"[^\x{0}-\x{2FFF}]"), 1).otherwise(2)
+    least = F.lit(1) if pieces.unigram else F.when(F.col("chunk").rlike(rf"[^\x{{0}}-\x{{{SIMPLE - 1:X}}}{SPACE}]"), 1).otherwise(2)
     starts = placed.select("chunk", least.alias("least"), F.explode(F.sequence(F.lit(0), F.length("chunk"))).alias("s"))
     most = F.least(F.lit(pieces.longest), F.length("chunk") - F.col("s") + 1)
     lengths = F.when(F.col("s") == 0, F.array(F.lit(0))).when(most >= F.col("least"), F.sequence(F.col("least"), most, F.lit(1))).otherwise(F.array().cast("array<int>"))
@@ -213,8 +213,9 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     path = F.when(short, kept).otherwise(_long_path(pieces)(F.when(~short, F.length("chunk")), F.when(~short, F.col("edges"))))
     by_start = F.sort_array(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
     byte_ids, singles = listed(pieces.byte_ids).cast("array<int>"), listed(pieces.singles).cast("array<int>")
+    space = dict(zip(pieces.pieces, pieces.ids)).get(SPACE, UNKNOWN)
     char = lambda x: F.substring(F.col("chunk"), (start(x) + 1).cast("int"), F.lit(1))
-    known = lambda x: F.when(one(x) != UNKNOWN, one(x)).when(F.ascii(char(x)) < SIMPLE, F.element_at(singles, F.ascii(char(x)) + 1)).otherwise(F.lit(UNKNOWN))
+    known = lambda x: F.when(one(x) != UNKNOWN, one(x)).when(char(x) == SPACE, F.lit(space)).when(F.ascii(char(x)) < SIMPLE, F.element_at(singles, F.ascii(char(x)) + 1)).otherwise(F.lit(UNKNOWN))
 
     def spelled(x: Column) -> Column:
         own = F.filter("edges", lambda e: (size(e) == 1) & (start(e) == start(x)) & (one(e) != UNKNOWN))
@@ -376,4 +377,5 @@ def decode(ids: Column, pieces: Pieces) -> Column:
     table = listed(pieces.texts)
     data = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
     text = F.replace(F.decode(data, "UTF-8"), F.lit(SPACE), F.lit(" "))
-    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    # bound once: the plan holds the table once
+    return F.transform(F.array(text), lambda t: F.when(F.startswith(t, F.lit(" ")), F.substring(t, 2, 2**31 - 1)).otherwise(t))[0]
