@@ -29,6 +29,8 @@ WINDOW = 6
 """Bytes of a gram: the longest context and the byte it predicts; above them the word's length (4 bits)."""
 SLOT_BITS = 24
 SLOTS = 1 << SLOT_BITS
+"""Slots of the smallest table. A corpus that would fill over ``FULL`` of it gets a larger one."""
+FULL = 0.25
 CHUNK = 2_000_000
 PIECES = 64
 """Parts of the table that are added up on their own."""
@@ -38,7 +40,7 @@ PASSES = 3
 LEVELS = 33
 GATES = 8 * (len(CONTEXTS) + 1)
 MOST = 65_535
-"""Counts of a slot are scaled down to this, both bits alike, so that the table has a fixed size."""
+"""Counts of a slot are scaled down to this, both bits alike; the rarest bit keeps a count, and probabilities end at 1e-5."""
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -70,8 +72,8 @@ def windows(texts: list[bytes]) -> np.ndarray:
     return g[keep]
 
 
-def slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (gram x bit x context) and the bits themselves (gram x bit)."""
+def slots(grams: np.ndarray, slot_bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a table of 2^``slot_bits`` (gram x bit x context) and the bits themselves (gram x bit)."""
     byte = (grams & np.uint64(255)).astype(np.int64)
     bits = (byte[:, None] >> np.arange(7, -1, -1)) & 1
     node = ((np.int64(1) << np.arange(8)) | (byte[:, None] >> (8 - np.arange(8)))).astype(np.uint64)
@@ -82,14 +84,14 @@ def slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
         h = (h[:, None] + node) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, :, k] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out[:, :, k] = (h >> np.uint64(64 - slot_bits)).astype(np.int64)
     return out, bits
 
 
 def inputs(counts: np.ndarray, grams: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretched predictions (gram x bit x order and a constant), gates and bits. ``leave_out`` takes one
     occurrence of the gram itself out of the counts, as if it had not been seen yet."""
-    at, bits = slots(grams)
+    at, bits = slots(grams, counts.shape[1].bit_length() - 1)
     n0, n1 = counts[0][at].astype(np.float32), counts[1][at].astype(np.float32)
     if leave_out:
         n1 = np.maximum(n1 - bits[:, :, None], 0)
@@ -127,7 +129,7 @@ def level(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Counts, weights and refinement; the size is fixed whatever the corpus."""
+    """Counts, weights and refinement; the table of counts grows with the distinct contexts of the corpus."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None):
         self.counts, self.weights, self.refined = counts, weights, refined
@@ -225,24 +227,36 @@ def merge(table: pa.Table) -> pa.Table:
 MERGED = SENT + ", distinct long, tokens long"
 
 
-def bit_counts(grams: DataFrame) -> np.ndarray:
-    """Counts of both bits in every slot: partial sums leave a task for the slots it met only, parts of the
-    table are added up by Spark, and the finished table (fixed size) comes to the driver."""
-    width = SLOTS // PIECES
+def bit_counts(grams: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
+    """Counts of both bits in every slot of a table of 2^``slot_bits`` or more. The slots in use tell how many distinct
+    contexts and bit prefixes there are; if they fill over ``FULL`` of the table, they are counted again in one where they do not."""
+    while True:
+        counts = table_counts(grams, slot_bits)
+        used = np.count_nonzero(counts.any(0)) / counts.shape[1]
+        if used <= FULL:
+            return counts
+        slot_bits += max(1, int(np.ceil(np.log2(np.log(max(1 - used, 1e-6)) / np.log(1 - FULL)))))
+
+
+def table_counts(grams: DataFrame, slot_bits: int) -> np.ndarray:
+    """Counts in a table of this size: partial sums leave a task for the slots it met only, parts of the
+    table are added up by Spark, and the finished table comes to the driver."""
+    pieces = min(PIECES, 1 << slot_bits)
+    width = (1 << slot_bits) // pieces
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, SLOTS), np.uint32)
+        table = np.zeros((2, 1 << slot_bits), np.uint32)
         for b in batches:
             for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
                 g, n = stretch(g, np.uint64), stretch(n, np.int64)
                 for at in range(0, len(g), 50_000):
-                    s, bits = slots(g[at:at + 50_000])
+                    s, bits = slots(g[at:at + 50_000], slot_bits)
                     weight = np.broadcast_to(n[at:at + 50_000, None, None], s.shape)
                     one = np.broadcast_to(bits[:, :, None] == 1, s.shape)
                     for k, mask in enumerate((~one, one)):
                         found, inv = np.unique(s[mask], return_inverse=True)
                         table[k, found] += np.bincount(inv, weight[mask]).astype(np.uint32)
-        for p in range(PIECES):
+        for p in range(pieces):
             part = table[:, p * width:(p + 1) * width]
             if part.any():
                 at = np.flatnonzero(part.any(0)).astype(np.int32)
@@ -257,22 +271,22 @@ def bit_counts(grams: DataFrame) -> np.ndarray:
         return pa.table({"piece": table.column("piece").slice(0, 1), "n": pa.array([squeeze(total)], pa.binary())})
 
     parts = grams.select("words", "counts").mapInArrow(spread, "piece int, at binary, n binary").groupBy("piece").applyInArrow(add, "piece int, n binary")
-    counts = np.zeros((2, SLOTS), np.uint16)
+    counts = np.zeros((2, 1 << slot_bits), np.uint16)
     for r in parts.toLocalIterator():
         counts[:, r["piece"] * width:(r["piece"] + 1) * width] = stretch(r["n"], np.uint16).reshape(2, width)
     return counts
 
 
 def table_of(z: bytes) -> np.ndarray:
-    return stretch(z, np.uint16).reshape(2, SLOTS)
+    return stretch(z, np.uint16).reshape(2, -1)
 
 
 def fit(grams: DataFrame) -> tuple[Model, Broadcast]:
-    """Counts, then weights learned on the grams of each task and averaged, then the refinement: three tables of
-    fixed size come to the driver. The counts are broadcast once, compressed, for fitting and scoring."""
+    """Counts, then weights learned on the grams of each task and averaged, then the refinement: three tables
+    come to the driver. The counts are broadcast once, compressed, for fitting and scoring."""
     sc = grams.sparkSession.sparkContext
     counts = bit_counts(grams)
-    shared = sc.broadcast(squeeze(counts))  # 2 x SLOTS x 2 bytes at most
+    shared = sc.broadcast(squeeze(counts))  # 4 bytes a slot before compression
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table_of(shared.value)

@@ -91,6 +91,18 @@ def test_windows_and_word_lengths():
     assert (g >> np.uint64(8 * lm.WINDOW)).tolist() == [0, 1, 2, 0, 1, 2, 0, 0, 1]
 
 
+def test_lm_table_grows_with_the_contexts(spark):
+    rng = np.random.default_rng(9)
+    g, n = np.unique(lm.windows([rng.integers(33, 127, 60_000, dtype=np.uint8).tobytes()]), return_counts=True)
+    rows = spark.createDataFrame([(bytearray(lm.squeeze(g)), bytearray(lm.squeeze(n.astype(np.int64))))], "words binary, counts binary")
+    for floor in (10, 20):
+        counts = lm.bit_counts(rows, floor)
+        assert counts.shape[1] > 1 << floor and 0.05 < counts.any(0).mean() <= lm.FULL
+        assert counts.sum() == 60_001 * 8 * len(lm.CONTEXTS)  # no slot is above MOST
+    small = lm.bit_counts(rows.limit(0), 10)
+    assert small.shape == (2, 1024) and not small.any()
+
+
 def test_lm_score_base_and_gain(table):
     rng = np.random.default_rng(2)
     common = ["the", "of", "and"]
