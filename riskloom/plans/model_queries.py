@@ -234,12 +234,11 @@ def j5(spark, d):
 @query("j6_graph_ablation")
 def j6(spark, d):
     from riskloom.operators import graph as gr
-    from riskloom.plans.stats_queries import snapshot_edges
+    from riskloom.plans.stats_queries import daily_edges
 
-    degree = gr.degrees(snapshot_edges(spark, d)).select("Date", "Symbol", F.col("degree").alias("graph_degree"), F.col("strength").alias("graph_strength"))
-    p = feature_panel(spark, d).where(F.col("Risk_Label").isNotNull()).withColumn("_m", F.last_day(F.add_months("Date", -1)))
-    month = degree.withColumn("_m", F.last_day("Date")).drop("Date")
-    rows = p.join(month, ["Symbol", "_m"], "left").na.fill(0.0)
+    degree = gr.degrees(daily_edges(spark, d)).select("Date", "Symbol", F.col("degree").alias("graph_degree"), F.col("strength").alias("graph_strength"))
+    p = feature_panel(spark, d).where(F.col("Risk_Label").isNotNull())
+    rows = p.join(degree, KEY, "left").na.fill(0.0)
     base = ["Returns", "Volatility_20d", "RSI", "Volume_Ratio"]
     return md.feature_set_auc(rows, {"without_graph": base, "with_graph": [*base, "graph_degree", "graph_strength"]}, "Risk_Label")
 

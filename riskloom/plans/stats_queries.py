@@ -141,6 +141,11 @@ def correlations(spark, d):
     return gr.pair_correlations(panel_returns(spark, d))
 
 
+def daily_edges(spark, d):
+    """Edges of every market day, written once."""
+    return checkpoint(gr.edges(correlations(spark, d)))
+
+
 def snapshot_edges(spark, d):
     p = checkpoint(panel_returns(spark, d).select(*KEY, "Returns"))
     return gr.edges(gr.pair_correlations(p).join(gr.month_ends(p), "Date", "left_semi"))
@@ -170,7 +175,7 @@ def k3(spark, d):
 
 @query("k3_eigenvector")
 def k3b(spark, d):
-    return gr.eigenvector(snapshot_edges(spark, d))
+    return gr.eigenvector(daily_edges(spark, d))
 
 
 @query("k4_clustering", sql(f"""SELECT n.Date, n.Symbol, {r('coalesce(g / nullif(d * (d - 1), 0), 0)', 5)} AS graph_clustering FROM n LEFT JOIN t USING (Date, Symbol)""", "ret", **GRAPH, **SNAP,
