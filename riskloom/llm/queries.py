@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, cuckoo, cws, langid, lines, lm, mixing, simhash, spieces, toxicity
+from riskloom.llm import chat, cuckoo, cws, langid, lines, lm, mixing, packing, simhash, spieces, toxicity
 from riskloom.llm.common import documents
 from riskloom.session import checkpoint
 
@@ -145,3 +145,9 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d, "doc_id", "text")
     kept = lines.apply_bitmaps(docs, lines.line_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op13_pack_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(documents(spark, d, "doc_id", "text"))
