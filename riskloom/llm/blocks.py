@@ -38,10 +38,10 @@ def unpack(z: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def in_blocks(docs: DataFrame, flag, prepare: Callable[[str], bytes], most: int = 4_000_000) -> DataFrame:
+def in_blocks(docs: DataFrame, flag, prepare: Callable[[str], bytes], most: int = 4_000_000, blocks: int | None = None) -> DataFrame:
     """``block, ids, flags, z``: the documents of a task for one block in a row (rows of up to ``most`` bytes),
     hash-partitioned by block. The block follows from id and text alone, so it is the same in every run."""
-    n = partitions(docs)
+    n = blocks or partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"), flag.alias("flag"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
