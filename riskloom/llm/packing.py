@@ -174,25 +174,26 @@ def tokenized(docs: DataFrame, path: str, window: int, width: int) -> DataFrame:
         coder = WordIds(path)
         seen = np.zeros(window // width + 2, np.int64)
         row = full = 0
+        end = np.uint32(END)
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, starts = coder.encode(b.column("text"))
-            n = np.diff(starts) + 1
-            rest = n % window
-            kind = -(-rest // width)
-            nth = np.empty(len(n), np.int64)
-            for i, c in enumerate(kind):
-                nth[i] = seen[c]
-                seen[c] += 1
-            end = np.array([END], np.uint32)
-            z = [squeeze(np.concatenate([ids[s:e], end])) for s, e in zip(starts[:-1], starts[1:])]
-            yield pa.record_batch({
-                "part": b.column("part"), "row": np.arange(row, row + len(n)), "doc_id": b.column("doc_id"), "n": n, "class": kind.astype(np.int32),
-                "nth": nth, "windows": np.cumsum(n // window) - n // window + full, "z": pa.array(z, pa.binary()),
-            })
-            row += len(n)
-            full += int((n // window).sum())
+            for first, ids, starts in coder.slices(b.column("text")):
+                n = np.diff(starts) + 1
+                rest = n % window
+                kind = -(-rest // width)
+                nth = np.empty(len(n), np.int64)
+                for i, c in enumerate(kind):
+                    nth[i] = seen[c]
+                    seen[c] += 1
+                z = [squeeze(np.append(ids[s:e], end)) for s, e in zip(starts[:-1], starts[1:])]
+                own = b.slice(first, len(n))
+                yield pa.record_batch({
+                    "part": own.column("part"), "row": np.arange(row, row + len(n)), "doc_id": own.column("doc_id"), "n": n, "class": kind.astype(np.int32),
+                    "nth": nth, "windows": np.cumsum(n // window) - n // window + full, "z": pa.array(z, pa.binary()),
+                })
+                row += len(n)
+                full += int((n // window).sum())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, TOKENS)
 

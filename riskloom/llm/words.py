@@ -1,9 +1,11 @@
-"""Ids of texts under a public tokenizer that drops white space, each distinct word encoded once per task."""
+"""Ids of texts under a public tokenizer that drops white space, each distinct part of a word encoded once per task."""
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -11,53 +13,104 @@ import pyarrow.compute as pc
 
 RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 MARKS = ".,;:!?"
-MOST = 600_000
-"""Words and parts of words that a task remembers; beyond that it starts anew."""
+MOST = 400_000
+"""Parts that a task remembers; beyond that it starts anew."""
+SLICE = 8_000_000
+"""Bytes of text that are encoded at once."""
+LINE = 4000
+"""Parts that go through the tokenizer as one text."""
 
 
 def parts(word: str) -> list[str]:
     """Cuts of a word where the tokenizer's own pattern must cut: between ASCII letters, digits and other printable signs,
     and between a letter and marks at the end. Words that could hold a special token or a contraction stay whole."""
+    if word.isascii():
+        if word.isalpha():
+            return [word.lower()]
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            return [word[:-1].lower(), word[-1]]
     if "<|" in word or "'" in word:
         return [word]
-    if word.isascii() and word.isprintable():
-        return RUNS.findall(word.lower())
+    if word.isascii():
+        return RUNS.findall(word.lower()) if word.isprintable() else [word]
     bare = word.rstrip(MARKS)
     return [bare, word[len(bare):]] if bare and bare != word and bare[-1].lower()[-1].isalpha() else [word]
 
 
+def single(part: str) -> bool:
+    """Whether the tokenizer's pattern takes the part as one."""
+    if part.isascii():
+        return part.isprintable() and "'" not in part and (part.isalpha() or len(RUNS.findall(part.lower())) == 1)
+    return is_normalized("NFC", part) and part.isalpha() and part.lower().isalpha()
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of slices, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class WordIds:
-    """Encodes texts word by word. White space of ASCII separates words for every tokenizer that drops it."""
+    """Encodes texts part by part. White space of ASCII separates words for every tokenizer that drops it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Puts parts behind those that are known."""
+        alone = [p for p in new if single(p)]
+        rest = [p for p in new if not single(p)]
+        ids, sizes = [self.ids], [self.sizes]
+        lines = [alone[i:i + LINE] for i in range(0, len(alone), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            own = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[own]) + 1
+            if len(cuts) != len(line):
+                rest += line
+                continue
+            self.known.update(zip(line, range(len(self.known), len(self.known) + len(line))))
+            ids.append(own)
+            sizes.append(np.diff(cuts, prepend=0))
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[p] = len(self.known)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text starts in them (one place more than texts)."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
         coded = lists.flatten().dictionary_encode()
+        cuts = [parts(w) if w else [] for w in coded.dictionary.to_pylist()]
         if len(self.known) > MOST:
-            self.known.clear()
-        words = coded.dictionary.to_pylist()
-        unseen = [(w, parts(w)) for w in words if w not in self.known]
-        new = list({p for _, c in unseen for p in c if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = tuple(e.ids)
-        for w, c in unseen:
-            if len(c) != 1 or c[0] != w:
-                self.known[w] = tuple(chain.from_iterable(self.known[p] for p in c))
-        found = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        at = coded.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)] if total else np.zeros(0, np.uint32)
-        bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-        return ids, np.r_[0, ends][bounds]
+            self.forget()
+        self.learn(sorted(set(chain.from_iterable(cuts)).difference(self.known)))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64)
+        many = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        # ids of the distinct words, then of the words in order
+        size = self.sizes[at]
+        flat = self.ids[spread((np.cumsum(self.sizes) - self.sizes)[at], size)]
+        long = np.add.reduceat(np.r_[size, 0], np.r_[0, np.cumsum(many)[:-1]]) * (many > 0) if len(many) else many
+        word = coded.indices.to_numpy()
+        ids = flat[spread((np.cumsum(long) - long)[word], long[word])]
+        ends = np.r_[0, np.cumsum(long[word])]
+        return ids, ends[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+
+    def slices(self, texts: pa.Array):
+        """``first, ids, starts`` of runs of texts of about ``SLICE`` bytes."""
+        n = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+        of = np.cumsum(n) // SLICE
+        for first, last in zip(np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.r_[np.flatnonzero(of[1:] != of[:-1]) + 1, len(n)]):
+            yield int(first), *self.encode(texts.slice(int(first), int(last - first)))
