@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.blocks import by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
+from riskloom.llm.blocks import Numbers, by_bucket, in_blocks, join_words, split_words, squeeze, stretch, unpack
 from riskloom.llm.common import partitions, whole
 from riskloom.llm.hattrie import HatTrie, digits, merged
 from riskloom.session import checkpoint
@@ -28,8 +28,8 @@ TOP = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 GAP = b"\n"
 CHUNK = 4_000_000
-BLOCK_BYTES = 32_000_000
-PARTITION_WORDS = 2_000_000
+BLOCK_BYTES = 8_000_000
+PARTITION_WORDS = 1_000_000
 TO_GAPS = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 MARK = b"\x0b"
 """Between language and word: no word has it."""
@@ -143,11 +143,16 @@ def runs_of(blocks: DataFrame, answers: DataFrame, buckets: int, parts: int, lon
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         by = dict(zip(told.column("bucket").to_pylist(), told.column("z").to_pylist()))
-        chunks = [(lang, *coded(c)) for lang, cs in by_lang(table.column("z").to_pylist()).items() for c in cs]
-        key = lambda lang, w: lang + MARK + w.encode("utf-8", "surrogatepass")
-        number: dict[bytes, int] = {}
-        for bucket, ws in by_bucket({key(lang, w) for lang, _, words in chunks for w in words if w not in ("", "\n")}, buckets):
-            number.update(zip(ws, stretch(by[bucket], np.int64).tolist()))
+        numbers, chunks = Numbers(), []
+        for lang, cs in by_lang(table.column("z").to_pylist()).items():
+            for c in cs:
+                codes, words = coded(c)
+                own = np.array([-1 if w == "\n" else -2 if w == "" else numbers[lang + MARK + w.encode("utf-8", "surrogatepass")] for w in words], np.int32)[codes]
+                chunks.append(own[own > -2])
+        number = np.zeros(len(numbers) + 1, np.uint64)  # the last one for gaps
+        for bucket, ws in by_bucket(numbers, buckets):
+            number[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[bucket], np.int64).astype(np.uint64)
+        numbers.clear()
         out: list[tuple] = []
 
         def spill(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
@@ -158,10 +163,8 @@ def runs_of(blocks: DataFrame, answers: DataFrame, buckets: int, parts: int, lon
                 out.append((int(part[at[0]]), squeeze(np.diff(hi[at], prepend=np.uint64(0))), squeeze(lo[at]), squeeze(n[at])))
 
         trie = HatTrie(spill, **({"memory": memory} if memory else {}))
-        for lang, codes, words in chunks:
-            own = np.array([0 if w == "\n" else -1 if w == "" else number[key(lang, w)] for w in words], np.int64)
-            ids = own[codes]
-            for hi, lo in sequences(ids[ids >= 0].astype(np.uint64), longest):
+        for chunk in chunks:
+            for hi, lo in sequences(number[chunk], longest):
                 trie.add(hi, lo)
         trie.close()
         cols = list(zip(*out)) or [[]] * 4

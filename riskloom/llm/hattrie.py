@@ -17,7 +17,7 @@ ROOTS = 64
 BURST = 150_000
 HEAVY = 16
 """A word with one in so many entries of a bursting container gets its own."""
-MEMORY = 3_000_000
+MEMORY = 1_500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
