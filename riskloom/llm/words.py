@@ -1,47 +1,28 @@
-"""Ids of texts under a public tokenizer that drops white space, each distinct part of a word encoded once per task."""
+"""Ids of texts under a public tokenizer that lower-cases and drops white space, each distinct word encoded once per task."""
 
 from __future__ import annotations
 
 import json
-import re
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-MARKS = ".,;:!?"
-MOST = 400_000
-"""Parts that a task remembers; beyond that it starts anew."""
-SLICE = 8_000_000
+BLANKS = " \\t\\n\\v\\f\\r"
+MOST = 250_000
+"""Words that a task remembers; beyond that it starts anew."""
+SLICE = 4_000_000
 """Bytes of text that are encoded at once."""
 LINE = 4000
-"""Parts that go through the tokenizer as one text."""
+"""Words that go through the tokenizer as one text."""
 
 
-def parts(word: str) -> list[str]:
-    """Cuts of a word where the tokenizer's own pattern must cut: between ASCII letters, digits and other printable signs,
-    and between a letter and marks at the end. Words that could hold a special token or a contraction stay whole."""
+def single(word: str) -> bool:
+    """Whether the tokenizer's pattern takes the word as one: letters alone, or ASCII signs without an apostrophe."""
     if word.isascii():
-        if word.isalpha():
-            return [word.lower()]
-        if word[:-1].isalpha() and word[-1] in MARKS:
-            return [word[:-1].lower(), word[-1]]
-    if "<|" in word or "'" in word:
-        return [word]
-    if word.isascii():
-        return RUNS.findall(word.lower()) if word.isprintable() else [word]
-    bare = word.rstrip(MARKS)
-    return [bare, word[len(bare):]] if bare and bare != word and bare[-1].lower()[-1].isalpha() else [word]
-
-
-def single(part: str) -> bool:
-    """Whether the tokenizer's pattern takes the part as one."""
-    if part.isascii():
-        return part.isprintable() and "'" not in part and (part.isalpha() or len(RUNS.findall(part.lower())) == 1)
-    return is_normalized("NFC", part) and part.isalpha() and part.lower().isalpha()
+        return word.isalpha() or (word.isprintable() and "'" not in word and not any(map(str.isalnum, word)))
+    return is_normalized("NFC", word) and word.isalpha() and word.lower().isalpha()
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -51,7 +32,8 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Encodes texts part by part. White space of ASCII separates words for every tokenizer that drops it."""
+    """Encodes texts word by word. White space of ASCII separates words, and so does the place between a letter and a mark that ends
+    a word, where the tokenizer's own pattern cuts, too. Texts that could name a special token go through the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,7 +42,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.forget()
 
@@ -69,9 +51,9 @@ class WordIds:
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        """Puts parts behind those that are known."""
-        alone = [p for p in new if single(p)]
-        rest = [p for p in new if not single(p)]
+        """Puts words behind those that are known."""
+        alone = [w for w in new if single(w)]
+        rest = [w for w in new if not single(w)]
         ids, sizes = [self.ids], [self.sizes]
         lines = [alone[i:i + LINE] for i in range(0, len(alone), LINE)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
@@ -83,30 +65,36 @@ class WordIds:
             self.known.update(zip(line, range(len(self.known), len(self.known) + len(line))))
             ids.append(own)
             sizes.append(np.diff(cuts, prepend=0))
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = len(self.known)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = len(self.known)
             ids.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(e.ids)]))
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text starts in them (one place more than texts)."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        if len(odd):
+            whole = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            texts = pc.if_else(pc.match_substring(texts, "<|"), "", texts)
+        marked = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([a-z])([.,;:!?])([{BLANKS}]|$)", r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(marked)
         coded = lists.flatten().dictionary_encode()
-        cuts = [parts(w) if w else [] for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
         if len(self.known) > MOST:
             self.forget()
-        self.learn(sorted(set(chain.from_iterable(cuts)).difference(self.known)))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64)
-        many = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        # ids of the distinct words, then of the words in order
+        self.learn([w for w in words if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         size = self.sizes[at]
-        flat = self.ids[spread((np.cumsum(self.sizes) - self.sizes)[at], size)]
-        long = np.add.reduceat(np.r_[size, 0], np.r_[0, np.cumsum(many)[:-1]]) * (many > 0) if len(many) else many
-        word = coded.indices.to_numpy()
-        ids = flat[spread((np.cumsum(long) - long)[word], long[word])]
-        ends = np.r_[0, np.cumsum(long[word])]
-        return ids, ends[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+        ids = self.ids[spread((np.cumsum(self.sizes) - self.sizes)[at], size)]
+        starts = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+        if len(odd):
+            parts = np.split(ids, starts[1:-1])
+            for i, own in zip(odd, whole):
+                parts[i] = own
+            ids, starts = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+        return ids, starts
 
     def slices(self, texts: pa.Array):
         """``first, ids, starts`` of runs of texts of about ``SLICE`` bytes."""
