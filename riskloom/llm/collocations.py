@@ -28,8 +28,8 @@ TOP = 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 GAP = b"\n"
 CHUNK = 4_000_000
-BLOCK_BYTES = 8_000_000
-PARTITION_WORDS = 1_000_000
+BLOCK_BYTES = 12_000_000
+PARTITION_WORDS = 2_000_000
 TO_GAPS = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 MARK = b"\x0b"
 """Between language and word: no word has it."""

@@ -110,16 +110,18 @@ class HatTrie:
             self.shed(self.memory // 2)
 
     def shed(self, keep: int) -> None:
-        """Largest subtrees go until at most ``keep`` entries are left."""
-        total = sum(r.size for r in self.roots)
+        """Largest subtrees go, in one run, until at most ``keep`` entries are left."""
+        total, gone = sum(r.size for r in self.roots), []
         for k in sorted(range(ROOTS), key=lambda k: -self.roots[k].size):
             if total <= keep or not self.roots[k].size:
                 break
             total -= self.roots[k].size
-            hi, lo, n = (np.concatenate(x) for x in zip(*self.roots[k].entries()))
+            gone.extend(self.roots[k].entries())
+            self.roots[k] = Container()
+        if gone:
+            hi, lo, n = (np.concatenate(x) for x in zip(*gone))
             order = np.lexsort((lo, hi))
             self.spill(hi[order], lo[order], n[order])
-            self.roots[k] = Container()
 
     def close(self) -> None:
         self.shed(0)
