@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from unicodedata import is_normalized
 
 import numpy as np
@@ -38,6 +39,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own cost memory and wait
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         with open(path, encoding="utf-8") as f:
