@@ -118,9 +118,38 @@ def j10(spark, d):
     return rb.mask_rows(panel(spark, d).select(*KEY, "Volume"), ["Volume"], 0.2)
 
 
-@query("j13_garch")
+def _variance(h: str, x: str) -> str:
+    return f"(1 - ua / 10000.0::DOUBLE - ub / 10000.0::DOUBLE) * v + ua / 10000.0::DOUBLE * {x} * {x} + ub / 10000.0::DOUBLE * {h}"
+
+
+def _best_sql(points: str) -> str:
+    step = f"lambda a, b: {{'r': 0.0::DOUBLE, 'h': {_variance('a.h', 'b.r')}, 'll': a.ll - 0.5::DOUBLE * (ln(2 * pi()) + ln(a.h) + b.r * b.r / a.h)}}"
+    ll = f"(list_reduce(x, {step}, {{'r': 0.0::DOUBLE, 'h': v, 'll': 0.0::DOUBLE}})).ll"
+    return f"SELECT * FROM (SELECT *, {ll} AS ll FROM ({points})) QUALIFY row_number() OVER (PARTITION BY Symbol ORDER BY ll DESC, ua, ub) = 1"
+
+
+def _around_sql(best: str, step: int) -> str:
+    return f"SELECT * FROM (SELECT Symbol, v, x, ua + {step} * i AS ua, ub + {step} * j AS ub FROM {best}, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)) WHERE ua >= 10 AND ub >= 0 AND ua + ub <= 9990"
+
+
+_garch = dict(
+    g0="SELECT Symbol, Date, Returns AS r, row_number() OVER (PARTITION BY Symbol ORDER BY Date) AS i FROM ret WHERE Returns IS NOT NULL",
+    gs="SELECT Symbol, count(*) AS n, var_pop(r) AS v, list({'r': r, 'h': 0.0::DOUBLE, 'll': 0.0::DOUBLE} ORDER BY i) AS x FROM g0 GROUP BY 1",
+    b0=_best_sql(f"SELECT Symbol, v, x, ua, ub FROM gs, (VALUES {', '.join(f'({round(a * 10000)}, {round(b * 10000)})' for a, b in rb.GARCH_GRID)}) t(ua, ub) WHERE n >= 100 AND v > 0"),
+    b1=_best_sql(_around_sql("b0", rb.REFINE[0])), b2=_best_sql(_around_sql("b1", rb.REFINE[1])),
+    hh=f"SELECT Symbol, 1::BIGINT AS i, v AS h FROM b2 UNION ALL SELECT hh.Symbol, hh.i + 1, {_variance('hh.h', 'g0.r')} FROM hh JOIN g0 ON g0.Symbol = hh.Symbol AND g0.i = hh.i JOIN b2 ON b2.Symbol = hh.Symbol",
+)
+
+
+@query("j13_garch", sql(f"SELECT g0.Symbol, Date, ua / 10000.0::DOUBLE AS alpha, ub / 10000.0::DOUBLE AS beta, {r('ll', 4)} AS loglik, {r('sqrt(h)')} AS garch_volatility, CASE WHEN n < 100 THEN 'too_short' WHEN gs.v > 0 THEN 'ok' ELSE 'constant' END AS status, {r('sqrt(h) * 1.6448536269514722')} AS garch_var_threshold FROM g0 JOIN gs USING (Symbol) LEFT JOIN b2 USING (Symbol) LEFT JOIN hh ON hh.Symbol = g0.Symbol AND hh.i = g0.i", "ret", **_garch).replace("WITH ", "WITH RECURSIVE ", 1))
 def j13(spark, d):
-    return rb.garch(panel_returns(spark, d))
+    out = rb.garch(panel_returns(spark, d)).drop("garch_tail_probability")
+    return rounded(rounded(out, "garch_volatility", "garch_var_threshold"), "loglik", digits=4)
+
+
+@query("j13_garch_tail")
+def j13b(spark, d):
+    return rb.garch(panel_returns(spark, d)).select(*KEY, "garch_volatility", "garch_tail_probability")
 
 
 GRAPH = dict(
