@@ -35,21 +35,25 @@ def _through(m: Column, x: Column) -> Column:
     return F.zip_with(_product(m["a"], x), m["b"], lambda p, q: p + q)
 
 
-def carries(maps: DataFrame, start: DataFrame, keys: Sequence[str], fan: int = FAN) -> DataFrame:
+def carries(maps: DataFrame, start: DataFrame, keys: Sequence[str], fan: int = FAN, longest: int | None = None) -> DataFrame:
     """``keys, slice, x``: what enters each slice.
 
     ``maps`` has ``keys, slice, a, b`` (arrays: several recurrences run side by side), slices numbered from 0; ``start`` has
     ``keys, x``, what enters slice 0. Runs of ``fan`` slices are composed until one run is left, so a series of any
-    length takes a handful of rounds and no task holds more than a run.
+    length takes a handful of rounds and no task holds more than a run. ``longest`` is the number of slices of the longest
+    series, if it is known.
     """
-    runs = checkpoint(maps.groupBy(*keys, F.floor(F.col("slice") / fan).alias("run")).agg(F.sort_array(F.collect_list(F.struct("slice", "a", "b"))).alias("m")))
-    if runs.where("run > 0").isEmpty():
+    if longest is None:
+        longest = (maps.agg(F.max("slice").alias("m")).first()["m"] or 0) + 1
+    runs = maps.groupBy(*keys, F.floor(F.col("slice") / fan).alias("run")).agg(F.sort_array(F.collect_list(F.struct("slice", "a", "b"))).alias("m"))
+    if longest <= fan:
         entering = start.withColumn("run", F.lit(0).cast("long"))
     else:
+        runs = checkpoint(runs)
         one = F.struct(F.col("m")[0]["a"].alias("a"), F.col("m")[0]["b"].alias("b"))
         both = F.aggregate(F.slice("m", 2, fan), one, lambda acc, s: F.struct(_product(s["a"], acc["a"]).alias("a"), _through(s, acc["b"]).alias("b")))
         composed = runs.withColumn("c", both).select(*keys, F.col("run").alias("slice"), "c.a", "c.b")
-        entering = carries(composed, start, keys, fan).withColumnRenamed("slice", "run")
+        entering = carries(composed, start, keys, fan, -(-longest // fan)).withColumnRenamed("slice", "run")
     none = F.array().cast("array<struct<slice:bigint,x:array<double>>>")
     step = lambda acc, s: F.struct(_through(s, acc["x"]).alias("x"), F.concat(acc["out"], F.array(F.struct(s["slice"].alias("slice"), acc["x"].alias("x")))).alias("out"))
     states = F.aggregate("m", F.struct(F.col("x"), none.alias("out")), step, lambda acc: acc["out"])

@@ -55,13 +55,13 @@ def _next_variance(g: Column, var: Column, h: Column, r: Column) -> Column:
     return (1 - alpha - beta) * var + alpha * r * r + beta * h
 
 
-def _entering(slices: DataFrame, points: DataFrame, key: str) -> DataFrame:
+def _entering(slices: DataFrame, points: DataFrame, key: str, longest: int) -> DataFrame:
     """Slices with the variance of their first row at every point of their symbol's grid, as ``x``."""
     own = slices.join(points, key)
     ends = F.transform("grid", lambda g: F.aggregate("rows", F.lit(0.0), lambda h, row: _next_variance(g, F.col("var"), h, row["r"])))
     maps = own.select(key, "slice", F.transform("grid", lambda g: F.pow(_units(g)[1], F.size("rows"))).alias("a"), ends.alias("b"))
     start = points.select(key, F.transform("grid", lambda g: F.col("var")).alias("x"))
-    return spread(own.join(carries(maps, start, [key]), [key, "slice"]), key)
+    return spread(own.join(carries(maps, start, [key], longest=longest), [key, "slice"]), key)
 
 
 def spread(slices: DataFrame, key: str) -> DataFrame:
@@ -69,7 +69,7 @@ def spread(slices: DataFrame, key: str) -> DataFrame:
     return slices.repartition(int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "slice")
 
 
-def _best_point(slices: DataFrame, points: DataFrame, key: str) -> DataFrame:
+def _best_point(slices: DataFrame, points: DataFrame, key: str, longest: int) -> DataFrame:
     """``key, var, best, loglik``: the point of the grid with the largest likelihood; of equals the smallest."""
     def step(acc: Column, row: Column, i: Column) -> Column:
         r, h = row["r"], acc["h"]
@@ -77,7 +77,7 @@ def _best_point(slices: DataFrame, points: DataFrame, key: str) -> DataFrame:
         return F.struct(_next_variance(F.get("grid", i), F.col("var"), h, r).alias("h"), ll.alias("ll"))
 
     loglik = F.transform("x", lambda x, i: F.aggregate("rows", F.struct(x.alias("h"), F.lit(0.0).alias("ll")), lambda acc, row: step(acc, row, i), lambda acc: acc["ll"]))
-    each = _entering(slices, points, key).select(key, "var", F.posexplode(F.arrays_zip("grid", loglik.alias("ll"))).alias("i", "z"))
+    each = _entering(slices, points, key, longest).select(key, "var", F.posexplode(F.arrays_zip("grid", loglik.alias("ll"))).alias("i", "z"))
     sums = each.groupBy(key, "var", "z.grid").agg(F.sum("z.ll").alias("ll"))
     order = F.struct("ll", -F.col("grid.a"), -F.col("grid.b"))
     return sums.groupBy(key, "var").agg(F.max_by("grid", order).alias("best"), F.max("ll").alias("loglik"))
@@ -100,20 +100,21 @@ def garch(df: DataFrame, ret: str = "Returns", confidence_z: float = NORMAL_95,
     key, date = s.keys[0], s.order[0]
     rows = checkpoint(df.where(F.col(ret).isNotNull() & F.col(key).isNotNull()).select(key, date, F.col(ret).cast("double").alias("r")))
     state = F.when(F.col("n") < min_observations, "too_short").when(F.col("var") > 0, "ok").otherwise("constant")
-    symbols = checkpoint(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.var_pop("r").alias("var")).select(key, "var", state.alias("status")))
+    symbols = checkpoint(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.var_pop("r").alias("var")).select(key, "n", "var", state.alias("status")))
     usable = symbols.where("status = 'ok'").select(key, "var")
     slices = checkpoint(spread(sliced(rows.join(usable.select(key), key, "left_semi"), [key], [date], slice_rows), key))
+    longest = -(-int(symbols.agg(F.max("n").alias("n")).first()["n"] or 0) // slice_rows)
     coarse = F.array(*[F.struct(F.lit(round(a * GRID_UNITS)).alias("a"), F.lit(round(b * GRID_UNITS)).alias("b")) for a, b in GARCH_GRID])
-    best = checkpoint(_best_point(slices, usable.withColumn("grid", coarse), key))
+    best = checkpoint(_best_point(slices, usable.withColumn("grid", coarse), key, longest))
     for step in REFINE:
-        best = checkpoint(_best_point(slices, best.select(key, "var", _around(step).alias("grid")), key))
-    final = _entering(slices, best.select(key, "var", F.array("best").alias("grid")), key)
+        best = checkpoint(_best_point(slices, best.select(key, "var", _around(step).alias("grid")), key, longest))
+    final = _entering(slices, best.select(key, "var", F.array("best").alias("grid")), key, longest)
     none = F.array().cast("array<double>")
     h = F.aggregate("rows", F.struct(F.col("x")[0].alias("h"), none.alias("out")),
                     lambda acc, row: F.struct(_next_variance(F.col("grid")[0], F.col("var"), acc["h"], row["r"]).alias("h"), F.concat(acc["out"], F.array(acc["h"])).alias("out")), lambda acc: acc["out"])
     paths = final.select(key, F.explode(F.arrays_zip("rows", h.alias("h"))).alias("z")).select(key, F.col(f"z.rows.{date}").alias(date), F.sqrt("z.h").alias("garch_volatility"))
     fitted = best.select(key, *[u.alias(n) for u, n in zip(_units(F.col("best")), ("alpha", "beta"))], "loglik")
-    out = rows.join(symbols.drop("var"), key).join(fitted, key, "left").join(paths, [key, date], "left")
+    out = rows.join(symbols.drop("n", "var"), key).join(fitted, key, "left").join(paths, [key, date], "left")
     vol = F.col("garch_volatility")
     out = out.select(key, date, "r", "alpha", "beta", "loglik", "garch_volatility", "status")
     return out.withColumns({"garch_var_threshold": F.when(vol.isNotNull(), F.greatest(vol * confidence_z, F.lit(0.0))),

@@ -44,7 +44,7 @@ def clustered(n, seed):
 def test_slices_equal_the_loop(spark, n, rows, monkeypatch):
     """Seven slices, and over a hundred slices in several runs."""
     if rows == 7:
-        monkeypatch.setattr(scan.carries, "__defaults__", (5,))
+        monkeypatch.setattr(scan.carries, "__defaults__", (5, None))
     series = {"A": clustered(n, 1), "B": clustered(300, 2)}
     pdf = pd.concat([pd.DataFrame({"Symbol": k, "Date": pd.date_range("1990-01-01", periods=len(v)).date, "Returns": v}) for k, v in series.items()])
     out = rb.garch(spark.createDataFrame(pdf).repartition(6), slice_rows=rows).toPandas().sort_values(["Symbol", "Date"])
