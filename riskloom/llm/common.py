@@ -30,3 +30,9 @@ def whole(text: str) -> Column:
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def in_share(share, *key) -> Column:
+    """Rows of about this share, chosen by 63 bits of a hash of the key, so that shares of any size keep rows."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.shiftrightunsigned(F.xxhash64(*key), 1) < share * F.lit(2.0**63)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import remainder, whole
+from riskloom.llm.common import in_share, remainder, whole
 from riskloom.session import checkpoint
 
 ORDER = 4
@@ -163,8 +163,8 @@ def calibrate(means: np.ndarray, sizes: np.ndarray, truth: np.ndarray) -> tuple[
 def identify(docs: DataFrame, sample: int = 8_000) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected``, one row per row of ``docs``.
 
-    Learns from at most about ``sample`` documents with a language, chosen by a hash of the id among
-    those whose crc32 remainder is not 2; four fifths are counted, one fifth calibrates. Null texts and
+    Learns from at most about ``sample`` documents with a language, an equal number of each language (all of a rarer
+    one), chosen by a hash of the id among those whose crc32 remainder is not 2; four fifths are counted, one fifth calibrates. Null texts and
     texts without letters are ``und`` with score 0. ``lang_pred`` is always the best language;
     ``rejected`` marks texts less likely under it than its own calibration texts. Null ids are
     predicted and not learned from; repeated rows get equal results; extra columns are not read. Without a
@@ -172,8 +172,10 @@ def identify(docs: DataFrame, sample: int = 8_000) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
-    share = min(1.0, sample / max(1, known.count()))
-    train = checkpoint(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("fit", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) > 0))
+    counts = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    each = max(1, sample // max(1, counts.count()))
+    chosen = known.join(counts, "lang").where(in_share(each / F.col("n"), "doc_id")).drop("n")
+    train = checkpoint(chosen.withColumn("fit", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)) > 0))
     models = fit(train.where("fit"))
     names, own = list(models), list(models.values())
     ids = [F.col("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out")]

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import remainder, whole
+from riskloom.llm.common import in_share, remainder, whole
 from riskloom.session import checkpoint
 
 # Words of the second person in the languages at hand, and signs read as letters.
@@ -36,7 +36,7 @@ def sample_labels(labels: DataFrame, sample: int) -> DataFrame:
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", 4) != 2))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     share = min(1.0, sample / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return known.where(in_share(share, "doc_id"))
 
 
 def learn_lexicon(train: DataFrame, size: int = 400, ratio: float = 8.0) -> dict[str, float]:
@@ -110,7 +110,8 @@ def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, thresh
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     # bounded by the sample: some 20,000 rows of an id and a flag
     chosen = F.broadcast(sample_labels(labels, sample))
-    train = checkpoint(narrow.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("fit", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) < 7))
+    one = narrow.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # of rows that repeat an id always the same
+    train = checkpoint(one.withColumn("fit", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(10)) < 7))
     share = train.agg(F.avg("toxic").alias("s"), F.sum(F.when(F.col("fit"), F.col("toxic"))).alias("t"), F.sum(F.when(F.col("fit"), 1 - F.col("toxic"))).alias("c")).first()
     if not share["t"] or not share["c"]:
         return done(docs, F.lit(float(share["s"] or 0.0)))

@@ -168,3 +168,18 @@ def test_features_by_hand():
     f = dict(zip(toxicity.FEATURES, toxicity.features_of("You are a GRUNK, gr0nk! ok?", {"grunk": 2.0, "gronk": 1.0}, {"you"})))
     assert (f["hits"], f["obfuscated_hits"], f["weight"], f["kinds"], f["exclamations"], f["shouted"]) == (1.0, 1.0, 3.0, 1.0, 1 / 6, 1 / 6)
     assert f["near_second_person"] == 1.0
+
+
+def test_samples_survive_size(spark, table):
+    """A share below one in a million keeps rows, and a rare language is learned beside a frequent one."""
+    from riskloom.llm.common import in_share
+
+    kept = spark.range(20_000_000).where(in_share(5e-7, "id")).count()
+    assert 1 <= kept <= 30
+    assert spark.range(1000).where(in_share(1.0, "id")).count() == 1000
+    words = {"xx": "der die das und nicht ist ein zu", "yy": "the of and to in that is was"}
+    rng = np.random.default_rng(0)
+    langs = ["yy"] * 3000 + ["xx"] * 30
+    texts = [" ".join(rng.choice(words[lang].split(), 12)) for lang in langs]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(texts, langs=langs), sample=120).collect()}
+    assert np.mean([got[i] == lang for i, lang in enumerate(langs) if lang == "xx"]) > 0.9
