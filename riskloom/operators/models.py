@@ -206,15 +206,6 @@ def fit_regime_stacks(df: DataFrame, models: Sequence[str], label: str, regime:
     return {g: fit.fit(rows.where(F.col(regime) == g)) for g in sorted(usable)}
 
 
-def apply_regime_stacks(df: DataFrame, stacks: Mapping[str, LogisticRegressionModel], models: Sequence[str], regime: str = "regime", name: str = "stacked") -> DataFrame:
-    """Scores every row: by its regime's stack, else by the mean of the models."""
-    value = sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)
-    for g, fitted in stacks.items():
-        z = sum((F.col(m) * float(c) for m, c in zip(models, fitted.coefficients)), F.lit(float(fitted.intercept)))
-        value = F.when(F.col(regime) == g, 1 / (1 + F.exp(-z))).otherwise(value)
-    return df.withColumn(name, value)
-
-
 def linear_attribution(df: DataFrame, features: Sequence[str], coefficients: Sequence[float], means: Sequence[float]) -> DataFrame:
     """Long (row keys, feature, contribution): coefficient times distance from the mean."""
     entries = [F.struct(F.lit(f).alias("feature"), ((F.col(f) - float(m)) * float(c)).alias("contribution")) for f, c, m in zip(features, coefficients, means)]
@@ -232,7 +223,7 @@ def prepare(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return checkpoint(rows)
 
 
-def quick_train(rows: DataFrame, label: str, trees: int = 100, boosting_rounds: int = 150) -> tuple[dict[str, PipelineModel], DataFrame]:
+def quick_train(rows: DataFrame, label: str, trees: int = 100, boosting_rounds: int = 150, measure: bool = True) -> tuple[dict[str, PipelineModel], DataFrame | None]:
     """Random forest, balanced logistic regression and boosted trees; AUC, precision, recall on the test part."""
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     stages = {
@@ -241,7 +232,7 @@ def quick_train(rows: DataFrame, label: str, trees: int = 100, boosting_rounds:
         "boosted_trees": [GBTClassifier(labelCol=label, maxIter=boosting_rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.9, seed=42)],
     }
     models = {n: Pipeline(stages=s).fit(train) for n, s in stages.items()}
-    return models, model_table(score_all(models, test), list(models), label)
+    return models, model_table(score_all(models, test), list(models), label) if measure else None
 
 
 def score_all(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from riskloom.operators import indicators as ind
 from riskloom.operators import labels as lab
 from riskloom.operators import models as md
 from riskloom.operators import robustness as rb
+from riskloom.operators import stored as st
 from riskloom.plans.aggregate_queries import rounded
 from riskloom.plans.evaluation_queries import auc_sql
 from riskloom.plans.fixtures import full, panel_returns, predictions, r, rnd, sql
@@ -160,23 +161,62 @@ def i12(spark, d):
     return md.apply_platt(md.platt(p, "prob_c", "y"), p, "calibrated").select(*KEY, "prob_c", "calibrated", "y")
 
 
+def held_out_rows(spark, d):
+    """Predictions with their volatility, and which fifth of each class is kept for testing."""
+    rows = st.with_volatility(predictions(spark, d).withColumn("y", lab.flag(F.col("Returns") < 0)))
+    return checkpoint(md.stratified_split(rows.where("y is not null"), "y"))
+
+
+HELD = dict(
+    hv=f"SELECT *, CASE WHEN Returns < 0 THEN 1 ELSE 0 END AS y, {full('stddev_samp(Returns)', 'Returns', 30, at_least=10)} AS v, {u_sql('42', 'split')} AS u FROM pred",
+    hs="SELECT hv.*, u <= c AS is_test FROM hv JOIN (SELECT y, quantile_cont(u, 0.2) AS c FROM hv GROUP BY 1) USING (y)",
+    hq="SELECT quantile_cont(v, 0.33) AS lo, quantile_cont(v, 0.66) AS hi FROM hs WHERE NOT is_test",
+    hr="SELECT hs.*, CASE WHEN v >= hi THEN 'high_volatility' WHEN v <= lo THEN 'low_volatility' ELSE 'moderate_volatility' END AS regime FROM hs, hq",
+    hu=" UNION ALL ".join(f"SELECT regime, y, '{m}' AS model, {c} AS p FROM hr WHERE NOT is_test" for m, c in zip("abc", MODELS)),
+    hra=auc_sql("hu", "p", "y", "regime, model"),
+    hga=auc_sql("(SELECT 'all' AS regime, y, model, p FROM hu)", "p", "y", "regime, model"),
+    hn="SELECT regime, count(*) AS n, sum(count(*)) OVER () AS total FROM hr WHERE NOT is_test GROUP BY 1",
+    hm="SELECT hn.regime, hra.model, CASE WHEN n >= greatest(30, floor(0.05 * total)) THEN greatest(coalesce(hra.auc, 0.001), 0.001) ELSE greatest(coalesce(hga.auc, 0.5), 0.001) END AS auc FROM hn JOIN hra USING (regime) JOIN hga ON hga.model = hra.model",
+    hw="SELECT regime, " + ", ".join(f"max(auc) FILTER (model = '{m}') / sum(auc) AS w{m}" for m in "abc") + " FROM hm GROUP BY 1",
+)
+
+
+@query("i11_regime_fit_predict", sql(f"SELECT Symbol, Date, regime, {r('Risk_Probability * wa + prob_b * wb + prob_c * wc', 5)} AS ensemble FROM hr JOIN hw USING (regime) WHERE is_test", "pred", **HELD))
+def i11f(spark, d):
+    """Regime cuts and weights of the training part, stored and loaded, score the test part."""
+    rows = held_out_rows(spark, d)
+    model = st.stored(st.scoring_pipeline(MODELS, "y"), rows.where(~F.col("is_test")), new_folder(spark, "regime-model"))
+    out = model.transform(rows.where("is_test"))
+    return out.select(*KEY, "regime", rnd("ensemble", 5).alias("ensemble"))
+
+
 @query("i13_regime_meta_models")
 def i13(spark, d):
-    rows = checkpoint(regime_rows(spark, d))
-    out = md.apply_regime_stacks(rows, md.fit_regime_stacks(rows, MODELS, "y"), MODELS)
-    return out.select(*KEY, "regime", "stacked", "y")
+    """Stacks of the training part, stored and loaded, score the test part."""
+    rows = held_out_rows(spark, d)
+    model = st.stored(st.scoring_pipeline(MODELS, "y", stacks=True, output="stacked"), rows.where(~F.col("is_test")), new_folder(spark, "stacks"))
+    return model.transform(rows.where("is_test")).select(*KEY, "regime", "stacked", "stacked_prediction", "y")
 
 
-def small_models(rows):
-    return md.quick_train(rows, "Risk_Label", trees=15, boosting_rounds=10)
+def trained(spark, d, folder):
+    """Three models, regime cuts, weights, stacks and thresholds of the training part in one saved pipeline; the test part."""
+    rows = st.with_volatility(training_rows(spark, d))
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    models, _ = md.quick_train(train.withColumn("is_test", F.lit(False)), "Risk_Label", measure=False)
+    scores = checkpoint(md.score_all(models, train))
+    md.save_models(models, {}, folder, spark)
+    st.stored(st.scoring_pipeline(list(models), "Risk_Label", stacks=True), scores, f"{folder}/state")
+    return list(models), test
 
 
 @query("i14_batch_score")
 def i14(spark, d):
-    rows = training_rows(spark, d)
-    models, _ = small_models(rows)
-    out = md.batch_score(models, rows, {"ensemble": 0.5, "random_forest": 0.45}, {"random_forest": 0.5, "boosted_trees": 0.3, "logistic_regression": 0.2})
-    return out.select(*KEY, *models, "ensemble", "ensemble_prediction", "random_forest_prediction")
+    """The test part scored by what the folder holds."""
+    folder = new_folder(spark, "models")
+    names, test = trained(spark, d, folder)
+    models, _ = md.load_models(folder, names, spark)
+    out = st.PipelineModel.load(f"{folder}/state").transform(md.score_all(models, test))
+    return out.select(*KEY, *names, "regime", "ensemble", *[f"{c}_prediction" for c in [*names, "ensemble"]])
 
 
 @query("i15_average_probability", sql(f"SELECT Symbol, Date, {r('(Risk_Probability + prob_b + prob_c) / 3')} AS average FROM pred", "pred"))
@@ -186,23 +226,34 @@ def i15(spark, d):
 
 @query("i16_quick_train")
 def i16(spark, d):
-    return small_models(training_rows(spark, d))[1]
+    return md.quick_train(training_rows(spark, d), "Risk_Label")[1]
 
 
 @query("i17_cross_validated_auc")
 def i17(spark, d):
-    est = Pipeline(stages=[md.scaler(), LogisticRegression(labelCol="Risk_Label", featuresCol="scaled", weightCol="weight", maxIter=30)])
+    est = Pipeline(stages=[md.scaler(), LogisticRegression(labelCol="Risk_Label", featuresCol="scaled", weightCol="weight", maxIter=100)])
     return md.cross_validated_auc(training_rows(spark, d), "Risk_Label", est, folds=5)
 
 
 @query("i18_save_and_load")
 def i18(spark, d):
-    rows = training_rows(spark, d)
-    models, _ = small_models(rows)
+    """Rows of the test part on which loaded models and loaded state differ from those that were fitted: none."""
+    rows = st.with_volatility(training_rows(spark, d))
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    models, _ = md.quick_train(train.withColumn("is_test", F.lit(False)), "Risk_Label", measure=False)
+    state = st.scoring_pipeline(list(models), "Risk_Label", stacks=True).fit(checkpoint(md.score_all(models, train)))
     folder = new_folder(spark, "models")
-    md.save_models(models, {"random_forest": 0.4}, folder, spark)
-    again, cuts = md.load_models(folder, list(models), spark)
-    return md.batch_score(again, rows.where("is_test"), cuts).select(*KEY, *again, "ensemble", "random_forest_prediction")
+    md.save_models(models, {m: 0.5 for m in models}, folder, spark)
+    state.write().overwrite().save(f"{folder}/state")
+    again, _ = md.load_models(folder, list(models), spark)
+    columns = [*models, "ensemble", "ensemble_prediction"]
+    one = state.transform(md.score_all(models, test)).select(*KEY, "regime", *columns)
+    two = st.PipelineModel.load(f"{folder}/state").transform(md.score_all(again, test)).select(*KEY, *[F.col(c).alias(f"_{c}") for c in ["regime", *columns]])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ["regime", *columns]]
+    both = one.join(two, KEY)
+    for s in same[1:]:
+        same[0] = same[0] & s
+    return both.select(*KEY, *columns, same[0].alias("same"))
 
 
 COEF = {"prob_b": 1.5, "prob_c": -0.75, "Returns": 0.1}

@@ -160,10 +160,7 @@ GRAPH = dict(
     # an undefined correlation (a side that does not vary) counts as 0; DuckDB returns NaN there
     pc="SELECT a, b, Date, CASE WHEN isnan(corr(ra, rb) OVER w) THEN 0 ELSE coalesce(corr(ra, rb) OVER w, 0) END AS c FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY Date ROWS 59 PRECEDING) QUALIFY count(*) OVER w >= 30",
 )
-SNAP = dict(
-    me="SELECT max(Date) AS Date FROM ret GROUP BY date_trunc('month', Date)",
-    ed="SELECT Date, a AS src, b AS dst, c AS w FROM pc WHERE abs(c) >= 0.3 AND Date IN (SELECT Date FROM me) UNION ALL SELECT Date, b, a, c FROM pc WHERE abs(c) >= 0.3 AND Date IN (SELECT Date FROM me)",
-)
+EDGES = dict(ed="SELECT Date, a AS src, b AS dst, c AS w FROM pc WHERE abs(c) >= 0.3 UNION ALL SELECT Date, b, a, c FROM pc WHERE abs(c) >= 0.3")
 
 
 def correlations(spark, d):
@@ -175,11 +172,6 @@ def daily_edges(spark, d):
     return checkpoint(gr.edges(correlations(spark, d)))
 
 
-def snapshot_edges(spark, d):
-    p = checkpoint(panel_returns(spark, d).select(*KEY, "Returns"))
-    return gr.edges(gr.pair_correlations(p).join(gr.month_ends(p), "Date", "left_semi"))
-
-
 @query("k1_pair_correlation", sql(f"SELECT a, b, count(*) AS days, {r('avg(c)', 5)} AS mean_corr, {r('min(c)', 5)} AS min_corr, {r('max(c)', 5)} AS max_corr FROM pc GROUP BY 1, 2", "ret", **GRAPH))
 def k1(spark, d):
     out = correlations(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("days"), F.avg("corr").alias("mean_corr"), F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr"))
@@ -192,14 +184,14 @@ def k2(spark, d):
     return rounded(gr.density(gr.pair_correlations(rows), gr.aligned_returns(rows)), "density")
 
 
-@query("k2_edges", sql(f"SELECT Date, src, dst, {r('w', 5)} AS weight FROM ed", "ret", **GRAPH, **SNAP))
+@query("k2_edges", sql(f"SELECT Date, src, dst, {r('w', 5)} AS weight FROM ed", "ret", **GRAPH, **EDGES))
 def k2b(spark, d):
-    return rounded(snapshot_edges(spark, d), "weight", digits=5)
+    return rounded(daily_edges(spark, d), "weight", digits=5)
 
 
-@query("k3_degree", sql(f"SELECT Date, src AS Symbol, count(*) AS degree, {r('sum(abs(w))', 5)} AS strength FROM ed GROUP BY 1, 2", "ret", **GRAPH, **SNAP))
+@query("k3_degree", sql(f"SELECT Date, src AS Symbol, count(*) AS degree, {r('sum(abs(w))', 5)} AS strength FROM ed GROUP BY 1, 2", "ret", **GRAPH, **EDGES))
 def k3(spark, d):
-    return rounded(gr.degrees(snapshot_edges(spark, d)), "strength", digits=5)
+    return rounded(gr.degrees(daily_edges(spark, d)), "strength", digits=5)
 
 
 @query("k3_eigenvector")
@@ -207,11 +199,11 @@ def k3b(spark, d):
     return gr.eigenvector(daily_edges(spark, d))
 
 
-@query("k4_clustering", sql(f"""SELECT n.Date, n.Symbol, {r('coalesce(g / nullif(d * (d - 1), 0), 0)', 5)} AS graph_clustering FROM n LEFT JOIN t USING (Date, Symbol)""", "ret", **GRAPH, **SNAP,
+@query("k4_clustering", sql(f"""SELECT n.Date, n.Symbol, {r('coalesce(g / nullif(d * (d - 1), 0), 0)', 5)} AS graph_clustering FROM n LEFT JOIN t USING (Date, Symbol)""", "ret", **GRAPH, **EDGES,
     wn="SELECT Date, src, dst, abs(w) / max(abs(w)) OVER (PARTITION BY Date) AS w FROM ed", n="SELECT Date, src AS Symbol, count(*) AS d FROM ed GROUP BY 1, 2",
     t="SELECT x.Date, x.src AS Symbol, sum(pow(x.w * y.w * z.w, 1 / 3.0::DOUBLE)) AS g FROM wn x JOIN wn y ON x.Date = y.Date AND x.src = y.src AND x.dst <> y.dst JOIN wn z ON z.Date = x.Date AND z.src = x.dst AND z.dst = y.dst GROUP BY 1, 2"))
 def k4(spark, d):
-    return rounded(gr.clustering(snapshot_edges(spark, d)), "graph_clustering", digits=5)
+    return rounded(gr.clustering(daily_edges(spark, d)), "graph_clustering", digits=5)
 
 
 @query("k5_node_features", sql(f"""SELECT Symbol, Date, {r('coalesce((Returns - mr) / CASE WHEN dr < 1e-6 THEN 1 ELSE dr END, 0)')} AS Returns_std, {r('coalesce((prob_c - mc) / CASE WHEN dc < 1e-6 THEN 1 ELSE dc END, 0)')} AS prob_c_std,

@@ -11,6 +11,7 @@ from riskloom.functions.quantiles import exact_quantiles, running_totals
 from riskloom.operators import aggregates as ag
 from riskloom.operators import evaluation as ev
 from riskloom.operators import models as md
+from riskloom.operators import stored as st
 from riskloom.session import checkpoint, scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -27,11 +28,13 @@ def test_regimes_without_weights_take_the_default(spark):
 
 def test_stacks_score_every_row(spark):
     train = spark.createDataFrame([("big", (i % 10) / 10, 0.5, int(i % 10 > 4)) for i in range(200)] + [("one_class", 0.5, 0.5, 1) for _ in range(60)] + [("small", 0.1, 0.2, i) for i in (0, 1)], "regime string, a double, b double, y int")
-    stacks = md.fit_regime_stacks(train, ["a", "b"], "y")
-    assert set(stacks) == {"big"}
+    model = st.RegimeEnsemble(models=["a", "b"], label="y", output="stacked", stacks=True).fit(train)
+    values = model.values
+    assert set(values["stacks"]) == {"big"} and set(values["regimes"]) == {"big", "one_class", "small"}
     new = spark.createDataFrame([("big", 0.9, 0.5), ("small", 0.1, 0.3), ("unseen", 0.4, 0.6), (None, 0.2, 0.2)], "regime string, a double, b double")
-    got = {r["regime"]: r["stacked"] for r in md.apply_regime_stacks(new, stacks, ["a", "b"]).collect()}
-    assert got["big"] > 0.9 and (got["small"], got["unseen"], got[None]) == pytest.approx((0.2, 0.5, 0.2))
+    got = {r["regime"]: r["stacked"] for r in model.transform(new).collect()}
+    usual = lambda a, b: a * values["default"]["a"] + b * values["default"]["b"]
+    assert got["big"] > 0.9 and (got["small"], got["unseen"], got[None]) == pytest.approx((usual(0.1, 0.3), usual(0.4, 0.6), usual(0.2, 0.2)))
 
 
 def test_all_tones_of_an_event(spark):
