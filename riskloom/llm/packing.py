@@ -198,17 +198,26 @@ def tokenized(docs: DataFrame, path: str, window: int, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, TOKENS)
 
 
-def before(df: DataFrame, keys: list[str], at: str, value: str, name: str, levels: int = 2) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of its key with a smaller ``at`` (unique in the key), by runs of at most
-    2^``FAN`` places; the runs are summed up in the same way."""
-    w = lambda *by: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    if not levels:
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w(*(keys or [F.lit(0)]))), F.lit(0)))
-    runs = df.withColumn("_run", F.shiftright(at, FAN))
-    sums = runs.groupBy(*keys, "_run").agg(F.sum(value).alias("_sum")).withColumnRenamed("_run", at)
-    base = before(sums, keys, at, "_sum", f"_base{levels}", levels - 1).select(*keys, F.col(at).alias("_run"), F.col(f"_base{levels}").alias("_base"))
-    own = F.coalesce(F.sum(value).over(w(*keys, "_run")), F.lit(0))
-    return runs.join(base, [*keys, "_run"]).withColumn(name, own + F.col("_base")).drop("_run", "_base")
+def _earlier(value: str, at: str, *by) -> Column:
+    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def before(df: DataFrame, keys: list[str], at: str, value: str, name: str, top: int, fan: int = FAN) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its key with a smaller ``at`` (unique in the key, from 0 to ``top``). Beyond
+    2^``fan`` places they are summed up by runs of so many, and the runs in the same way."""
+    if top < 1 << fan:
+        return df.withColumn(name, _earlier(value, at, *(keys or [F.lit(0)])))
+    placed = df.withColumnRenamed(at, "_at").withColumn("_run", F.shiftright("_at", fan))
+    return by_runs(placed, keys, "_at", value, name, top >> fan, fan).withColumnRenamed("_at", at)
+
+
+def by_runs(df: DataFrame, keys: list[str], at: str, value: str, name: str, top: int, fan: int = FAN) -> DataFrame:
+    """``before`` for rows whose runs (``_run``, from 0 to ``top``) are given; ``at`` orders the rows of a run."""
+    sums = df.groupBy(*keys, "_run").agg(F.sum(value).alias("_sum"))
+    base = before(sums, keys, "_run", "_sum", f"_base{top}", top, fan).select(*keys, F.col("_run"), F.col(f"_base{top}").alias("_base"))
+    own = _earlier(value, at, *keys, "_run")
+    return df.join(base, [*keys, "_run"]).withColumn(name, own + F.col("_base")).drop("_run", "_base")
 
 
 def on_axis(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -240,8 +249,9 @@ def pieces(tokens: DataFrame, window: int, width: int, depth: int) -> DataFrame:
     histogram = {r["class"]: (r["docs"], r["tokens"]) for r in tokens.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.sum(rest).alias("tokens")).collect()}  # at most window / width rows
     plan = solve(histogram, window // width, width, depth)
     slim = tokens.select("part", "row", "n", "class", "nth", "windows", rest.alias("rest"), F.floor(F.col("n") / window).alias("full"))
-    classes = before(slim.groupBy("class", "part").agg(F.count(F.lit(1)).alias("docs")), ["class"], "part", "docs", "docs_before")
-    wholes = before(slim.groupBy("part").agg(F.sum("full").alias("full")), [], "part", "full", "full_before")
+    parts = int(slim.agg(F.max("part").alias("m")).first()["m"] or 0)
+    classes = before(slim.groupBy("class", "part").agg(F.count(F.lit(1)).alias("docs")), ["class"], "part", "docs", "docs_before", parts)
+    wholes = before(slim.groupBy("part").agg(F.sum("full").alias("full")), [], "part", "full", "full_before", parts)
     ranked = slim.join(classes.drop("docs"), ["class", "part"]).join(wholes.drop("full"), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +262,9 @@ def pieces(tokens: DataFrame, window: int, width: int, depth: int) -> DataFrame:
     ranked = ranked.select("part", "row", "class", "rest", "full", (F.col("windows") + F.col("full_before")).alias("window"), (F.col("nth") + F.col("docs_before")).alias("rank"))
     placed = checkpoint(ranked.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in ranked.dtypes) + ", seq long, slot long"))
     held, spare = F.col("seq") >= 0, (F.col("seq") < 0) & (F.col("rest") > 0)
-    room = checkpoint(before(placed.where(held).groupBy("seq").agg((F.lit(window) - F.sum("rest")).alias("size")).where("size > 0"), [], "seq", "size", "t"))
-    spares = placed.where(spare).withColumn("at", F.shiftleft(F.col("part").cast("long"), 33) + F.col("row"))
-    rests = before(spares, [], "at", "rest", "t").select("part", "row", (F.col("full") * window).alias("start"), F.col("rest").alias("size"), "t")
+    room = checkpoint(before(placed.where(held).groupBy("seq").agg((F.lit(window) - F.sum("rest")).alias("size")).where("size > 0"), [], "seq", "size", "t", plan.sequences))
+    # a task's rows are a run: as many as its part of the input has
+    rests = by_runs(placed.where(spare).withColumn("_run", F.col("part")), [], "row", "rest", "t", parts).select("part", "row", (F.col("full") * window).alias("start"), F.col("rest").alias("size"), "t")
     totals = placed.agg(F.sum("full").alias("full"), F.sum(F.when(spare, F.col("rest"))).alias("spare")).first()
     windows, spare_total = int(totals["full"] or 0), int(totals["spare"] or 0)
     room_total = int(room.agg(F.sum("size").alias("s")).first()["s"] or 0)

@@ -69,6 +69,17 @@ def test_null_and_repeated_ids_and_empty(table):
         packing.pack(table(["a"]), window=100)
 
 
+def test_running_sums_by_runs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, i, int(v)) for k in "ab" for i, v in enumerate(rng.integers(0, 9, 300))]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(5)
+    for top, fan in ((300, 12), (300, 3), (300, 2)):
+        got = {(r["k"], r["at"]): r["s"] for r in packing.before(df, ["k"], "at", "v", "s", top, fan).collect()}
+        for k in "ab":
+            v = [x for q, _, x in rows if q == k]
+            assert [got[k, i] for i in range(300)] == [0, *np.cumsum(v)[:-1].tolist()]
+
+
 def test_reruns_agree(table):
     docs = table([f"text {i} " * (i % 50) for i in range(100)])
     assert sorted(packing.pack(docs, window=128).collect()) == sorted(packing.pack(docs, window=128).collect())
