@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLANKS = " \\t\\n\\v\\f\\r"
-MOST = 200_000
+MOST = 1_000_000
 """Words that a task remembers; beyond that it starts anew."""
-SLICE = 3_000_000
+SLICE = 10_000_000
 """Bytes of text that are encoded at once."""
 LINE = 4000
 """Words that go through the tokenizer as one text."""
