@@ -24,11 +24,6 @@ def aligned_returns(df: DataFrame, ret: str = "Returns", s: Series = SYMBOL_DAY)
     return full.withColumn("r", s.fill_forward("r")).where(F.col("r").isNotNull())
 
 
-def month_ends(df: DataFrame, date: str = "Date") -> DataFrame:
-    """Last market day of each month."""
-    return df.groupBy(F.trunc(date, "month").alias("_m")).agg(F.max(date).alias(date)).drop("_m")
-
-
 def pair_correlations(df: DataFrame, span: int = SPAN, s: Series = SYMBOL_DAY, block: int = SYMBOL_BLOCK) -> DataFrame:
     """Trailing correlation of every symbol pair on every day.
 
