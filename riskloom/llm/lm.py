@@ -1,10 +1,13 @@
 """LM scoring by online logistic context mixing.
 
 Texts are read as lower-case words with single spaces and an end sign, as bytes, bit by bit. Predictors of
-several context lengths keep counts of the next bit under a hash of context and bits so far;
-their stretched probabilities are combined by weights that a gate selects, learned online, and a final map
-refines the result adaptively. Counts cover every training document. The model is then fixed, so
-that a document's score depends on nothing but its text.
+several contexts (1 to 5 bytes, and a hash of the whole word so far) count the next bit under each context and
+the bits so far; their stretched probabilities are combined by weights that a gate selects, learned online, and a
+final map refines the result adaptively. Counts cover every training document and stay in Spark: a gram (what
+tells all contexts of a byte, and the byte) goes to the bucket of its last three bytes, so that every context of
+three bytes or more lies in one bucket, and what a bucket found about its grams goes back to the
+blocks that sent them. Only the two shortest contexts, at most 2^24 keys, and the mixer are broadcast. The model
+is then fixed, so that a document's score depends on nothing but its text.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +25,21 @@ from riskloom.llm.blocks import Numbers, by_bucket, in_blocks, join_words, split
 from riskloom.llm.common import partitions, remainder
 from riskloom.session import checkpoint
 
-CONTEXTS = ((1, False), (2, False), (3, False), (4, False), (5, False), (4, True))
-"""Bytes before the one to predict, and whether the length of the current word so far belongs to the context."""
 WINDOW = 6
-"""Bytes of a gram: the longest context and the byte it predicts; above them the word's length (4 bits)."""
-SLOT_BITS = 24
-SLOTS = 1 << SLOT_BITS
-"""Slots of the smallest table. A corpus that would fill over ``FULL`` of it gets a larger one."""
-FULL = 0.25
+"""The longest context in bytes, and the byte it predicts."""
+CONTEXTS = 6
+"""Last 1, 2, 3, 4 and 5 bytes; last 3 bytes with a hash of the word so far."""
 CHUNK = 2_000_000
-PIECES = 64
-"""Parts of the table that are added up on their own."""
+BLOCK = 32_000_000
+"""Bytes of text in a block, about; the number of blocks and buckets grows with the table."""
+SLICE = 100_000
+"""Grams that a task mixes at a time, about; grams of the same last three bytes stay together."""
 PRIOR = 0.25
 RATE = 0.3
 PASSES = 3
 LEVELS = 33
-GATES = 8 * (len(CONTEXTS) + 1)
-MOST = 65_535
-"""Counts of a slot are scaled down to this, both bits alike; the rarest bit keeps a count, and probabilities end at 1e-5."""
+GATES = 8 * (CONTEXTS + 1)
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -52,75 +51,119 @@ def prepared(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
+def u(x: int) -> np.uint64:
+    return np.uint64(x)
+
+
 def windows(texts: list[bytes]) -> np.ndarray:
-    """The gram of every byte and end sign; contexts start as zeros at each text."""
+    """The gram of every byte and end sign, from the top: the last three bytes before it (24 bits), the two before those
+    (16), a hash of the word so far (16), the byte (8). Contexts start as zeros at each text."""
     pad = b"\0" * (WINDOW - 1)
     raw = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
     n = max(0, len(raw) - WINDOW + 1)
-    g = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        g = (g << np.uint64(8)) | raw[i:n + i]
-    before = raw[WINDOW - 2:WINDOW - 2 + n]
+    b5, b4, b3, b2, b1, byte = (raw[i:n + i].astype(np.uint64) for i in range(WINDOW))
+    g = b3 << u(56) | b2 << u(48) | b1 << u(40) | b5 << u(32) | b4 << u(24) | byte
     at = np.arange(n)
-    word = np.minimum(at - np.maximum.accumulate(np.where((before == 32) | (before == 0), at, 0)), 15)
-    g |= word.astype(np.uint64) << np.uint64(8 * WINDOW)
+    first = np.maximum.accumulate(np.where((b1 == 32) | (b1 == 0), at, 0))
+    power = np.cumprod(np.r_[u(1), np.full(len(raw), FACTOR, np.uint64)])  # modulo 2^64
+    inverse = np.cumprod(np.r_[u(1), np.full(len(raw), pow(FACTOR, -1, 2**64), np.uint64)])
+    sums = np.r_[u(0), np.cumsum(raw * power[:-1])]
+    word = (sums[at + WINDOW - 1] - sums[first + WINDOW - 1]) * inverse[first + WINDOW - 1]
+    word = (word ^ (word >> u(31))) * u(0xD6E8FEB86659FD93)
+    g |= (word >> u(48)) << u(8)
     keep = np.zeros(n, bool)
-    first = 0
+    start = 0
     for t in texts:
-        keep[first:first + len(t) + 1] = True
-        first += len(t) + WINDOW
+        keep[start:start + len(t) + 1] = True
+        start += len(t) + WINDOW
     return g[keep]
 
 
-def slots(grams: np.ndarray, slot_bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of a table of 2^``slot_bits`` (gram x bit x context) and the bits themselves (gram x bit)."""
-    byte = (grams & np.uint64(255)).astype(np.int64)
-    bits = (byte[:, None] >> np.arange(7, -1, -1)) & 1
-    node = ((np.int64(1) << np.arange(8)) | (byte[:, None] >> (8 - np.arange(8)))).astype(np.uint64)
-    word = grams >> np.uint64(8 * WINDOW)
-    out = np.empty((len(grams), 8, len(CONTEXTS)), np.int64)
-    for k, (order, with_word) in enumerate(CONTEXTS):
-        h = ((grams >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)) * np.uint64(16) + (word if with_word else np.uint64(0))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        h = (h[:, None] + node) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, :, k] = (h >> np.uint64(64 - slot_bits)).astype(np.int64)
-    return out, bits
-
-
-def inputs(counts: np.ndarray, grams: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretched predictions (gram x bit x order and a constant), gates and bits. ``leave_out`` takes one
-    occurrence of the gram itself out of the counts, as if it had not been seen yet."""
-    at, bits = slots(grams, counts.shape[1].bit_length() - 1)
-    n0, n1 = counts[0][at].astype(np.float32), counts[1][at].astype(np.float32)
-    if leave_out:
-        n1 = np.maximum(n1 - bits[:, :, None], 0)
-        n0 = np.maximum(n0 - (1 - bits)[:, :, None], 0)
-    x = np.ones((*bits.shape, len(CONTEXTS) + 1), np.float32)
-    np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)), out=x[:, :, :-1])  # the logit of (n1 + prior) / (n + 2 prior)
+def buckets_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return ((((grams >> u(40)) + u(1)) * u(FACTOR)) >> u(33)) % u(buckets)
+
+
+def context(grams: np.ndarray, k: int) -> np.ndarray:
+    """Context k and the byte as one key."""
+    byte, last = grams & u(255), grams >> u(40)
+    if k < 3:
+        return (last & u((1 << 8 * (k + 1)) - 1)) << u(8) | byte
+    if k == 3:
+        return last << u(16) | ((grams >> u(24)) & u(255)) << u(8) | byte
+    return last << u(24) | ((grams >> u(24 if k == 4 else 8)) & u(65_535)) << u(8) | byte
+
+
+def totals(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Occurrences below each of the nine nodes from a key's context to its byte (node x key), for distinct or repeated keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    out = np.empty((9, len(keys)), np.int64)
+    for j in range(9):
+        node = keys >> u(8 - j)
+        new = np.r_[True, node[1:] != node[:-1]]
+        out[j, order] = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+class Low:
+    """Counts of the contexts of one and two bytes: keys of two bytes and the next, ascending, with their occurrences."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys = keys
+        self.nodes = (totals(keys & u(65_535), n), totals(keys, n)) if len(keys) else ()
+
+    def of(self, grams: np.ndarray, k: int) -> np.ndarray:
+        return self.nodes[k][:, np.searchsorted(self.keys, context(grams, 1))]
+
+
+def bits_of(grams: np.ndarray) -> np.ndarray:
+    return ((grams & u(255)).astype(np.int64)[:, None] >> np.arange(7, -1, -1)) & 1
+
+
+def inputs(grams: np.ndarray, n: np.ndarray, low: Low, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretched predictions (gram x bit x context and a constant), gates and bits of all grams of some three-byte contexts.
+    ``leave_out`` takes one occurrence of the gram itself out of the counts, as if it had not been seen yet."""
+    bits = bits_of(grams)
+    sign = (2 * bits - 1).astype(np.float32)
+    x = np.ones((*bits.shape, CONTEXTS + 1), np.float32)
+    seen = np.zeros(bits.shape, np.int64)
+    for k in range(CONTEXTS):
+        nodes = low.of(grams, k) if k < 2 else totals(context(grams, k), n)
+        taken, other = nodes[1:].T, (nodes[:-1] - nodes[1:]).T
+        if leave_out:
+            taken = np.maximum(taken - 1, 0)
+        seen += taken + other > 0
+        x[:, :, k] = sign * np.log((taken + PRIOR) / (other + PRIOR))  # the logit of (n1 + prior) / (n + 2 prior)
     x[:, :, -1] = 0.3
-    seen = (n0 + n1 > 0).sum(2)
-    return x, np.arange(8)[None, :] * (len(CONTEXTS) + 1) + seen, bits
+    return x, np.arange(8)[None, :] * (CONTEXTS + 1) + seen, bits
+
+
+def slices(grams: np.ndarray) -> Iterator[slice]:
+    """Cuts ascending grams between three-byte contexts."""
+    last = grams >> u(40)
+    starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]]) if len(last) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(grams):
+        i = np.searchsorted(starts, a + SLICE)
+        b = int(starts[i]) if i < len(starts) else len(grams)
+        yield slice(a, b)
+        a = b
 
 
 def start_weights() -> np.ndarray:
-    return np.tile(np.array([0.3] * len(CONTEXTS) + [0.0]), (GATES, 1))
+    return np.tile(np.array([0.3] * CONTEXTS + [0.0]), (GATES, 1))
 
 
-def learn(counts: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights after ``PASSES`` over grams in an order by hash; each step moves the weights of the gates it met."""
-    w = start_weights()
-    for turn in range(PASSES):
-        order = np.argsort((grams + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15))
-        for at in range(0, len(order), 1024):
-            part = order[at:at + 1024]
-            x, gate, bits = inputs(counts, grams[part], True)
-            many = np.sqrt(n[part])[:, None]
-            miss = many * (bits - squash((x * w[gate]).sum(2)))
-            total = np.stack([np.bincount(gate.ravel(), (miss * x[:, :, k]).ravel(), GATES) for k in range(x.shape[2])], 1)
-            met = np.bincount(gate.ravel(), np.broadcast_to(many, gate.shape).ravel(), GATES)
-            w += RATE / (1 + turn) * total / np.maximum(met, 1)[:, None]
-    return w
+def learn(w: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, n: np.ndarray, order: np.ndarray, rate: float) -> None:
+    """Moves the weights online over grams in this order; each step moves those of the gates it met."""
+    for at in range(0, len(order), 1024):
+        part = order[at:at + 1024]
+        xs, gs = x[part], gate[part]
+        many = np.sqrt(n[part])[:, None]
+        miss = many * (bits[part] - squash(np.einsum("nbk,nbk->nb", xs, w.astype(np.float32)[gs])))
+        total = np.stack([np.bincount(gs.ravel(), (miss * xs[:, :, k]).ravel(), GATES) for k in range(x.shape[2])], 1)
+        met = np.bincount(gs.ravel(), np.broadcast_to(many, gs.shape).ravel(), GATES)
+        w += rate * total / np.maximum(met, 1)[:, None]
 
 
 def level(x: np.ndarray) -> np.ndarray:
@@ -129,69 +172,76 @@ def level(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Counts, weights and refinement; the table of counts grows with the distinct contexts of the corpus."""
+    """Low contexts, weights and refinement; the counts of longer contexts come with the grams of a bucket."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None):
-        self.counts, self.weights, self.refined = counts, weights, refined
+    def __init__(self, low: Low, weights: np.ndarray, refined: np.ndarray | None = None):
+        self.low, self.weights, self.refined = low, weights, refined
 
-    def mixed(self, grams: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, gate, bits = inputs(self.counts, grams, leave_out)
+    def mixed(self, grams: np.ndarray, n: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, gate, bits = inputs(grams, n, self.low, leave_out)
         s = np.einsum("nbk,nbk->nb", x, self.weights.astype(np.float32)[gate]).astype(float)
-        last = ((grams >> np.uint64(8)) & np.uint64(255)).astype(np.int64)[:, None]
+        last = ((grams >> u(40)) & u(255)).astype(np.int64)[:, None]
         return s, last * LEVELS + level(s), bits
 
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each gram."""
+    def cost(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the byte of each gram; ascending, all grams of a bucket with their occurrences."""
         out = np.empty(len(grams))
-        for at in range(0, len(grams), 20_000):
-            s, cell, bits = self.mixed(grams[at:at + 20_000])
+        for part in slices(grams):
+            s, cell, bits = self.mixed(grams[part], n[part])
             p = squash(s)
             if self.refined is not None:
                 p = (p + self.refined[cell]) / 2
             p = np.clip(p, 1e-5, 1 - 1e-5)
-            out[at:at + 20_000] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1)
+            out[part] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1)
         return out
 
 
+def ascending(a: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, bytes of the same place together."""
+    d = np.diff(a, prepend=a.dtype.type(0))
+    return squeeze(np.ascontiguousarray(d.view(np.uint8).reshape(len(d), a.itemsize).T))
+
+
+def climb(z: bytes, kind) -> np.ndarray:
+    raw = stretch(z, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(kind).ravel(), dtype=kind)
+
+
 SENT = "kind int, bucket int, block int, words binary, counts binary"
 
 
 def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """What each block sends of its words (kind 0) and of the grams of its training documents (kind 1)."""
+    """What each block sends of its words (kind 0) and grams (kind 1), with their occurrences in its training documents."""
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         known: Counter[bytes] = Counter()
         others: set[bytes] = set()
-        grams, held, size = [], [], 0
+        grams, held, trains, size = [], [], [], 0
 
         def fold() -> None:
             inv, found = pd.factorize(windows(held))
-            grams.append((found, np.bincount(inv, minlength=len(found))))
+            train = np.repeat(trains, [len(t) + 1 for t in held])
+            grams.append((found, np.bincount(inv, train, minlength=len(found))))
 
         for flags, z in zip(table.column("flags").to_pylist(), table.column("z").to_pylist()):
             for train, text in zip(flags, unpack(z)):
-                if not train:
-                    others.update(text.split(b" "))
-                    continue
-                known.update(text.split(b" "))
+                (known if train else others).update(text.split(b" "))
                 held.append(text)
+                trains.append(bool(train))
                 size += len(text)
                 if size > CHUNK:
                     fold()
-                    held, size = [], 0
+                    held, trains, size = [], [], 0
         if held:
             fold()
         others.discard(b"")
         known.pop(b"", None)
         rows = [(0, b, join_words(ws), squeeze(np.array([known.get(w, 0) for w in ws], np.int64))) for b, ws in by_bucket(others | known.keys(), buckets)]
-        if grams:
-            inv, g = pd.factorize(np.concatenate([x for x, _ in grams]))
-            n = np.bincount(inv, np.concatenate([x for _, x in grams])).astype(np.int64)
-            order = np.argsort(g)
-            g, n = g[order], n[order]
-            of = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-            rows += [(1, int(b), squeeze(g[of == b]), squeeze(n[of == b])) for b in np.unique(of)]
+        g, inv = np.unique(np.concatenate([x for x, _ in grams]), return_inverse=True)
+        n = np.bincount(inv, np.concatenate([x for _, x in grams])).astype(np.int64)
+        of = buckets_of(g, buckets)
+        rows += [(1, int(b), ascending(g[of == b]), squeeze(n[of == b])) for b in np.unique(of)]
         return pa.table({
             "kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
             "words": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary()),
@@ -202,13 +252,16 @@ def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
 
 def merge(table: pa.Table) -> pa.Table:
     """Adds up a bucket. Words: the totals go back to each block in the order of its words, with the number
-    of distinct training words and of training tokens of the bucket. Grams: one row."""
+    of distinct training words and of training tokens of the bucket. Grams: one row (block -1) of all, ascending, with their
+    occurrences, and a row per block with the places of its grams among them."""
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     blocks, words, counts = (table.column(c).to_pylist() for c in ("block", "words", "counts"))
     if kind == 1:
-        inv, g = pd.factorize(np.concatenate([stretch(z, np.uint64) for z in words]))
+        lists = [climb(z, np.uint64) for z in words]
+        g, inv = np.unique(np.concatenate(lists), return_inverse=True)
         n = np.bincount(inv, np.concatenate([stretch(z, np.int64) for z in counts])).astype(np.int64)
-        rows = [(-1, squeeze(g), squeeze(n), 0, 0)]
+        places = np.split(inv.astype(np.uint32), np.cumsum([len(x) for x in lists])[:-1])
+        rows = [(-1, ascending(g), squeeze(n), 0, 0), *((b, ascending(p), b"", 0, 0) for b, p in zip(blocks, places))]
     else:
         lists = [split_words(z) for z in words]
         ids: dict[bytes, int] = {}
@@ -227,102 +280,79 @@ def merge(table: pa.Table) -> pa.Table:
 MERGED = SENT + ", distinct long, tokens long"
 
 
-def bit_counts(grams: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
-    """Counts of both bits in every slot of a table of 2^``slot_bits`` or more. The slots in use tell how many distinct
-    contexts and bit prefixes there are; if they fill over ``FULL`` of the table, they are counted again in one where they do not."""
-    while True:
-        counts = table_counts(grams, slot_bits)
-        used = np.count_nonzero(counts.any(0)) / counts.shape[1]
-        if used <= FULL:
-            return counts
-        slot_bits += max(1, int(np.ceil(np.log2(np.log(max(1 - used, 1e-6)) / np.log(1 - FULL)))))
-
-
-def table_counts(grams: DataFrame, slot_bits: int) -> np.ndarray:
-    """Counts in a table of this size: partial sums leave a task for the slots it met only, parts of the
-    table are added up by Spark, and the finished table comes to the driver."""
-    pieces = min(PIECES, 1 << slot_bits)
-    width = (1 << slot_bits) // pieces
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << slot_bits), np.uint32)
-        for b in batches:
-            for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
-                g, n = stretch(g, np.uint64), stretch(n, np.int64)
-                for at in range(0, len(g), 50_000):
-                    s, bits = slots(g[at:at + 50_000], slot_bits)
-                    weight = np.broadcast_to(n[at:at + 50_000, None, None], s.shape)
-                    one = np.broadcast_to(bits[:, :, None] == 1, s.shape)
-                    for k, mask in enumerate((~one, one)):
-                        found, inv = np.unique(s[mask], return_inverse=True)
-                        table[k, found] += np.bincount(inv, weight[mask]).astype(np.uint32)
-        for p in range(pieces):
-            part = table[:, p * width:(p + 1) * width]
-            if part.any():
-                at = np.flatnonzero(part.any(0)).astype(np.int32)
-                yield pa.record_batch({"piece": pa.array([p], pa.int32()), "at": pa.array([squeeze(at)], pa.binary()), "n": pa.array([squeeze(part[:, at])], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((2, width), np.uint64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            at = stretch(at, np.int32)
-            total[:, at] += stretch(n, np.uint32).reshape(2, -1)
-        total = np.ceil(total * np.minimum(1, MOST / np.maximum(total.max(0), 1))).astype(np.uint16)
-        return pa.table({"piece": table.column("piece").slice(0, 1), "n": pa.array([squeeze(total)], pa.binary())})
-
-    parts = grams.select("words", "counts").mapInArrow(spread, "piece int, at binary, n binary").groupBy("piece").applyInArrow(add, "piece int, n binary")
-    counts = np.zeros((2, 1 << slot_bits), np.uint16)
-    for r in parts.toLocalIterator():
-        counts[:, r["piece"] * width:(r["piece"] + 1) * width] = stretch(r["n"], np.uint16).reshape(2, width)
-    return counts
-
-
-def table_of(z: bytes) -> np.ndarray:
-    return stretch(z, np.uint16).reshape(2, -1)
-
-
-def fit(grams: DataFrame) -> tuple[Model, Broadcast]:
-    """Counts, then weights learned on the grams of each task and averaged, then the refinement: three tables
-    come to the driver. The counts are broadcast once, compressed, for fitting and scoring."""
+def fit(grams: DataFrame) -> Model:
+    """Short contexts, then weights learned on each bucket and averaged, then the refinement; ``grams`` has a row per bucket.
+    To the driver come at most 2^24 keys of two bytes and the next, and two tables of fixed size."""
     sc = grams.sparkSession.sparkContext
-    counts = bit_counts(grams)
-    shared = sc.broadcast(squeeze(counts))  # 4 bytes a slot before compression
+    rows = grams.select("words", "counts")
 
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table_of(shared.value)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
-                g, n = stretch(g, np.uint64), stretch(n, np.int64)
-                w = learn(counts, g, n).ravel()
-                yield pa.record_batch({"at": pa.array(np.arange(len(w), dtype=np.int32)), "w": pa.array(w * len(g)), "n": pa.array(np.full(len(w), float(len(g))))})
+                yield climb(g, np.uint64), stretch(n, np.int64)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, n in read(batches):
+            keys, inv = np.unique(context(g, 1), return_inverse=True)
+            yield pa.record_batch({"key": pa.array(keys.astype(np.int32)), "n": pa.array(np.bincount(inv, n).astype(np.int64))})
+
+    found = rows.mapInArrow(pairs, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    low = sc.broadcast((found["key"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
 
-    learned = grams.select("words", "counts").mapInArrow(weights, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Low(*low.value)
+        for g, n in read(batches):
+            w, used = start_weights(), 0
+            for turn in range(PASSES):
+                for part in slices(g):
+                    x, gate, bits = inputs(g[part], n[part], table, True)
+                    order = np.argsort((g[part] + u(turn)) * u(FACTOR))
+                    order = order[n[part][order] > 0]
+                    learn(w, x, gate, bits, n[part], order, RATE / (1 + turn))
+                    used += len(order)
+            if used:
+                yield pa.record_batch({"at": pa.array(np.arange(w.size, dtype=np.int32)), "w": pa.array(w.ravel() * used), "n": pa.array(np.full(w.size, float(used)))})
+
+    learned = rows.mapInArrow(weights, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     w = start_weights()
     if len(learned):
         w.ravel()[learned["at"].to_numpy()] = learned["w"].to_numpy()
-    mixer = Model(counts, w)
-    plain = sc.broadcast(w)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(table_of(shared.value), plain.value)
+        model = Model(Low(*low.value), w)
         hits = np.zeros((2, 256 * LEVELS))
-        for b in batches:
-            for g, n in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
-                g, n = stretch(g, np.uint64), stretch(n, np.int64)
-                for at in range(0, len(g), 20_000):
-                    _, cell, bits = model.mixed(g[at:at + 20_000], True)
-                    many = np.broadcast_to(n[at:at + 20_000, None], bits.shape)
-                    for k in (0, 1):
-                        hits[k] += np.bincount(cell[bits == k], many[bits == k], hits.shape[1])
+        for g, n in read(batches):
+            for part in slices(g):
+                _, cell, bits = model.mixed(g[part], n[part], True)
+                many = np.broadcast_to(n[part, None], bits.shape)
+                for k in (0, 1):
+                    hits[k] += np.bincount(cell[bits == k], many[bits == k], hits.shape[1])
         at = np.flatnonzero(hits.any(0))
         yield pa.record_batch({"at": pa.array(at.astype(np.int32)), "n0": hits[0, at], "n1": hits[1, at]})
 
-    cells = grams.select("words", "counts").mapInArrow(refine, "at int, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    cells = rows.mapInArrow(refine, "at int, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     prior = np.tile(squash((np.arange(LEVELS) - LEVELS // 2) / 2), 256)
     n0, n1 = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
     n0[cells["at"]], n1[cells["at"]] = cells["n0"], cells["n1"]
-    mixer.refined = (n1 + 8 * prior) / (n0 + n1 + 8)
-    return mixer, shared
+    return Model(Low(*low.value), w, (n1 + 8 * prior) / (n0 + n1 + 8))
+
+
+def costs(grams: DataFrame, model: Model) -> DataFrame:
+    """``kind, block, bucket, counts``: to each block the costs of the grams that it sent to a bucket, in its order."""
+    sent = grams.sparkSession.sparkContext.broadcast(model)
+
+    def price(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "words", "counts"))))
+        g, n = next((climb(w, np.uint64), stretch(c, np.int64)) for b, w, c in rows if b < 0)
+        cost = sent.value.cost(g, n).astype(np.float32)
+        out = [(b, squeeze(cost[climb(w, np.uint32)])) for b, w, _ in rows if b >= 0]
+        return pa.table({
+            "kind": pa.array([1] * len(out), pa.int32()), "block": pa.array([b for b, _ in out], pa.int32()),
+            "bucket": pa.array([bucket] * len(out), pa.int32()), "counts": pa.array([z for _, z in out], pa.binary()),
+        })
+
+    return grams.groupBy("bucket").applyInArrow(price, "kind int, block int, bucket int, counts binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -334,22 +364,18 @@ def score(docs: DataFrame) -> DataFrame:
     end. Repeated rows are documents like others; extra columns are not read. Without training
     documents all counts are 0. Empty table: no rows.
     """
-    n = partitions(docs)
-    ids = docs.select("doc_id", "text")
-    blocks = in_blocks(ids, remainder("doc_id", 7) != 2, prepared)
+    ids, train = docs.select("doc_id", "text"), remainder("doc_id", 7) != 2
+    size = ids.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(train, 1)).alias("texts")).first()
+    n = max(partitions(docs), -(-(size["bytes"] or 0) // BLOCK))
+    blocks = in_blocks(ids, train, prepared, blocks=n)
     merged = checkpoint(corpus_counts(blocks, n).groupBy("kind", "bucket").applyInArrow(merge, MERGED))
-    model, counts_sent = fit(merged.where("kind = 1"))
+    model = fit(merged.where("kind = 1 and block < 0"))
     per_bucket = merged.where("kind = 0").groupBy("bucket").agg(F.max("distinct").alias("v"), F.max("tokens").alias("n"))
     sums = per_bucket.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
-    texts = docs.where(remainder("doc_id", 7) != 2).count()  # an end sign each
+    texts = size["texts"]  # an end sign each
     distinct, tokens = int(sums["v"] or 0) + (texts > 0), int(sums["n"] or 0) + texts
-    weights_sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.refined))
-    cache: dict[str, Model] = {}  # of a task
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not cache:
-            cache["model"] = Model(table_of(counts_sent.value), *weights_sent.value)
-        model = cache["model"]
         packs, flags = table.column("z").to_pylist(), table.column("flags").to_pylist()
         numbers, total = Numbers(), tokens + distinct + 1
         end = float(np.log10((texts + 1) / total))
@@ -377,14 +403,16 @@ def score(docs: DataFrame) -> DataFrame:
         if held:
             flush()
         distinct_grams = np.unique(np.concatenate([found for _, found, _ in chunks]))
-        cost = model.cost(distinct_grams)
+        by = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist()), answers.column("counts").to_pylist()))
+        of = buckets_of(distinct_grams, n)
+        cost = np.empty(len(of))
+        cost[np.argsort(of, kind="stable")] = np.concatenate([stretch(by[1, int(b)], np.float32) for b in np.unique(of)])
         scores: list[float] = []
         for inv, found, lengths in chunks:
             scores += np.add.reduceat(cost[np.searchsorted(distinct_grams, found)][inv], np.cumsum([0, *lengths[:-1]])).tolist()
-        by = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
         c = np.zeros(len(numbers), np.int64)
         for bucket, ws in by_bucket(numbers, n):
-            c[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[bucket], np.int64)
+            c[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[0, bucket], np.int64)
         logp, known = np.log10((c + 1) / total), c > 0
         out = [(i, h, k, int(known[w].sum()) + (texts > 0), float(logp[w].sum()) + end, b, s) for (i, h, k, b), w, s in zip(out, words, scores)]
         cols = list(zip(*out))
@@ -394,6 +422,6 @@ def score(docs: DataFrame) -> DataFrame:
             "bits_per_byte": pa.array([-s / np.log10(2) / b for s, b in zip(cols[6], cols[5])], pa.float64()),
         })
 
-    answers = merged.where("kind = 0").select("block", "bucket", "counts")
+    answers = merged.where("kind = 0").select("kind", "block", "bucket", "counts").union(costs(merged.where("kind = 1"), model))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -75,32 +75,71 @@ def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     texts = [lm.prepared(words(rng, ["ba", "do", "ki"], 50)) for _ in range(30)]
     g, n = np.unique(lm.windows(texts), return_counts=True)
-    counts = np.zeros((2, lm.SLOTS), np.uint16)
-    s, bits = lm.slots(g)
-    for k in (0, 1):
-        np.add.at(counts[k], s[bits == k], np.broadcast_to(n[:, None], bits.shape)[bits == k][:, None].astype(np.uint16))
-    model = lm.Model(counts, lm.learn(counts, g, n), np.full(256 * lm.LEVELS, 0.4))
-    base = (g[7] >> np.uint64(8)) << np.uint64(8)
-    assert (10 ** model.cost(base + np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-6)
-
-
-def test_windows_and_word_lengths():
-    g = lm.windows([b"ab cd", b"", b"x"])
-    assert len(g) == 6 + 1 + 2
-    assert (g & np.uint64(255)).tolist() == [*b"ab cd\0", 0, *b"x\0"]
-    assert (g >> np.uint64(8 * lm.WINDOW)).tolist() == [0, 1, 2, 0, 1, 2, 0, 0, 1]
-
-
-def test_lm_table_grows_with_the_contexts(spark):
-    rng = np.random.default_rng(9)
-    g, n = np.unique(lm.windows([rng.integers(33, 127, 60_000, dtype=np.uint8).tobytes()]), return_counts=True)
-    rows = spark.createDataFrame([(bytearray(lm.squeeze(g)), bytearray(lm.squeeze(n.astype(np.int64))))], "words binary, counts binary")
-    for floor in (10, 20):
-        counts = lm.bit_counts(rows, floor)
-        assert counts.shape[1] > 1 << floor and 0.05 < counts.any(0).mean() <= lm.FULL
-        assert counts.sum() == 60_001 * 8 * len(lm.CONTEXTS)  # no slot is above MOST
-    small = lm.bit_counts(rows.limit(0), 10)
-    assert small.shape == (2, 1024) and not small.any()
+    every = np.union1d(g, (g[7] >> np.uint64(8) << np.uint64(8)) + np.arange(256, dtype=np.uint64))
+    many = np.zeros(len(every), np.int64)
+    many[np.searchsorted(every, g)] = n
+    keys, inv = np.unique(lm.context(every, 1), return_inverse=True)
+    low = lm.Low(keys, np.bincount(inv, many).astype(np.int64))
+    w = lm.start_weights()
+    lm.learn(w, *lm.inputs(every, many, low, True), many, np.flatnonzero(many), lm.RATE)
+    cost = lm.Model(low, w, np.full(256 * lm.LEVELS, 0.4)).cost(every, many)
+    assert (10 ** cost[every >> np.uint64(8) == g[7] >> np.uint64(8)]).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_windows_and_word_hashes():
+    g = lm.windows([b"ab cd", b"", b"x", b"ab abc"])
+    assert len(g) == 6 + 1 + 2 + 7
+    assert (g & np.uint64(255)).tolist() == [*b"ab cd\0", 0, *b"x\0", *b"ab abc\0"]
+    assert [int(x) >> 40 for x in g[:4]] == [0, 97, 97 << 8 | 98, 97 << 16 | 98 << 8 | 32]
+    word = (g >> np.uint64(8) & np.uint64(65_535)).tolist()
+    so_far = ["", "a", "ab", "", "c", "cd", "", "", "x", "", "a", "ab", "", "a", "ab", "abc"]
+    assert len(set(zip(word, so_far))) == len(set(so_far)) == len(set(word))
+
+
+def test_lm_packs_and_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    for a in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.unique(rng.integers(0, 2**64, 1000, np.uint64))):
+        assert np.array_equal(lm.climb(lm.ascending(a), np.uint64), a)
+    g = np.unique(lm.windows([rng.integers(97, 101, 3000, dtype=np.uint8).tobytes()]))
+    monkeypatch.setattr(lm, "SLICE", 50)
+    parts = list(lm.slices(g))
+    assert len(parts) > 5 and np.array_equal(np.concatenate([g[p] for p in parts]), g)
+    groups = [set((g[p] >> np.uint64(40)).tolist()) for p in parts]
+    assert sum(map(len, groups)) == len(set.union(*groups)) and not list(lm.slices(g[:0]))
+
+
+def test_lm_score_byte_by_byte(table, monkeypatch):
+    """Scores against counts of contexts kept as byte strings in dictionaries, bit by bit."""
+    rng = np.random.default_rng(5)
+    texts = [words(rng, ["ba", "do", "ki", "lu", "é"], int(rng.integers(1, 25))) for _ in range(120)] + ["", None, "solo"]
+    models = []
+    real = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda grams: models.append(real(grams)) or models[0])
+    got = {r["doc_id"]: r for r in lm.score(table(texts)).collect()}
+    model = models[0]
+
+    def steps(text):
+        data = b"\0" * 5 + lm.prepared(text or "") + b"\0"
+        for i in range(5, len(data)):
+            before = data[:i]
+            so_far = before.replace(b" ", b"\0").rsplit(b"\0", 1)[1]
+            yield [before[-k:] for k in range(1, 6)] + [(before[-3:], so_far)], data[i]
+
+    counts = Counter((k, c, byte >> (8 - j), j) for i, t in enumerate(texts) if crc(i, 7) != 2 for cs, byte in steps(t) for k, c in enumerate(cs) for j in range(9))
+    for i in [j for j in range(len(texts)) if crc(j, 7) == 2][:12] + [0, 1, 2, 3, 120, 121, 122]:
+        want = 0.0
+        for cs, byte in steps(texts[i]):
+            for j in range(8):
+                x, seen = [], 0
+                for k, c in enumerate(cs):
+                    n = [counts[k, c, byte >> (8 - j) << 1 | bit, j + 1] for bit in (0, 1)]
+                    x.append(np.log((n[1] + lm.PRIOR) / (n[0] + lm.PRIOR)))
+                    seen += sum(n) > 0
+                z = float(np.dot([*x, 0.3], model.weights[j * 7 + seen]))
+                p = (lm.squash(np.array(z)) + model.refined[cs[0][0] * lm.LEVELS + int(lm.level(np.array(z)))]) / 2
+                p = min(max(p, 1e-5), 1 - 1e-5)
+                want += np.log10(p if byte >> (7 - j) & 1 else 1 - p)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-3)
 
 
 def test_lm_score_base_and_gain(table):
