@@ -29,7 +29,9 @@ WINDOW = 6
 """The longest context in bytes, and the byte it predicts."""
 CONTEXTS = 6
 """Last 1, 2, 3, 4 and 5 bytes; last 3 bytes with a hash of the word so far."""
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+STRETCH = 50_000
+"""Bytes whose grams are computed together: arrays that stay in a core's cache."""
 BLOCK = 32_000_000
 """Bytes of text in a block, about; the number of blocks and buckets grows with the table."""
 SLICE = 100_000
@@ -55,27 +57,63 @@ def u(x: int) -> np.uint64:
     return np.uint64(x)
 
 
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse modulo 2^64, ``n`` or more; those of a stretch of usual length are kept."""
+    if n <= 2 * STRETCH and POWERS:
+        return POWERS[0]
+    n = max(n, 2 * STRETCH)
+    found = tuple(np.cumprod(np.r_[u(1), np.full(n, f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 2**64)))
+    if n == 2 * STRETCH:
+        POWERS[0] = found
+    return found
+
+
 def windows(texts: list[bytes]) -> np.ndarray:
     """The gram of every byte and end sign, from the top: the last three bytes before it (24 bits), the two before those
     (16), a hash of the word so far (16), the byte (8). Contexts start as zeros at each text."""
+    out, part, size = [], [], 0
+    for t in texts:
+        if part and size + len(t) + WINDOW > STRETCH:
+            out.append(stretch_of(part))
+            part, size = [], 0
+        part.append(t)
+        size += len(t) + WINDOW
+    return np.concatenate([*out, stretch_of(part)])
+
+
+def stretch_of(texts: list[bytes]) -> np.ndarray:
     pad = b"\0" * (WINDOW - 1)
-    raw = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
+    data = b"".join([x for t in texts for x in (pad, t, b"\0")])
+    raw = np.frombuffer(data, np.uint8)
     n = max(0, len(raw) - WINDOW + 1)
-    b5, b4, b3, b2, b1, byte = (raw[i:n + i].astype(np.uint64) for i in range(WINDOW))
-    g = b3 << u(56) | b2 << u(48) | b1 << u(40) | b5 << u(32) | b4 << u(24) | byte
-    at = np.arange(n)
-    first = np.maximum.accumulate(np.where((b1 == 32) | (b1 == 0), at, 0))
-    power = np.cumprod(np.r_[u(1), np.full(len(raw), FACTOR, np.uint64)])  # modulo 2^64
-    inverse = np.cumprod(np.r_[u(1), np.full(len(raw), pow(FACTOR, -1, 2**64), np.uint64)])
-    sums = np.r_[u(0), np.cumsum(raw * power[:-1])]
-    word = (sums[at + WINDOW - 1] - sums[first + WINDOW - 1]) * inverse[first + WINDOW - 1]
-    word = (word ^ (word >> u(31))) * u(0xD6E8FEB86659FD93)
-    g |= (word >> u(48)) << u(8)
-    keep = np.zeros(n, bool)
+    wide = raw.astype(np.uint64)
+    g = wide[2:2 + n] << u(16)
+    g |= wide[3:3 + n] << u(8)
+    g |= wide[4:4 + n]
+    g <<= u(40)
+    g |= wide[:n] << u(32)
+    g |= wide[1:1 + n] << u(24)
+    g |= wide[5:5 + n]
+    before = raw[4:4 + n]
+    at = np.arange(n, dtype=np.int32)
+    first = np.maximum.accumulate(np.where((before == 32) | (before == 0), at, np.int32(0)))
+    power, inverse = powers(len(raw))
+    wide *= power[:len(raw)]
+    sums = np.cumsum(wide)  # before a byte: all bytes up to the one before it
+    word = sums[4:4 + n] - sums[4:4 + n][first]
+    word *= inverse[5:5 + n][first]
+    word ^= word >> u(31)
+    word *= u(0xD6E8FEB86659FD93)
+    word >>= u(48)
+    g |= word << u(8)
+    keep = np.ones(n, bool)
     start = 0
-    for t in texts:
-        keep[start:start + len(t) + 1] = True
+    for t in texts[:-1]:
         start += len(t) + WINDOW
+        keep[start - WINDOW + 1:start] = False
     return g[keep]
 
 
@@ -303,9 +341,9 @@ def fit(grams: DataFrame) -> Model:
         table = Low(*low.value)
         for g, n in read(batches):
             w, used = start_weights(), 0
-            for turn in range(PASSES):
-                for part in slices(g):
-                    x, gate, bits = inputs(g[part], n[part], table, True)
+            for part in slices(g):
+                x, gate, bits = inputs(g[part], n[part], table, True)
+                for turn in range(PASSES):
                     order = np.argsort((g[part] + u(turn)) * u(FACTOR))
                     order = order[n[part][order] > 0]
                     learn(w, x, gate, bits, n[part], order, RATE / (1 + turn))
@@ -402,14 +440,15 @@ def score(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             flush()
-        distinct_grams = np.unique(np.concatenate([found for _, found, _ in chunks]))
+        distinct_grams, places = np.unique(np.concatenate([found for _, found, _ in chunks]), return_inverse=True)
         by = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist()), answers.column("counts").to_pylist()))
         of = buckets_of(distinct_grams, n)
         cost = np.empty(len(of))
         cost[np.argsort(of, kind="stable")] = np.concatenate([stretch(by[1, int(b)], np.float32) for b in np.unique(of)])
         scores: list[float] = []
-        for inv, found, lengths in chunks:
-            scores += np.add.reduceat(cost[np.searchsorted(distinct_grams, found)][inv], np.cumsum([0, *lengths[:-1]])).tolist()
+        ends = np.cumsum([len(found) for _, found, _ in chunks])[:-1]
+        for (inv, _, lengths), place in zip(chunks, np.split(places, ends)):
+            scores += np.add.reduceat(cost[place][inv], np.cumsum([0, *lengths[:-1]])).tolist()
         c = np.zeros(len(numbers), np.int64)
         for bucket, ws in by_bucket(numbers, n):
             c[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[0, bucket], np.int64)
