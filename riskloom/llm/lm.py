@@ -133,13 +133,15 @@ def context(grams: np.ndarray, k: int) -> np.ndarray:
 
 def totals(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Occurrences below each of the nine nodes from a key's context to its byte (node x key), for distinct or repeated keys."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    order = np.argsort(keys)
+    keys = keys[order]
+    sums = np.concatenate([[0], np.cumsum(n[order])])
+    first = np.concatenate([[-1], np.bitwise_xor(keys[1:], keys[:-1]).astype(np.int64)])  # the highest bit in which a key differs from the one before
     out = np.empty((9, len(keys)), np.int64)
     for j in range(9):
-        node = keys >> u(8 - j)
-        new = np.r_[True, node[1:] != node[:-1]]
-        out[j, order] = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+        new = first.view(np.uint64) >= u(1 << (8 - j))
+        cuts = np.append(np.flatnonzero(new), len(keys))
+        out[j, order] = np.repeat(sums[cuts[1:]] - sums[cuts[:-1]], np.diff(cuts))
     return out
 
 
@@ -167,11 +169,10 @@ def inputs(grams: np.ndarray, n: np.ndarray, low: Low, leave_out: bool) -> tuple
     seen = np.zeros(bits.shape, np.int64)
     for k in range(CONTEXTS):
         nodes = low.of(grams, k) if k < 2 else totals(context(grams, k), n)
-        taken, other = nodes[1:].T, (nodes[:-1] - nodes[1:]).T
-        if leave_out:
-            taken = np.maximum(taken - 1, 0)
-        seen += taken + other > 0
-        x[:, :, k] = sign * np.log((taken + PRIOR) / (other + PRIOR))  # the logit of (n1 + prior) / (n + 2 prior)
+        taken, other = nodes[1:], (nodes[:-1] - nodes[1:]).astype(np.float32)
+        taken = (np.maximum(taken - 1, 0) if leave_out else taken).astype(np.float32)
+        seen += ((taken + other) > 0).T
+        x[:, :, k] = sign * np.log((taken + np.float32(PRIOR)) / (other + np.float32(PRIOR))).T  # the logit of (n1 + prior) / (n + 2 prior)
     x[:, :, -1] = 0.3
     return x, np.arange(8)[None, :] * (CONTEXTS + 1) + seen, bits
 
@@ -258,7 +259,8 @@ def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         grams, held, trains, size = [], [], [], 0
 
         def fold() -> None:
-            inv, found = pd.factorize(windows(held))
+            g = windows(held)
+            inv, found = pd.factorize(g, size_hint=len(g) // 3)
             train = np.repeat(trains, [len(t) + 1 for t in held])
             grams.append((found, np.bincount(inv, train, minlength=len(found))))
 
@@ -279,7 +281,9 @@ def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         g, inv = np.unique(np.concatenate([x for x, _ in grams]), return_inverse=True)
         n = np.bincount(inv, np.concatenate([x for _, x in grams])).astype(np.int64)
         of = buckets_of(g, buckets)
-        rows += [(1, int(b), ascending(g[of == b]), squeeze(n[of == b])) for b in np.unique(of)]
+        order = np.argsort(of, kind="stable")
+        found, starts = np.unique(of[order], return_index=True)
+        rows += [(1, int(b), ascending(g[part]), squeeze(n[part])) for b, part in zip(found, np.split(order, starts[1:]))]
         return pa.table({
             "kind": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
             "words": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary()),
@@ -424,7 +428,8 @@ def score(docs: DataFrame) -> DataFrame:
         chunks: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
 
         def flush() -> None:
-            inv, found = pd.factorize(windows(held))
+            g = windows(held)
+            inv, found = pd.factorize(g, size_hint=len(g) // 3)
             chunks.append((inv.astype(np.int32), found, [len(t) + 1 for t in held]))
 
         size = 0
