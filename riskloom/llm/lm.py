@@ -77,14 +77,14 @@ def windows(texts: list[bytes]) -> np.ndarray:
     out, part, size = [], [], 0
     for t in texts:
         if part and size + len(t) + WINDOW > STRETCH:
-            out.append(stretch_of(part))
+            out += stretch_of(part)
             part, size = [], 0
         part.append(t)
         size += len(t) + WINDOW
-    return np.concatenate([*out, stretch_of(part)])
+    return np.concatenate(out + stretch_of(part))
 
 
-def stretch_of(texts: list[bytes]) -> np.ndarray:
+def stretch_of(texts: list[bytes]) -> list[np.ndarray]:
     pad = b"\0" * (WINDOW - 1)
     data = b"".join([x for t in texts for x in (pad, t, b"\0")])
     raw = np.frombuffer(data, np.uint8)
@@ -109,12 +109,8 @@ def stretch_of(texts: list[bytes]) -> np.ndarray:
     word *= u(0xD6E8FEB86659FD93)
     word >>= u(48)
     g |= word << u(8)
-    keep = np.ones(n, bool)
-    start = 0
-    for t in texts[:-1]:
-        start += len(t) + WINDOW
-        keep[start - WINDOW + 1:start] = False
-    return g[keep]
+    starts = np.cumsum([0] + [len(t) + WINDOW for t in texts]).tolist()
+    return [g[a:a + len(t) + 1] for a, t in zip(starts, texts)]
 
 
 def buckets_of(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -458,7 +454,11 @@ def score(docs: DataFrame) -> DataFrame:
         for bucket, ws in by_bucket(numbers, n):
             c[np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws))] = stretch(by[0, bucket], np.int64)
         logp, known = np.log10((c + 1) / total), c > 0
-        out = [(i, h, k, int(known[w].sum()) + (texts > 0), float(logp[w].sum()) + end, b, s) for (i, h, k, b), w, s in zip(out, words, scores)]
+        places = np.concatenate([x for w in words for x in (w, [len(c)])]).astype(np.int64)  # each text's words and its end
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        bases = np.add.reduceat(np.append(logp, end)[places], starts).tolist()
+        knowns = np.add.reduceat(np.append(known, texts > 0)[places].astype(np.int64), starts).tolist()
+        out = [(i, h, k, m, base, b, s) for (i, h, k, b), m, base, s in zip(out, knowns, bases, scores)]
         cols = list(zip(*out))
         return pa.table({
             "doc_id": pa.array(cols[0], pa.int64()), "held_out": pa.array(cols[1], pa.bool_()), "n_tokens": pa.array(cols[2], pa.int64()), "n_known": pa.array(cols[3], pa.int64()),
