@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,41 +107,65 @@ def first_section(text: Column, patterns: Sequence[str]) -> Column:
 
 
 def extract_sections(df: DataFrame, content: str, out: dict[str, list[str]] | None = None) -> DataFrame:
-    """Adds ``<name>_text``, ``<name>_length`` and ``extraction_success``."""
+    """Adds ``<name>_text``, ``<name>_length`` and ``extraction_success``.
+
+    A text in which no pattern finds a section is scanned by header lines instead: a block whose name is
+    wanted becomes that section, and any block at all counts as success. Null gives empty sections.
+    """
     wanted = out or SECTION_PATTERNS
     df = df.withColumn("_text", html_to_text(F.col(content)))
-    df = df.withColumns({f"{n}_text": F.coalesce(first_section(F.col("_text"), ps), F.lit("")) for n, ps in wanted.items()}).drop("_text")
+    df = df.withColumns({f"{n}_text": F.coalesce(first_section(F.col("_text"), ps), F.lit("")) for n, ps in wanted.items()})
+    found = reduce(operator.or_, [F.length(f"{n}_text") > 0 for n in wanted])
+    blocks = F.when(~found, header_blocks(F.col("_text")))  # null where a pattern matched: the fold is not run there
+    df = df.withColumns({"_found": found, "_blocks": blocks})
+    df = df.withColumns({f"{n}_text": F.when(F.col("_found"), F.col(f"{n}_text")).otherwise(F.coalesce(F.element_at("_blocks", F.lit(n)), F.lit(""))) for n in wanted})
     df = df.withColumns({f"{n}_length": F.length(f"{n}_text") for n in wanted})
-    found = F.lit(False)
-    for n in wanted:
-        found = found | (F.col(f"{n}_length") > 0)
-    return df.withColumn("extraction_success", found)
+    return df.withColumn("extraction_success", F.col("_found") | (F.coalesce(F.size("_blocks"), F.lit(0)) > 0)).drop("_text", "_found", "_blocks")
 
 
-def header_sections(df: DataFrame, key: str, content: str) -> DataFrame:
-    """Fallback scan: lines under a short header line, up to and including a stop line.
+def header_blocks(text: Column) -> Column:
+    """Section name -> its lines: those under a short header line, up to and including a stop line.
 
-    The lines of one text are windowed together; a text is one row to begin with, so the
-    window is no larger than a row was.
+    One fold over the lines of the text, inside the row. The state has a fixed size: the open section, its first
+    line, the line reached, and the first and last line of each section's latest block; texts are cut out at the end.
+    Blank lines do not count. Null and texts without a header give an empty map.
     """
-    lines = df.select(key, F.posexplode(F.split(html_to_text(F.col(content)), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    low = F.lower("line")
     names = [(t.lower(), t.lower().replace("'", "").replace(" ", "_")) for t in SECTION_TITLES]
-    header = F.coalesce(*[F.when(low.contains(t), F.lit(n)) for t, n in names])
-    stop = F.lit(False)
-    for t in STOP_TITLES:
-        stop = stop | low.contains(t)
-    lines = lines.where("line != ''").withColumns({"head": F.when(F.length("line") < HEADER_LENGTH, header), "stop": stop.cast("int")})
-    w = Window.partitionBy(key).orderBy("line_no")
-    lines = lines.withColumns({
-        "head_no": F.last(F.when(F.col("head").isNotNull(), F.col("line_no")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "section": F.last("head", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-    })
-    inside = Window.partitionBy(key, "head_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.where(F.col("head_no").isNotNull()).withColumn("stopped", F.coalesce(F.max("stop").over(inside), F.lit(0))).where("stopped = 0")
-    blocks = lines.groupBy(key, "section", "head_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    latest = blocks.groupBy(key, "section").agg(F.max_by("ls", "head_no").alias("ls"))
-    return latest.select(key, "section", F.array_join(F.col("ls.line"), "\n").alias("text"))
+    nothing = F.lit(-1)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+    def step(state: Column, line: Column) -> Column:
+        low, at = F.lower(line), state["at"]
+        title = F.coalesce(*[F.when(low.contains(t), F.lit(k)) for k, (t, _) in enumerate(names)], nothing)
+        head = F.when(F.length(line) < HEADER_LENGTH, title).otherwise(nothing)
+        # a header closes the open block in front of it
+        before = F.when(head >= 0, _closed(state["blocks"], state["open"], state["first"], at - 1)).otherwise(state["blocks"])
+        opened = F.when(head >= 0, head).otherwise(state["open"])
+        first = F.when(head >= 0, at).otherwise(state["first"])
+        stop = (opened >= 0) & reduce(operator.or_, [low.contains(t) for t in STOP_TITLES])
+        return F.struct((at + 1).alias("at"), F.when(stop, nothing).otherwise(opened).alias("open"), first.alias("first"),
+                        F.when(stop, _closed(before, opened, first, at)).otherwise(before).alias("blocks"))
+
+    empty = F.array(*[F.struct(nothing.alias("first"), nothing.alias("last"))] * len(names))
+    start = F.struct(F.lit(1).alias("at"), nothing.alias("open"), nothing.alias("first"), empty.alias("blocks"))
+
+    def cut(ls: Column) -> Column:
+        blocks = F.aggregate(ls, start, step, lambda st: _closed(st["blocks"], st["open"], st["first"], st["at"] - 1))
+        named = F.zip_with(F.array(*[F.lit(n) for _, n in names]), blocks, lambda n, b: F.struct(
+            n.alias("k"), F.when(b["first"] > 0, F.array_join(F.slice(ls, b["first"], b["last"] - b["first"] + 1), "\n")).alias("v")))
+        return F.map_from_entries(F.filter(named, lambda e: e["v"].isNotNull()))
+
+    return F.transform(F.array(lines), cut)[0]  # binds the lines once
+
+
+def _closed(blocks: Column, which: Column, first: Column, last: Column) -> Column:
+    """``blocks`` with the block of section ``which`` replaced (-1: unchanged)."""
+    return F.transform(blocks, lambda b, k: F.when(k == which, F.struct(first.alias("first"), last.alias("last"))).otherwise(b))
+
+
+def header_sections(df: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, section, text`` of the header scan, one row per section found (see ``header_blocks``)."""
+    return df.select(key, F.explode(header_blocks(html_to_text(F.col(content)))).alias("section", "text"))
 
 
 def keywords(df: DataFrame, key: str, text: str, top: int = TOP_KEYWORDS) -> DataFrame:

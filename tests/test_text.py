@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -58,6 +59,48 @@ def test_header_fallback(spark):
     assert rows == {"business_risks": "Business Risks\nline one\nline two\nControls and procedures here", "risk_management": "Risk Management\nlast line"}
 
 
+def scanned(text):
+    """The header scan, line by line."""
+    found, name, held = {}, None, []
+    for line in (x.strip() for x in text.split("\n")):
+        title = next((t for t in tx.SECTION_TITLES if t.lower() in line.lower()), None)
+        if title and len(line) < tx.HEADER_LENGTH:
+            if name:
+                found[name] = "\n".join(held)
+            name, held = title.lower().replace("'", "").replace(" ", "_"), []
+        if name and line:
+            held.append(line)
+            if any(t in line.lower() for t in tx.STOP_TITLES):
+                found[name] = "\n".join(held)
+                name = None
+    if name:
+        found[name] = "\n".join(held)
+    return found
+
+
+def test_header_scan_equals_loop(spark):
+    rng = random.Random(11)
+    parts = ["plain words", "\tMD&A overview", "Risk Factors", "risk management and controls and procedures", "Business Risks  ", "see item 3 below", "", "  ",
+             "x" * 190 + " Risk Factors", "Management's Discussion and Analysis", "MD&A and Risk Factors", "\r", "last\r"]
+    texts = ["\n".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)] + ["", "Risk Factors", "Risk Factors\nitem 2\nMD&A", "\n".join(parts * 3000)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, c string")
+    got = {i: {} for i in range(-1, len(texts))}
+    for r in tx.header_sections(df, "id", "c").collect():
+        got[r["id"]][r["section"]] = r["text"]
+    assert got == {-1: {}, **{i: scanned(t) for i, t in enumerate(texts)}}
+
+
+def test_fallback_only_without_pattern(spark):
+    # "risk factors" opens a pattern section; "Risk Management" is known to the header scan alone
+    rows = [(1, "Risk Management\nwe hedge"), (2, "Risk Factors\nnone\nRisk Management\nwe hedge"), (3, "nothing"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, c string")
+    got = {r["id"]: (r["mda_text"], r["risk_factors_text"], r["extraction_success"]) for r in tx.extract_sections(df, "c").collect()}
+    assert got == {1: ("", "", True), 2: ("", "Risk Factors none Risk Management we hedge", True), 3: ("", "", False), 4: ("", "", False)}
+    own = {"risk_management": [r"(hedging policy.*)"]}
+    got = {r["id"]: (r["risk_management_text"], r["extraction_success"]) for r in tx.extract_sections(df, "c", own).collect()}
+    assert got == {1: ("Risk Management\nwe hedge", True), 2: ("Risk Management\nwe hedge", True), 3: ("", False), 4: ("", False)}
+
+
 def test_counts_of_empty_text(spark):
     row = spark.createDataFrame([("", "a. b.\nc")], "e string, t string").select(tx.word_count(F.col("e")), tx.piece_count(F.col("t"), "\\."), tx.piece_count(F.col("t"), "\n")).first()
     assert list(row) == [0, 3, 2]
