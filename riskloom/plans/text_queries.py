@@ -98,22 +98,66 @@ def g11(spark, d):
 
 
 def sectioned_filings(spark, d):
-    """Page text placed under the two section headings, as a filing would have it."""
+    """Page text under section headings, as a filing would have it: one page in three as it is, one in six under headings
+    that only the header scan knows."""
     p = filings(spark, d)
+    inner = F.regexp_replace("html", "(?i)</?(html|body)[^>]*>", "")
+    titled = p.withColumn("title_text", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
     body = F.concat(
-        F.lit("<html><p>Item 1A. Risk Factors</p>"), F.regexp_replace("html", "(?i)</?(html|body)[^>]*>", ""),
+        F.lit("<html><p>Item 1A. Risk Factors</p>"), inner,
         F.lit("<p>Item 2. Properties</p><p>Item 7. Management's Discussion and Analysis</p>"), F.col("title_text"), F.lit("<p>Item 8. Statements</p></html>"))
-    return p.withColumn("title_text", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).withColumn(
-        "content", F.when(F.col("page_id") % 3 != 0, body).otherwise(F.col("html")))
+    headed = F.concat(F.lit("<html><p>Overview</p><p>Risk Management</p>"), inner, F.lit("<p>Controls and procedures</p><p>Not in it</p></html>"))
+    return titled.withColumn("content", F.when(F.col("page_id") % 6 == 2, headed).when(F.col("page_id") % 3 != 0, body).otherwise(F.col("html")))
+
+
+def _sql_text(c: str) -> str:
+    t = c
+    for tag in ("script", "style"):
+        t = f"regexp_replace({t}, '<{tag}\\b.*?</{tag}\\s*>', ' ', 'gis')"
+    t = f"regexp_replace({t}, '<!--.*?-->', ' ', 'gs')"
+    t = f"regexp_replace({t}, '</?(p|div|br|li|ul|tr|h[1-6]|article|section|table)\\b[^>]*>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    return f"CASE WHEN contains(lower({c}), '<html') THEN {t} ELSE {c} END"
+
+
+def _sql_section(patterns) -> str:
+    hits = ", ".join(f"nullif(regexp_extract(t, '{p.replace(chr(39), chr(39) * 2)}', 1, 'is'), '')" for p in patterns)
+    e = f"regexp_replace(coalesce({hits}), '\\s+', ' ', 'g')"
+    for p, by in (("page\\s+\\d+", ""), ("table\\s+of\\s+contents", ""), ("\\.{3,}", "..."), ("-{3,}", "---")):
+        e = f"regexp_replace({e}, '{p}', '{by}', 'gi')"
+    return f"coalesce(trim({e}), '')"
+
+
+_INNER = "regexp_replace(html, '</?(html|body)[^>]*>', '', 'gi')"
+_TITLES = "CASE " + " ".join(f"WHEN contains(lower(line), '{t.lower().replace(chr(39), chr(39) * 2)}') THEN '{t.lower().replace(chr(39), '').replace(' ', '_')}'" for t in tx.SECTION_TITLES) + " END"
+_STOPS = " OR ".join(f"contains(lower(line), '{t}')" for t in tx.STOP_TITLES)
+HEADERS = dict(
+    con=f"""SELECT *, CASE WHEN page_id % 6 = 2 THEN '<html><p>Overview</p><p>Risk Management</p>' || {_INNER} || '<p>Controls and procedures</p><p>Not in it</p></html>'
+      WHEN page_id % 3 <> 0 THEN '<html><p>Item 1A. Risk Factors</p>' || {_INNER} || '<p>Item 2. Properties</p><p>Item 7. Management''s Discussion and Analysis</p>'
+        || regexp_extract(html, '<title>(.*?)</title>', 1, 'is') || '<p>Item 8. Statements</p></html>' ELSE html END AS content FROM filings""",
+    txt=f"SELECT *, {_sql_text('content')} AS t FROM con",
+    ln="SELECT page_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS no FROM txt",
+    hd=f"SELECT *, CASE WHEN length(line) < {tx.HEADER_LENGTH} THEN {_TITLES} END AS head, {_STOPS} AS stop FROM (SELECT page_id, no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM ln) WHERE line <> ''",
+    bl="SELECT *, max(CASE WHEN head IS NOT NULL THEN no END) OVER (PARTITION BY page_id ORDER BY no) AS block FROM hd",
+    ins="SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY page_id, block ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past FROM bl WHERE block IS NOT NULL",
+    bs="SELECT page_id, block, max(head) AS section, string_agg(line, chr(10) ORDER BY no) AS text FROM ins WHERE NOT past GROUP BY 1, 2",
+    hs="SELECT page_id, section, arg_max(text, block) AS text FROM bs GROUP BY 1, 2",
+)
 
 
-@query("g12_extract_sections")
+@query("g12_extract_sections", sql("""SELECT page_id, Symbol, filing_date, form_type, mda_text, risk_factors_text, CAST(length(mda_text) AS INTEGER) AS mda_length,
+      CAST(length(risk_factors_text) AS INTEGER) AS risk_factors_length, found OR page_id IN (SELECT page_id FROM hs) AS extraction_success
+    FROM (SELECT page_id, Symbol, filing_date, form_type, found, m AS mda_text, CASE WHEN found THEN k ELSE coalesce(text, '') END AS risk_factors_text
+      FROM (SELECT *, m <> '' OR k <> '' AS found FROM sx) LEFT JOIN (SELECT page_id, text FROM hs WHERE section = 'risk_factors') USING (page_id))""", "filings", **HEADERS,
+    sx=f"SELECT *, {_sql_section(tx.SECTION_PATTERNS['mda'])} AS m, {_sql_section(tx.SECTION_PATTERNS['risk_factors'])} AS k FROM txt"))
 def g12(spark, d):
     return tx.extract_sections(sectioned_filings(spark, d), "content").select(
         "page_id", "Symbol", "filing_date", "form_type", "mda_text", "risk_factors_text", "mda_length", "risk_factors_length", "extraction_success")
 
 
-@query("g13_header_sections")
+@query("g13_header_sections", sql("SELECT * FROM hs", "filings", **HEADERS))
 def g13(spark, d):
     return tx.header_sections(sectioned_filings(spark, d), "page_id", "content")
 
