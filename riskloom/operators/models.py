@@ -18,6 +18,7 @@ from riskloom.functions.series import positions
 from riskloom.operators import evaluation as ev
 from riskloom.operators.aggregates import longform
 from riskloom.operators.clean import clear_infinities, drop_sparse_columns, median_fill, select_features, valid_targets
+from riskloom.operators.nested import NestedSearch
 from riskloom.operators.stats import hash_uniform, likelihood_ratio
 from riskloom.session import checkpoint
 
@@ -70,11 +71,9 @@ def grid_search(estimator, grid, label: str, folds: int = 3, parallelism: int =
 
 
 def random_forest(label: str, trees: Sequence[int] = (200, 300, 500), depths: Sequence[int] = (15, 20, 30), leaves: Sequence[int] = (1, 2),
-                  subsets: Sequence[str] = ("sqrt", "log2"), **cv) -> CrossValidator:
+                  subsets: Sequence[str] = ("sqrt", "log2"), **search) -> NestedSearch:
     rf = RandomForestClassifier(labelCol=label, weightCol="weight", seed=42)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).addGrid(rf.minInstancesPerNode, list(leaves))
-            .addGrid(rf.featureSubsetStrategy, list(subsets)).build())
-    return grid_search(rf, grid, label, **cv)
+    return NestedSearch(rf, label, "numTrees", trees, {"maxDepth": depths, "minInstancesPerNode": leaves, "featureSubsetStrategy": subsets}, **search)
 
 
 def logistic(label: str, strengths: Sequence[float] = (0.1, 1.0, 10.0, 100.0), mixes: Sequence[float] = (0.0, 1.0), **cv) -> CrossValidator:
@@ -84,10 +83,8 @@ def logistic(label: str, strengths: Sequence[float] = (0.1, 1.0, 10.0, 100.0), m
     return grid_search(lr, grid, label, **cv)
 
 
-def boosted_trees(label: str, rounds: Sequence[int] = (100, 200), depths: Sequence[int] = (3, 5), rates: Sequence[float] = (0.05, 0.1), **cv) -> CrossValidator:
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=42)
-    grid = ParamGridBuilder().addGrid(gbt.maxIter, list(rounds)).addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(rates)).build()
-    return grid_search(gbt, grid, label, **cv)
+def boosted_trees(label: str, rounds: Sequence[int] = (100, 200), depths: Sequence[int] = (3, 5), rates: Sequence[float] = (0.05, 0.1), **search) -> NestedSearch:
+    return NestedSearch(GBTClassifier(labelCol=label, weightCol="weight", seed=42), label, "maxIter", rounds, {"maxDepth": depths, "stepSize": rates}, **search)
 
 
 def platt(df: DataFrame, score: str, label: str) -> PipelineModel:

@@ -81,7 +81,7 @@ def i3(spark, d):
 @query("i4_random_forest")
 def i4(spark, d):
     rows = training_rows(spark, d)
-    cv = md.random_forest("Risk_Label", trees=(20,), depths=(5, 8), leaves=(1,), subsets=("sqrt",)).fit(rows.where(~F.col("is_test")))
+    cv = md.random_forest("Risk_Label", trees=(20, 30, 50), depths=(5, 8), leaves=(1, 2), subsets=("sqrt",)).fit(rows.where(~F.col("is_test")))
     return test_metrics(cv.bestModel, rows, "random_forest")
 
 
@@ -95,7 +95,7 @@ def i5(spark, d):
 @query("i6_boosted_trees")
 def i6(spark, d):
     rows = training_rows(spark, d)
-    cv = md.boosted_trees("Risk_Label", rounds=(10,), depths=(3, 4), rates=(0.1,)).fit(rows.where(~F.col("is_test")))
+    cv = md.boosted_trees("Risk_Label", rounds=(20, 40)).fit(rows.where(~F.col("is_test")))
     return test_metrics(cv.bestModel, rows, "boosted_trees")
 
 
