@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = 61
 """Code points up to which a chunk's boundaries are bits of a long."""
+RUN = 1_000
+"""Code points up to which a chunk's substrings become rows. Longer runs, which no natural word reaches, are folded where they are."""
 UNKNOWN = (1 << 20) - 1
 """Id of an edge over a character without a piece, or with one still to be looked up."""
 SIMPLE = 0x250
@@ -177,13 +179,90 @@ def viterbi(length: int, edges: list[int], scores: dict[int, float], unknown: fl
     return out[::-1]
 
 
+def merged_run(run: str, rank: dict[str, int], longest: int) -> list[str]:
+    """Pieces of a run of any length, in order: merges by rank, leftmost first, with a heap. Time grows with n log n, memory with n;
+    a substring is looked up when its two halves meet, so no list of edges is made."""
+    import heapq
+    from array import array
+
+    n = len(run)
+    right, left = array("q", range(1, n + 2)), array("q", range(-1, n))
+    alive = bytearray(b"\x01") * n + bytearray(1)
+    heap: list[int] = []
+
+    def offer(s: int) -> None:
+        mid = right[s]
+        if mid < n:
+            end = right[mid]
+            if end - s <= longest and (r := rank.get(run[s:end])) is not None:
+                heapq.heappush(heap, (((r << 40 | s) << 12) | (mid - s) << 6) | (end - s))  # rank, start, middle, end
+
+    for s in range(n - 1):
+        offer(s)
+    while heap:
+        x = heapq.heappop(heap)
+        s = (x >> 12) & 0xFFFFFFFFFF
+        mid, end = s + ((x >> 6) & 63), s + (x & 63)
+        if alive[s] and right[s] == mid and alive[mid] and right[mid] == end:
+            alive[mid], right[s] = 0, end
+            if end < n:
+                left[end] = s
+            offer(s)
+            if s:
+                offer(left[s])
+    return [run[s:right[s]] for s in range(n) if alive[s]]
+
+
+def viterbi_run(run: str, scores: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """Pieces of the best path through a run of any length; ties go to the one that starts first. A character that is no piece
+    costs ``unknown``."""
+    from array import array
+
+    n = len(run)
+    best, back = array("d", [0.0]) * (n + 1), array("q", [0]) * (n + 1)
+    for end in range(1, n + 1):
+        best[end] = -np.inf
+        for s in range(max(0, end - longest), end):
+            score = scores.get(run[s:end], unknown if s == end - 1 else None)
+            if score is not None and best[s] + score > best[end]:
+                best[end], back[end] = best[s] + score, s
+    out, end = [], n
+    while end:
+        out.append(run[back[end]:end])
+        end = back[end]
+    return out[::-1]
+
+
+def _run_ids(pieces: Pieces):
+    """Ids of runs over ``RUN`` code points, null for null."""
+    ids, byte_ids, longest, unigram = dict(zip(pieces.pieces, pieces.ids)), pieces.byte_ids, pieces.longest, pieces.unigram
+    rank = dict(zip(pieces.pieces, pieces.ranks))
+    scored = dict(zip(pieces.pieces, pieces.scores))
+    unknown = min(pieces.scores) - 10.0
+
+    def of(run: str) -> list[int]:
+        out: list[int] = []
+        for x in viterbi_run(run, scored, longest, unknown) if unigram else merged_run(run, rank, longest):
+            i = ids.get(x)
+            out.extend([i] if i is not None else [byte_ids[b] for b in x.encode("utf-8", "surrogatepass")])
+        return out
+
+    def run(chunks):
+        import pandas as pd
+
+        return pd.Series([None if c is None else of(c) for c in chunks], dtype=object)
+
+    return F.pandas_udf(run, "array<int>")
+
+
 def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     """``chunk`` (distinct) -> ``chunk, ids``.
 
     An edge is packed in a long: rank (16 bits), start (21), length (6), id (20); sorted, edges come by
     rank, then start. Single characters below ``SIMPLE`` and the escape sign are no edges of a BPE lattice (they are what no edge
     covers); their ids are in a constant array. A character without a piece is written as its UTF-8 bytes. An empty edge
-    keeps chunks without any other. The join's piece table is broadcast: the model file bounds it.
+    keeps chunks without any other. The join's piece table is broadcast: the model file bounds it. Of runs over ``RUN`` code points
+    only the empty edge becomes a row; their ids, by the same rule, come from ``merged_run`` or ``viterbi_run`` in linear memory.
     """
     spark = chunks.sparkSession
     empty = spark.createDataFrame([("", 0xFFFF, 0.0, UNKNOWN, 0)], "piece string, rank long, score double, id int, len int")
@@ -191,7 +270,8 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     # chunks stay where they are from here on: explosion, join, grouping and folds need no other shuffle
     placed = chunks.repartition(partitions(chunks), "chunk")
     least = F.lit(1) if pieces.unigram else F.when(F.col("chunk").rlike(rf"[^\x{{0}}-\x{{{SIMPLE - 1:X}}}{SPACE}]"), 1).otherwise(2)
-    starts = placed.select("chunk", least.alias("least"), F.explode(F.sequence(F.lit(0), F.length("chunk"))).alias("s"))
+    long_run = F.length("chunk") > RUN
+    starts = placed.select("chunk", least.alias("least"), F.explode(F.sequence(F.lit(0), F.when(long_run, 0).otherwise(F.length("chunk")))).alias("s"))
     most = F.least(F.lit(pieces.longest), F.length("chunk") - F.col("s") + 1)
     lengths = F.when(F.col("s") == 0, F.array(F.lit(0))).when(most >= F.col("least"), F.sequence(F.col("least"), most, F.lit(1))).otherwise(F.array().cast("array<int>"))
     spans = starts.select("chunk", "s", F.explode(lengths).alias("n"))
@@ -204,13 +284,14 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     if pieces.unigram:
         holes = F.filter(F.sequence(F.lit(0), F.length("chunk") - 1), lambda i: ~F.exists("edges", lambda x: (size(x) == 1) & (start(x) == i)))
-        lattice = lattice.withColumn("edges", F.concat("edges", F.transform(holes, lambda i: i.cast("long") * two(26) + F.lit((1 << 20) | UNKNOWN))))
+        lattice = lattice.withColumn("edges", F.when(long_run, F.col("edges")).otherwise(F.concat("edges", F.transform(holes, lambda i: i.cast("long") * two(26) + F.lit((1 << 20) | UNKNOWN)))))
         short, kept = F.length("chunk") <= 400, _viterbi_fold(pieces, start, size)
     else:
         short, kept = F.length("chunk") <= MASK, _merge_fold()
         for pair in pieces.tied_pairs:  # pieces of equal rank grow from the left as they are found: the heap does that
             short &= ~F.contains("chunk", F.lit(pair))
-    path = F.when(short, kept).otherwise(_long_path(pieces)(F.when(~short, F.length("chunk")), F.when(~short, F.col("edges"))))
+    middle = ~short & ~long_run
+    path = F.when(short, kept).when(middle, _long_path(pieces)(F.when(middle, F.length("chunk")), F.when(middle, F.col("edges"))))
     by_start = F.sort_array(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
     byte_ids, singles = listed(pieces.byte_ids).cast("array<int>"), listed(pieces.singles).cast("array<int>")
     space = dict(zip(pieces.pieces, pieces.ids)).get(SPACE, UNKNOWN)
@@ -225,7 +306,7 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
 
     paths = lattice.select("chunk", "edges", by_start.alias("path")).withColumn("ids", F.transform("path", known))
     ids = F.when(~F.array_contains("ids", UNKNOWN), F.col("ids")).otherwise(F.flatten(F.transform("path", spelled)))
-    return paths.select("chunk", ids.alias("ids"))
+    return paths.select("chunk", F.when(~long_run, ids).otherwise(_run_ids(pieces)(F.when(long_run, F.col("chunk")))).alias("ids"))
 
 
 def _merge_fold() -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,45 @@ def test_viterbi_equals_the_library_in_unigram_mode(table):
         assert r["ids"] == library.encode(texts[r["doc_id"]] or ""), texts[r["doc_id"]]
 
 
+def runs(seed):
+    """Unbroken runs on both sides of ``RUN``: letters, one letter, other scripts, characters without a piece, white space."""
+    rng = random.Random(seed)
+    sizes = [spieces.RUN - 2, spieces.RUN - 1, spieces.RUN, spieces.RUN + 1, 5000, 30_000]
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "a", "étéßñ", "字漢語中文", "ab\U0001f9ff\U00013000", " ", "=-_", "0123456789abcdef"]
+    return ["".join(rng.choices(k, k=n)) for k in kinds for n in rng.sample(sizes, 3)] + ["in " + "th" * 2500 + " the end\n" + "the" * 700]
+
+
+def test_long_runs_equal_the_library(table):
+    texts = runs(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=spieces.MODEL)
+    for r in spieces.encode(table(texts), spieces.Pieces()).collect():
+        assert r["ids"] == library.encode(texts[r["doc_id"]]), texts[r["doc_id"]][:40]
+
+
+def test_run_of_more_than_two_million_characters(table):
+    text = "".join(random.Random(6).choices("abcdefgh", k=2_200_000)) + " end"
+    library = sentencepiece.SentencePieceProcessor(model_file=spieces.MODEL)
+    pieces = spieces.Pieces()
+    row = spieces.encode(table([text]), pieces).withColumn("back", spieces.decode(F.col("ids"), pieces)).first()
+    assert row["ids"] == library.encode(text) and row["back"] == text
+
+
+def test_runs_by_viterbi_equal_the_fold():
+    """``viterbi_run`` against ``viterbi`` over packed edges."""
+    pieces = spieces.Pieces(unigram=True)
+    table = dict(zip(pieces.pieces, pieces.scores))
+    known = {x: (r, i) for x, r, i in zip(pieces.pieces, pieces.ranks, pieces.ids)}
+    unknown = min(pieces.scores) - 10.0
+    for run in [x[:400] for x in runs(5)]:
+        run = run.replace(" ", spieces.SPACE).replace("\n", "")
+        edges = sorted((known[t][0] << 47) | (s << 26) | (n << 20) | known[t][1] for s in range(len(run)) for n in range(1, pieces.longest + 1)
+                       if s + n <= len(run) and (t := run[s:s + n]) in known)
+        edges += [(i << 26) | (1 << 20) | spieces.UNKNOWN for i, c in enumerate(run) if c not in known]
+        path = spieces.viterbi(len(run), edges, dict(zip(pieces.ids, pieces.scores)), unknown)
+        want = [run[(x >> 26) & 0x1FFFFF:][:(x >> 20) & 63] for x in path]
+        assert spieces.viterbi_run(run, table, pieces.longest, unknown) == want, run[:40]
+
+
 def test_every_piece_merges_in_rank_order():
     """What the fold over ranks relies on: a piece's text, merged by rank alone, gives the piece."""
     pieces = spieces.Pieces()
