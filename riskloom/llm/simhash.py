@@ -44,6 +44,26 @@ def simhash(hashes: np.ndarray) -> int:
     return int(sum(1 << (8 * lane + s) for s in range(8) for lane in range(8) if bits[s, lane]))
 
 
+def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` uint64 of the same rule: the first is ``simhash``, each further one that of hashes mixed anew."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    x = hashes[None] + np.arange(words, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x[0] = hashes
+    counts = np.zeros((8, words, 8), np.int64)
+    lanes = np.uint64(0x0101010101010101)
+    for at in range(0, len(hashes), 255):  # a byte lane holds 255 at most
+        part = x[:, at:at + 255]
+        for s in range(8):
+            total = np.add.reduce((part >> np.uint64(s)) & lanes, axis=1)
+            counts[s] += total.view(np.uint8).reshape(words, 8)
+    bits = (2 * counts > len(hashes)).transpose(1, 2, 0)
+    return np.packbits(bits, axis=-1, bitorder="little").reshape(-1).view(np.uint64)
+
+
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 (seed 42) of the word shingles, repeats included; fewer words give one shingle, none none."""
     import xxhash

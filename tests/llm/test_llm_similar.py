@@ -73,3 +73,26 @@ def test_groups_that_share_their_smallest_id_keep_one_row_each(table):
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     docs = table([one, two, one + " end", two + " end"], [1, 1, 2, 3])
     assert sorted(r["text"] for r in similar.one_of_each(docs).collect()) == [one, two]
+
+
+def test_fingerprints_are_simhashes_over_each_set_of_shingles(texts, table):
+    from riskloom.llm.simhash import simhash
+
+    rows = {r["doc_id"]: r for r in similar.signatures(table(texts[:60])).collect()}
+    for i, t in enumerate(texts[:60]):
+        marks = np.frombuffer(bytes(rows[i]["print"]), np.uint64)
+        assert len(marks) == 4 and int(marks[0]) == simhash(np.unique(similar.shingle_hashes(t, 5)))
+
+
+def test_pairs_at_the_limit_share_a_band_and_lie_in_the_radius(table):
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (9, 18, 45, 90, 450):  # the second text ends otherwise: 8 of 10, 16 of 20, 40 of 50, ... shingles are common
+        for _ in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, n + 4)]
+            texts += [" ".join(words), " ".join(words[:n + 4 - n // 9] + [f"v{x}" for x in rng.integers(0, 10**6, n // 9)])]
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(table(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+    marks = {r["doc_id"]: np.frombuffer(bytes(r["print"]), np.uint64) for r in similar.signatures(table(texts)).collect()}
+    far = lambda i, j: int(np.bitwise_count(marks[i] ^ marks[j]).sum())
+    assert max(far(i, i + 1) for i in range(0, len(texts), 2)) <= similar.RADIUS < min(far(i, i + 2) for i in range(0, len(texts) - 2))
