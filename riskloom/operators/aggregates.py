@@ -158,9 +158,13 @@ def label_correlations(df: DataFrame, cols: Sequence[str], label: str = "Risk_La
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:
-    """Equal-width counts; the last bin includes the upper end, values outside are left out."""
+    """Equal-width counts; the last bin includes the upper end, values outside are left out.
+
+    They are left out after counting: a filter on the values would be pushed below what computes them and compute them again.
+    """
     b = F.least(F.floor((F.col(col) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(col).between(low, high)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(F.when(F.col(col).between(low, high), b).alias("bin")).groupBy("bin").agg(F.count("bin").alias("n"))
+    return counted.where("n > 0")
 
 
 def quartiles(df: DataFrame, col: str) -> DataFrame:

@@ -98,3 +98,14 @@ def test_score_stability_slices(spark):
     got = ev.score_stability(spark.createDataFrame(pdf), slice_rows=100).first()
     ma, vol = pdf["Risk_Score"].rolling(90).mean(), pdf["Risk_Score"].rolling(90).std()
     assert got["avg_rolling_volatility"] == pytest.approx(vol.mean()) and got["model_drift"] == pytest.approx(ma.iloc[-1] - ma.iloc[90])
+
+
+def test_histogram_computes_its_values_once(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.aggregates import histogram
+
+    df = spark.createDataFrame([("a" * n,) for n in range(6)] + [(None,)], "t string")
+    out = histogram(df.withColumn("v", F.regexp_count("t", F.lit("a")) / 2.0 - 0.5), "v", 0.0, 1.5, 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp") == 1
+    assert sorted(map(tuple, out.collect())) == [(0, 1), (1, 1), (2, 2)]
