@@ -169,8 +169,11 @@ def header_sections(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def keywords(df: DataFrame, key: str, text: str, top: int = TOP_KEYWORDS) -> DataFrame:
-    """Most frequent words of each text: over 3 characters, no stop words; ties by first place."""
-    words = df.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))).alias("place", "word"))
+    """Most frequent words of each text: over 3 characters, no stop words; ties by first place.
+
+    The texts are shuffled once, by key; counting and ranking their words follow in place.
+    """
+    words = df.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))).alias("place", "word"))
     words = words.where((F.length("word") > 3) & ~F.col("word").isin(STOP_WORDS))
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "first_place")

@@ -109,3 +109,14 @@ def test_histogram_computes_its_values_once(spark):
     out = histogram(df.withColumn("v", F.regexp_count("t", F.lit("a")) / 2.0 - 0.5), "v", 0.0, 1.5, 3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp") == 1
     assert sorted(map(tuple, out.collect())) == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_keywords_shuffle_the_texts_once(spark):
+    from riskloom.functions.text import keywords
+
+    df = spark.createDataFrame([(1, "beta alpha beta xx"), (1, "beta alpha"), (2, None), (3, "gamma")], "doc_id int, t string")
+    out = keywords(df, "doc_id", "t")
+    rows = sorted(map(tuple, out.collect()))
+    assert rows == [(1, "alpha", 2, 2), (1, "beta", 3, 1), (3, "gamma", 1, 1)]
+    plan = keywords(df, "doc_id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
