@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
@@ -20,13 +21,16 @@ from riskloom.operators.aggregates import longform
 from riskloom.operators.clean import clear_infinities, drop_sparse_columns, median_fill, select_features, valid_targets
 from riskloom.operators.nested import NestedSearch
 from riskloom.operators.stats import hash_uniform, likelihood_ratio
-from riskloom.session import checkpoint
+from riskloom.session import checkpoint, side_by_side
 
 # Ensemble rules.
 FLOOR_WEIGHT = 1e-3
 MIN_REGIME_ROWS = 30
 MIN_REGIME_SHARE = 0.05
 SPARSE_LIMIT = 0.3
+# Rows a slice of the training table holds.
+FEWEST_IN_SLICE = 4_000
+MOST_IN_SLICE = 200_000
 
 
 def modelling_matrix(df: DataFrame, target: str, features: Sequence[str] | None = None, carry: Sequence[str] = ("Symbol", "Date")) -> tuple[DataFrame, list[str]]:
@@ -200,7 +204,8 @@ def fit_regime_stacks(df: DataFrame, models: Sequence[str], label: str, regime:
     usable = [r[regime] for r in sizes if r["n"] >= max(MIN_REGIME_ROWS, MIN_REGIME_SHARE * n_all) and r["lo"] != r["hi"]]
     rows = assembled(df, models, "_stack")
     fit = LogisticRegression(featuresCol="_stack", labelCol=label, regParam=1e-4, maxIter=50)
-    return {g: fit.fit(rows.where(F.col(regime) == g)) for g in sorted(usable)}
+    usable.sort()
+    return dict(zip(usable, side_by_side([partial(fit.fit, rows.where(F.col(regime) == g)) for g in usable])))
 
 
 def linear_attribution(df: DataFrame, features: Sequence[str], coefficients: Sequence[float], means: Sequence[float]) -> DataFrame:
@@ -214,10 +219,20 @@ def global_attribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
 
 
-def prepare(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Assembled, weighted and split rows, stored once because every fit reads them many times."""
+def slices(n: int, cores: int) -> int:
+    """Number of slices of ``n`` training rows: one a core as long as each has some thousand rows, more of a large table."""
+    return max(1, min(cores, n // FEWEST_IN_SLICE), -(-n // MOST_IN_SLICE))
+
+
+def prepare(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = ("Symbol", "Date")) -> DataFrame:
+    """Assembled, weighted and split rows, stored once because every fit reads them many times.
+
+    They are dealt to even slices by a hash of ``key`` and sorted there: fits use every core, however few rows the shuffles
+    before them had (those are merged to a single task), and the samples trees draw by slice do not follow the layout of ``df``.
+    """
     rows = stratified_split(class_weights(assembled(df, features), label), label)
-    return checkpoint(rows)
+    n = slices(df.count(), df.sparkSession.sparkContext.defaultParallelism)
+    return checkpoint(rows.repartition(n, *key).sortWithinPartitions(*key))
 
 
 def quick_train(rows: DataFrame, label: str, trees: int = 100, boosting_rounds: int = 150, measure: bool = True) -> tuple[dict[str, PipelineModel], DataFrame | None]:
@@ -228,7 +243,8 @@ def quick_train(rows: DataFrame, label: str, trees: int = 100, boosting_rounds:
         "logistic_regression": [scaler(), LogisticRegression(labelCol=label, featuresCol="scaled", weightCol="weight", maxIter=100)],
         "boosted_trees": [GBTClassifier(labelCol=label, maxIter=boosting_rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.9, seed=42)],
     }
-    models = {n: Pipeline(stages=s).fit(train) for n, s in stages.items()}
+    # boosting waits for many small jobs, the forest for a few large ones
+    models = dict(zip(stages, side_by_side([partial(Pipeline(stages=s).fit, train) for s in stages.values()])))
     return models, model_table(score_all(models, test), list(models), label) if measure else None
 
 
@@ -266,13 +282,12 @@ def cross_validated_auc(rows: DataFrame, label: str, estimator, folds: int = 5,
 
 
 def save_models(models: Mapping[str, PipelineModel], thresholds: Mapping[str, float], folder: str, spark) -> None:
-    for name, m in models.items():
-        m.write().overwrite().save(f"{folder}/models/{name}")
+    side_by_side([partial(m.write().overwrite().save, f"{folder}/models/{name}") for name, m in models.items()])
     spark.createDataFrame([(k, float(v)) for k, v in thresholds.items()], "model string, threshold double").write.mode("overwrite").parquet(f"{folder}/thresholds")
 
 
 def load_models(folder: str, names: Sequence[str], spark) -> tuple[dict[str, PipelineModel], dict[str, float]]:
-    models = {n: PipelineModel.load(f"{folder}/models/{n}") for n in names}
+    models = dict(zip(names, side_by_side([partial(PipelineModel.load, f"{folder}/models/{n}") for n in names])))
     return models, {r["model"]: r["threshold"] for r in spark.read.parquet(f"{folder}/thresholds").collect()}
 
 

@@ -20,6 +20,7 @@ from riskloom.functions.quantiles import exact_quantiles
 from riskloom.functions.series import SYMBOL_DAY, Series
 from riskloom.operators import evaluation as ev
 from riskloom.operators.models import FLOOR_WEIGHT, fit_regime_stacks, normalised, regime_weights
+from riskloom.session import side_by_side
 
 # Fixed values.
 LOW, HIGH, UNKNOWN = "low_volatility", "high_volatility", "moderate_volatility"
@@ -126,11 +127,15 @@ class RegimeEnsemble(Estimator, _Saved, _Ensemble):
     def _fit(self, df: DataFrame) -> RegimeEnsembleModel:
         names, label, regime = self.getOrDefault(self.models), self.getOrDefault(self.label), self.getOrDefault(self.regime)
         long = df.select(label, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in names])).alias("x")).select(label, "x.*")
-        overall = {r["model"]: r["auc"] for r in ev.auc(long, "p", label, ["model"]).collect()}
+        # a row per model, a row per regime, a model per regime
+        aucs, weights, fitted = side_by_side([
+            lambda: ev.auc(long, "p", label, ["model"]).collect(),
+            lambda: regime_weights(df.where(F.col(regime).isNotNull()), names, label, regime).collect(),
+            lambda: fit_regime_stacks(df, names, label, regime) if self.getOrDefault(self.stacks) else {},
+        ])
+        overall = {r["model"]: r["auc"] for r in aucs}
         default = normalised({m: max(0.5 if overall.get(m) is None else overall[m], FLOOR_WEIGHT) for m in names})
-        # a row per regime
-        regimes = {r[regime]: {m: r[f"w_{m}"] for m in names} for r in regime_weights(df.where(F.col(regime).isNotNull()), names, label, regime).collect()}
-        fitted = fit_regime_stacks(df, names, label, regime) if self.getOrDefault(self.stacks) else {}
+        regimes = {r[regime]: {m: r[f"w_{m}"] for m in names} for r in weights}
         stacks = {g: {"coefficients": dict(zip(names, map(float, m.coefficients))), "intercept": float(m.intercept)} for g, m in fitted.items()}
         state = {"default": default, "regimes": regimes, "stacks": stacks}
         return RegimeEnsembleModel(state=json.dumps(state), models=list(names), regime=regime, output=self.getOrDefault(self.output))
@@ -161,10 +166,9 @@ class Thresholds(Estimator, _Saved, _Flags):
 
     def _fit(self, df: DataFrame) -> ThresholdsModel:
         names, label = self.getOrDefault(self.columns), self.getOrDefault(self.label)
-        cuts = {}
-        for c in names:  # a handful of columns, a row of 181 grid points each
-            best = ev.best_threshold(df, self.getOrDefault(self.beta), c, label).first()
-            cuts[c] = 0.5 if best is None or best["threshold"] is None else float(best["threshold"])
+        # a handful of columns, a row of 181 grid points each
+        best = side_by_side([ev.best_threshold(df, self.getOrDefault(self.beta), c, label).first for c in names])
+        cuts = {c: 0.5 if b is None or b["threshold"] is None else float(b["threshold"]) for c, b in zip(names, best)}
         return ThresholdsModel(state=json.dumps(cuts), columns=list(names))
 
 

@@ -44,6 +44,12 @@ def training_rows(spark, d):
     return md.prepare(rows, features, "Risk_Label")
 
 
+def training_rows_with_volatility(spark, d):
+    """The volatility is taken over whole series, before the rows are stored for the fits."""
+    rows, features = matrix(spark, d)
+    return md.prepare(st.with_volatility(rows), features, "Risk_Label")
+
+
 def scaled_rows(spark, d):
     rows = training_rows(spark, d)
     return checkpoint(md.scaler().fit(rows.where(~F.col("is_test"))).transform(rows))
@@ -200,7 +206,7 @@ def i13(spark, d):
 
 def trained(spark, d, folder):
     """Three models, regime cuts, weights, stacks and thresholds of the training part in one saved pipeline; the test part."""
-    rows = st.with_volatility(training_rows(spark, d))
+    rows = training_rows_with_volatility(spark, d)
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     models, _ = md.quick_train(train.withColumn("is_test", F.lit(False)), "Risk_Label", measure=False)
     scores = checkpoint(md.score_all(models, train))
@@ -238,7 +244,7 @@ def i17(spark, d):
 @query("i18_save_and_load")
 def i18(spark, d):
     """Rows of the test part on which loaded models and loaded state differ from those that were fitted: none."""
-    rows = st.with_volatility(training_rows(spark, d))
+    rows = training_rows_with_volatility(spark, d)
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     models, _ = md.quick_train(train.withColumn("is_test", F.lit(False)), "Risk_Label", measure=False)
     state = st.scoring_pipeline(list(models), "Risk_Label", stacks=True).fit(checkpoint(md.score_all(models, train)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def side_by_side(calls: Sequence[Callable[[], object]], most: int = 8) -> list:
+    """Results of independent calls in their order. Each waits for Spark jobs of its own, many of them short, so their waits overlap."""
+    if not calls:
+        return []
+    with ThreadPoolExecutor(min(most, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
