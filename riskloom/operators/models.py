@@ -21,16 +21,13 @@ from riskloom.operators.aggregates import longform
 from riskloom.operators.clean import clear_infinities, drop_sparse_columns, median_fill, select_features, valid_targets
 from riskloom.operators.nested import NestedSearch
 from riskloom.operators.stats import hash_uniform, likelihood_ratio
-from riskloom.session import checkpoint, side_by_side
+from riskloom.session import checkpoint, side_by_side, slices
 
 # Ensemble rules.
 FLOOR_WEIGHT = 1e-3
 MIN_REGIME_ROWS = 30
 MIN_REGIME_SHARE = 0.05
 SPARSE_LIMIT = 0.3
-# Rows a slice of the training table holds.
-FEWEST_IN_SLICE = 4_000
-MOST_IN_SLICE = 200_000
 
 
 def modelling_matrix(df: DataFrame, target: str, features: Sequence[str] | None = None, carry: Sequence[str] = ("Symbol", "Date")) -> tuple[DataFrame, list[str]]:
@@ -219,11 +216,6 @@ def global_attribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
 
 
-def slices(n: int, cores: int) -> int:
-    """Number of slices of ``n`` training rows: one a core as long as each has some thousand rows, more of a large table."""
-    return max(1, min(cores, n // FEWEST_IN_SLICE), -(-n // MOST_IN_SLICE))
-
-
 def prepare(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = ("Symbol", "Date")) -> DataFrame:
     """Assembled, weighted and split rows, stored once because every fit reads them many times.
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
-from riskloom.session import checkpoint
+from riskloom.session import checkpoint, side_by_side, slices
 
 
 def first_trees(model, n: int):
@@ -72,6 +72,9 @@ class NestedSearch:
 
     Folds follow from a hash of ``key``, so layout and retries do not change them. A fold whose rows have a single class has no AUC and does
     not count. Ties go to the earlier setting, then to the smaller ensemble. The best setting is fitted again on all rows.
+
+    A fit is a chain of short jobs, so up to ``parallelism`` fits (default: one a core) go beside each other and share the cores: their rows
+    are stored in as few slices as leave none idle, as each slice is a task of every job. A large table keeps slices of bounded size.
     """
 
     estimator: object
@@ -81,23 +84,25 @@ class NestedSearch:
     grid: Mapping[str, Sequence] = field(default_factory=dict)
     folds: int = 3
     key: Sequence[str] = ("Symbol", "Date")
-    parallelism: int = 4
+    parallelism: int | None = None
 
     def fit(self, rows: DataFrame) -> Searched:
         sizes = sorted(set(self.sizes))
         settings = [dict(zip(self.grid, v)) for v in itertools.product(*self.grid.values())]
-        placed = checkpoint(rows.withColumn("_fold", ev.hash_fold(self.key, self.folds)))
+        tasks = list(itertools.product(range(len(settings)), range(self.folds)))
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        together = min(len(tasks), self.parallelism or cores)
+        placed = rows.withColumn("_fold", ev.hash_fold(self.key, self.folds)).coalesce(slices(rows.count(), -(-cores // together)))
+        placed = checkpoint(placed)
 
-        def one(task: tuple[int, int]) -> list[tuple[int, int, float | None]]:
-            k, fold = task
+        def one(k: int, fold: int) -> list[tuple[int, int, float | None]]:
             model = self._with(settings[k], sizes[-1]).fit(placed.where(F.col("_fold") != fold))
             scored = prefix_scores(model, placed.where(F.col("_fold") == fold), sizes, [self.label])
             by_size = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.col(f"p{n}").alias("p")) for n in sizes])).alias("x")
             table = ev.auc(checkpoint(scored.select(self.label, by_size).select(self.label, "x.*")), "p", self.label, ["size"])
             return [(k, r["size"], r["auc"]) for r in table.collect()]  # one row per size
 
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            results = list(itertools.chain.from_iterable(pool.map(one, itertools.product(range(len(settings)), range(self.folds)))))
+        results = list(itertools.chain.from_iterable(side_by_side([partial(one, *t) for t in tasks], together)))
         metrics = []
         for k, n in itertools.product(range(len(settings)), sizes):
             values = [a for s, m, a in results if (s, m) == (k, n) and a is not None]

@@ -81,6 +81,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+# Rows a slice of a table that is read many times holds.
+FEWEST_IN_SLICE = 4_000
+MOST_IN_SLICE = 200_000
+
+
+def slices(n: int, cores: int) -> int:
+    """Number of slices of ``n`` training rows: one a core as long as each has some thousand rows, more of a large table."""
+    return max(1, min(cores, n // FEWEST_IN_SLICE), -(-n // MOST_IN_SLICE))
+
+
 def side_by_side(calls: Sequence[Callable[[], object]], most: int = 8) -> list:
     """Results of independent calls in their order. Each waits for Spark jobs of its own, many of them short, so their waits overlap."""
     if not calls:

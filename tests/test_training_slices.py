@@ -26,3 +26,13 @@ def test_side_by_side_keeps_order_and_errors():
     assert side_by_side([lambda i=i: i * i for i in range(20)]) == [i * i for i in range(20)] and side_by_side([]) == []
     with pytest.raises(ZeroDivisionError):
         side_by_side([lambda: 1, lambda: 1 / 0])
+
+
+def test_search_deals_a_small_table_to_few_slices(spark, monkeypatch):
+    from riskloom.operators import nested
+
+    stored, plain = [], nested.checkpoint
+    monkeypatch.setattr(nested, "checkpoint", lambda df: stored.append(df.rdd.getNumPartitions()) or plain(df))
+    rows = spark.range(400).select("id", F.rand(1).alias("x"), (F.col("id") % 2).cast("int").alias("y"), F.lit(1.0).alias("weight")).repartition(6)
+    md.boosted_trees("y", rounds=(1, 2), depths=(1,), rates=(0.1,), folds=2, key=["id"]).fit(md.assembled(rows, ["x"]))
+    assert stored[0] == 1
