@@ -15,6 +15,7 @@ from riskloom.plans.fixtures import (
 )
 from riskloom.plans.join_queries import LATEST_FILING, NEWS_JOIN, news_panel
 from riskloom.plans.registry import query
+from riskloom.session import checkpoint
 
 KEY = ["Symbol", "Date"]
 
@@ -75,8 +76,13 @@ def g19(spark, d):
 
 
 def enhanced_chain(spark, d):
-    """The full enhanced feature chain: tone, technical, regime and market features, then the score."""
-    p = cross_panel(spark, d)
+    """The full enhanced feature chain: tone, technical, regime and market features, then the score.
+
+    The joined panel is stored before the chain, which reads it twice (rows and day means): trades and texts are read once. Series are
+    dealt to tasks by hand, as their bytes are few and their windows costly: left to the planner they are merged to one task.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    p = checkpoint(cross_panel(spark, d)).repartition(tasks, "Symbol")
     p = sc.weighted_tone(p, "news_sentiment_mean", "mda_sentiment")
     p = ind.tone_momentum(p, "news_sentiment_mean")
     p = ind.tone_spread(p, "news_sentiment_mean")

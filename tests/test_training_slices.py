@@ -36,3 +36,13 @@ def test_search_deals_a_small_table_to_few_slices(spark, monkeypatch):
     rows = spark.range(400).select("id", F.rand(1).alias("x"), (F.col("id") % 2).cast("int").alias("y"), F.lit(1.0).alias("weight")).repartition(6)
     md.boosted_trees("y", rounds=(1, 2), depths=(1,), rates=(0.1,), folds=2, key=["id"]).fit(md.assembled(rows, ["x"]))
     assert stored[0] == 1
+
+
+def test_enhanced_chain_reads_trades_and_texts_once(spark, monkeypatch):
+    from riskloom.plans import scoring_queries as sq
+
+    read, plain = [], sq.ind.relative_tone
+    monkeypatch.setattr(sq.ind, "relative_tone", lambda df, *a: read.append((df.inputFiles(), df.rdd.getNumPartitions())) or plain(df, *a))
+    sq.enhanced_chain(spark, "/root/testdata/sf0.001")
+    files, tasks = read[0]
+    assert files and not any("lineitem" in f or "documents" in f for f in files) and tasks >= 8
