@@ -129,6 +129,19 @@ def prepared(text: str) -> bytes:
     return (SPACE + text.replace(" ", SPACE)).encode("utf-8", "surrogatepass") if text else b""
 
 
+UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def units(text: str) -> list[str]:
+    """A prepared text up to the next white space each time, without the escape sign in front. Chunks lie within units: none has white space
+    behind another character."""
+    if not text:
+        return []
+    if SPACE + SPACE in text or text.endswith(SPACE):
+        return [u[1:] for u in UNIT.findall(text)]
+    return text[1:].split(SPACE)
+
+
 def merged(length: int, edges: list[int]) -> list[int]:
     """Edges of the final segmentation of a long chunk: the same rule with a heap. Edges are packed (see ``encoded_chunks``)."""
     import heapq
@@ -281,17 +294,21 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     start = lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(0x1FFFFF))
     size = lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63))
     one = lambda x: x.bitwiseAND(F.lit(UNKNOWN)).cast("int")
+    if not pieces.unigram:  # with the boundaries from its start to its end and those at its ends, as bits; of use up to ``MASK``
+        first, bits = F.greatest(F.col("s") - 1, F.lit(0)), lambda k: F.expr(f"shiftleft({k}L, n)")
+        edge = F.struct(edge.alias("edge"), F.call_function("shiftleft", bits(2) - 1, first).alias("all"), F.call_function("shiftleft", bits(1) + 1, first).alias("ends"))
+    packed = (lambda x: x) if pieces.unigram else (lambda x: x["edge"])
     lattice = found.select("chunk", edge.alias("edge")).groupBy("chunk").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     if pieces.unigram:
         holes = F.filter(F.sequence(F.lit(0), F.length("chunk") - 1), lambda i: ~F.exists("edges", lambda x: (size(x) == 1) & (start(x) == i)))
         lattice = lattice.withColumn("edges", F.when(long_run, F.col("edges")).otherwise(F.concat("edges", F.transform(holes, lambda i: i.cast("long") * two(26) + F.lit((1 << 20) | UNKNOWN)))))
         short, kept = F.length("chunk") <= 400, _viterbi_fold(pieces, start, size)
     else:
-        short, kept = F.length("chunk") <= MASK, _merge_fold()
+        short, kept = F.length("chunk") <= MASK, _merge_fold(pieces)
         for pair in pieces.tied_pairs:  # pieces of equal rank grow from the left as they are found: the heap does that
             short &= ~F.contains("chunk", F.lit(pair))
     middle = ~short & ~long_run
-    path = F.when(short, kept).when(middle, _long_path(pieces)(F.when(middle, F.length("chunk")), F.when(middle, F.col("edges"))))
+    path = F.when(short, kept).when(middle, _long_path(pieces)(F.when(middle, F.length("chunk")), F.when(middle, F.transform("edges", packed))))
     by_start = F.sort_array(F.transform(path, lambda x: x.bitwiseAND(F.lit((1 << 47) - 1))))
     byte_ids, singles = listed(pieces.byte_ids).cast("array<int>"), listed(pieces.singles).cast("array<int>")
     space = dict(zip(pieces.pieces, pieces.ids)).get(SPACE, UNKNOWN)
@@ -299,27 +316,27 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     known = lambda x: F.when(one(x) != UNKNOWN, one(x)).when(char(x) == SPACE, F.lit(space)).when(F.ascii(char(x)) < SIMPLE, F.element_at(singles, F.ascii(char(x)) + 1)).otherwise(F.lit(UNKNOWN))
 
     def spelled(x: Column) -> Column:
-        own = F.filter("edges", lambda e: (size(e) == 1) & (start(e) == start(x)) & (one(e) != UNKNOWN))
+        own = F.filter("edges", lambda e: (size(packed(e)) == 1) & (start(packed(e)) == start(x)) & (one(packed(e)) != UNKNOWN))
         h = F.hex(F.encode(char(x), "UTF-8"))
         as_bytes = F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(known(x) != UNKNOWN, F.array(known(x))).when(F.size(own) > 0, F.transform(own, one)).otherwise(as_bytes)
+        return F.when(known(x) != UNKNOWN, F.array(known(x))).when(F.size(own) > 0, F.transform(own, lambda e: one(packed(e)))).otherwise(as_bytes)
 
-    paths = lattice.select("chunk", "edges", by_start.alias("path")).withColumn("ids", F.transform("path", known))
+    paths = lattice.select("chunk", "edges", by_start.alias("path")).withColumn("ids", F.transform("path", one))
     ids = F.when(~F.array_contains("ids", UNKNOWN), F.col("ids")).otherwise(F.flatten(F.transform("path", spelled)))
     return paths.select("chunk", F.when(~long_run, ids).otherwise(_run_ids(pieces)(F.when(long_run, F.col("chunk")))).alias("ids"))
 
 
-def _merge_fold() -> Column:
+def _merge_fold(pieces: Pieces) -> Column:
     """The set of boundaries is a long; the result are the edges between neighbouring boundaries, and single
-    characters that are left, with the id ``UNKNOWN``."""
-    s, n = "cast(shiftright(x, 26) & 2097151 as int)", "cast(shiftright(x, 20) & 63 as int)"
-    seen = f"(shiftrightunsigned(m, {s}) & (shiftleft(2L, {n}) - 1))"  # boundaries from the edge's start to its end
-    ends = f"(shiftleft(1L, {n}) + 1)"
-    join = f"case when bit_count({seen}) = 3 and ({seen} & {ends}) = {ends} then m - shiftleft({seen} - {ends}, {s}) else m end"
+    characters that are left, with the id ``UNKNOWN`` if the constant array hasn't them."""
+    join = "case when bit_count(m & x.all) = 3 and (m & x.ends) = x.ends then m ^ (m & x.all) ^ x.ends else m end"
     bounds = f"aggregate(edges, shiftleft(1L, length(chunk) + 1) - 1L, (m, x) -> {join})"
-    many = f"filter(edges, x -> {seen} = {ends} and {n} > 1)"
-    single = f"transform(filter(sequence(0, length(chunk) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s)), s -> shiftleft(cast(s as bigint), 26) | {(1 << 20) | UNKNOWN}L)"
-    return F.expr(f"transform(array({bounds}), m -> concat({many}, {single}))[0]")
+    many = f"transform(filter(edges, x -> (m & x.all) = x.ends and (x.edge & {62 << 20}L) > 0), x -> x.edge)"
+    ids = f"cast(split('{','.join(map(str, pieces.singles))}', ',') as array<int>)"
+    char, space = "substring(chunk, s + 1, 1)", dict(zip(pieces.pieces, pieces.ids)).get(SPACE, UNKNOWN)
+    single = f"shiftleft(cast(s as bigint), 26) | {1 << 20}L | coalesce(get({ids}, ascii({char})), if({char} = '{SPACE}', {space}, {UNKNOWN}))"
+    left = f"transform(filter(sequence(0, length(chunk) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s)), s -> {single})"
+    return F.expr(f"transform(array({bounds}), m -> concat({many}, {left}))[0]")
 
 
 def _viterbi_fold(pieces: Pieces, start, size) -> Column:
@@ -365,22 +382,23 @@ def _long_path(pieces: Pieces):
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """``doc_id, n_pieces, ids, text_sha256``, one row per row of ``docs`` (``doc_id, text``).
+    """``doc_id, n_pieces, ids, text_sha256, decoded_sha256``, one row per row of ``docs`` (``doc_id, text``).
 
     The ids are those the model file stands for, without begin and end marks. Null and empty texts have
     no ids; null ids and repeated rows are documents like others; extra columns are not read; empty
     table: no rows. ``text_sha256`` is that of the text (null: empty; the escape sign U+2581 read as a space), to
-    compare with what ``decode`` gives back.
+    compare with ``decoded_sha256``, that of what ``decode`` gives back from the ids.
     """
     n = partitions(docs)
     blocks = in_blocks(docs, F.lit(True), prepared)
-    cut = re.compile(pieces.chunk_pattern())
+    cut, spelled = re.compile(pieces.chunk_pattern()), [bytes.fromhex(x) for x in pieces.texts]
 
     def words(table: pa.Table) -> pa.Table:
         seen: set[bytes] = set()
         for z in table.column("z").to_pylist():
             for data in unpack(z):
-                seen.update(cut.findall(data.decode("utf-8", "surrogatepass")))
+                seen.update(units(data.decode("utf-8", "surrogatepass")))
+        seen = {c for u in seen for c in cut.findall(SPACE + u)}
         rows = by_bucket((c.encode("utf-8", "surrogatepass") if c != "\n" else NEWLINE.encode() for c in seen), n)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "words": pa.array([join_words(w) for _, w in rows], pa.binary())})
 
@@ -411,15 +429,22 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def assemble(table: pa.Table, answers: pa.Table) -> pa.Table:
         import hashlib
+        from array import array
 
-        numbers, rows, doc_ids, shas = Numbers(), [], [], []
+        names, numbers, rows, doc_ids, shas = Numbers(), Numbers(), [], [], []
         for own, z in zip(table.column("ids").to_pylist(), table.column("z").to_pylist()):
             for i, data in zip(own, unpack(z)):
-                text = data.decode("utf-8", "surrogatepass")
-                found = cut.findall(text)
-                rows.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                found = units(data.decode("utf-8", "surrogatepass"))
+                rows.append(np.fromiter(map(names.__getitem__, found), np.int32, len(found)))
                 doc_ids.append(i)
-                shas.append(hashlib.sha256(text[1:].replace(SPACE, " ").encode("utf-8", "surrogatepass")).hexdigest())
+                shas.append(hashlib.sha256(data.replace(SPACE.encode(), b" ")[1:]).hexdigest())
+        inside, many = array("q"), array("q")
+        for u in names:
+            found = cut.findall(SPACE + u)
+            inside.extend(map(numbers.__getitem__, found))
+            many.append(len(found))
+        names.clear()
+        inside, many = np.frombuffer(inside, np.int64), np.frombuffer(many, np.int64)
         by = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("ids").to_pylist(), answers.column("sizes").to_pylist())))
         place, ids, sizes = np.zeros(len(numbers), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         at = 0
@@ -432,16 +457,22 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
         flat, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
         first = (np.cumsum(sizes) - sizes)[place] if at else place
         sizes = sizes[place] if at else place
-        counts, out = [], []
+        # from chunks to units
+        flat = gather(flat, first[inside], sizes[inside])
+        ends = np.r_[0, np.cumsum(sizes[inside])][np.cumsum(many)]
+        first, sizes = np.r_[0, ends[:-1]].astype(np.int64), np.diff(ends, prepend=0)
+        counts, out, backs = [], [], []
         for idx in rows:
             one = gather(flat, first[idx], sizes[idx])
             counts.append(len(one))
             out.append(one)
+            back = b"".join(map(spelled.__getitem__, one.tolist())).replace(SPACE.encode(), b" ").removeprefix(b" ")
+            backs.append(hashlib.sha256(back).hexdigest())
         offsets = np.cumsum([0, *counts])
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(counts, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), "text_sha256": pa.array(shas, pa.string())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(counts, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), "text_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string, decoded_sha256 string")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,21 @@ def test_long_runs_equal_the_library(table):
         assert r["ids"] == library.encode(texts[r["doc_id"]]), texts[r["doc_id"]][:40]
 
 
+def test_units_hold_whole_chunks():
+    """Chunks cut unit by unit are those of the whole text."""
+    cut = re.compile(spieces.Pieces().chunk_pattern())
+    rng = random.Random(8)
+    for text in [t or "" for t in TEXTS] + ["".join(rng.choices("ab.,_9é \n\t▁", k=rng.randint(1, 60))) for _ in range(2000)]:
+        text = spieces.prepared(text).decode()
+        assert [c for u in spieces.units(text) for c in cut.findall(spieces.SPACE + u)] == cut.findall(text), text
+
+
+def test_decoded_hash_is_that_of_decode(table):
+    pieces = spieces.Pieces()
+    for r in spieces.encode(table(TEXTS), pieces).withColumn("back", F.sha2(spieces.decode(F.col("ids"), pieces), 256)).collect():
+        assert r["decoded_sha256"] == r["back"] == r["text_sha256"]
+
+
 def test_run_of_more_than_two_million_characters(table):
     text = "".join(random.Random(6).choices("abcdefgh", k=2_200_000)) + " end"
     library = sentencepiece.SentencePieceProcessor(model_file=spieces.MODEL)
