@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut where no piece reaches across. Each distinct chunk of the corpus is encoded once: its substrings
+Texts are cut between any two characters that no piece has beside each other. Each distinct chunk of the corpus is encoded once: its substrings
 of bounded length are exploded and joined to the piece table, the edges are grouped by chunk and
 folded with Spark's higher-order ``aggregate``. The dictionary then goes back to the documents.
 
@@ -34,6 +34,8 @@ UNKNOWN = (1 << 20) - 1
 """Id of an edge over a character without a piece, or with one still to be looked up."""
 SIMPLE = 0x250
 """Characters below this code point are looked up in a constant array, which plans carry and so is kept short."""
+SLICES = 4
+"""Lattice tasks for each of the other tasks. Grouping sorts all edges of a task, ten to twenty times its chunks, so a task gets few chunks."""
 NEWLINE = "\x00\x01"
 """Stands for a newline inside the packed words, whose separator it is."""
 
@@ -101,9 +103,14 @@ class Pieces:
         tied = set(self.tied)
         return sorted({x[:2] for x, r in zip(self.pieces, self.ranks) if len(x) > 1 and r in tied})
 
+    @property
+    def pairs(self) -> list[str]:
+        """Characters that stand beside each other in some piece. Between two others no merge and no piece reaches across."""
+        return sorted({x[i:i + 2] for x in self.pieces for i in range(len(x) - 1)})
+
     def chunk_pattern(self) -> str:
         """Cuts before white space, around newlines and behind a run of word characters, as far as no piece
-        has such a place inside."""
+        has such a place inside. ``chunker`` cuts there too, and at more places."""
         crossing = {"\n" if "\n" in x else "" for x in self.pieces} - {""}
         inner_space = any(SPACE in x.lstrip(SPACE) for x in self.pieces)
         if crossing or inner_space:
@@ -142,6 +149,48 @@ def units(text: str) -> list[str]:
     return text[1:].split(SPACE)
 
 
+def unit_lists(texts: list[bytes]) -> tuple[list[int], pa.Array]:
+    """``units`` of prepared texts in UTF-8, and the order of the texts they are in: those without runs of white space first, cut by Arrow."""
+    escape = SPACE.encode()
+    runs = [not t or escape + escape in t or t.endswith(escape) for t in texts]
+    plain, others = [i for i, r in enumerate(runs) if not r], [i for i, r in enumerate(runs) if r]
+    cut = pc.split_pattern(pa.array([texts[i][len(escape):] for i in plain], pa.binary()), escape)
+    rest = [[u.encode("utf-8", "surrogatepass") for u in units(texts[i].decode("utf-8", "surrogatepass"))] for i in others]
+    return plain + others, pa.concat_arrays([cut, pa.array(rest, cut.type)])
+
+
+def decoded_units(distinct: pa.Array) -> list[str]:
+    return [u.decode("utf-8", "surrogatepass") for u in distinct.to_pylist()]
+
+
+def chunker(pairs: list[str]):
+    """Cuts units between any two characters that are not in ``pairs``: a function from units (without the escape sign in front) to
+    their chunks in order and to the number of chunks of each unit. All units are cut at once, so no character costs a Python step."""
+    chars = sorted({c for x in pairs for c in x})
+    kind = np.zeros(max(map(ord, chars), default=0) + 2, np.uint16)  # 0: a character in no pair
+    kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    beside = np.zeros((len(chars) + 1,) * 2, bool)
+    for a, b in pairs:
+        beside[kind[ord(a)], kind[ord(b)]] = True
+
+    def cut(units: list[str]) -> tuple[list[str], np.ndarray]:
+        if not units:
+            return [], np.zeros(0, np.int64)
+        text = SPACE + SPACE.join(units)
+        kinds = kind[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(kind) - 1)]
+        first = np.ones(len(kinds), bool)
+        np.logical_not(beside[kinds[:-1], kinds[1:]], out=first[1:])
+        del kinds
+        begins = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
+        first[begins[:-1]] = True  # a unit of white space may precede another
+        starts = np.flatnonzero(first)
+        many = np.diff(np.searchsorted(starts, begins), prepend=0)
+        at = [*starts.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:])], many
+
+    return cut
+
+
 def merged(length: int, edges: list[int]) -> list[int]:
     """Edges of the final segmentation of a long chunk: the same rule with a heap. Edges are packed (see ``encoded_chunks``)."""
     import heapq
@@ -281,7 +330,7 @@ def encoded_chunks(chunks: DataFrame, pieces: Pieces) -> DataFrame:
     empty = spark.createDataFrame([("", 0xFFFF, 0.0, UNKNOWN, 0)], "piece string, rank long, score double, id int, len int")
     table = F.broadcast(pieces.frame(spark).union(empty).select("piece", "rank", "id"))
     # chunks stay where they are from here on: explosion, join, grouping and folds need no other shuffle
-    placed = chunks.repartition(partitions(chunks), "chunk")
+    placed = chunks.repartition(SLICES * partitions(chunks), "chunk")
     least = F.lit(1) if pieces.unigram else F.when(F.col("chunk").rlike(rf"[^\x{{0}}-\x{{{SIMPLE - 1:X}}}{SPACE}]"), 1).otherwise(2)
     long_run = F.length("chunk") > RUN
     starts = placed.select("chunk", least.alias("least"), F.explode(F.sequence(F.lit(0), F.when(long_run, 0).otherwise(F.length("chunk")))).alias("s"))
@@ -391,15 +440,13 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     n = partitions(docs)
     blocks = in_blocks(docs, F.lit(True), prepared)
-    cut, spelled = re.compile(pieces.chunk_pattern()), [bytes.fromhex(x) for x in pieces.texts]
+    pieces.chunk_pattern()  # raises if pieces reach across white space, where documents are cut into units
+    pairs, spelled = pieces.pairs, pa.array([bytes.fromhex(x) for x in pieces.texts], pa.binary())
 
     def words(table: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for z in table.column("z").to_pylist():
-            for data in unpack(z):
-                seen.update(units(data.decode("utf-8", "surrogatepass")))
-        seen = {c for u in seen for c in cut.findall(SPACE + u)}
-        rows = by_bucket((c.encode("utf-8", "surrogatepass") if c != "\n" else NEWLINE.encode() for c in seen), n)
+        found = pa.chunked_array([pc.unique(unit_lists(unpack(z.as_py()))[1].flatten()) for z in table.column("z")], pa.binary())
+        seen = set(chunker(pairs)(decoded_units(found.unique()))[0])
+        rows = by_bucket(map(sendable, seen), n)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "words": pa.array([join_words(w) for _, w in rows], pa.binary())})
 
     sent = blocks.groupBy("block").applyInArrow(words, "bucket int, block int, words binary").repartition(n, "bucket")
@@ -429,29 +476,29 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def assemble(table: pa.Table, answers: pa.Table) -> pa.Table:
         import hashlib
-        from array import array
-
-        names, numbers, rows, doc_ids, shas = Numbers(), Numbers(), [], [], []
-        for own, z in zip(table.column("ids").to_pylist(), table.column("z").to_pylist()):
-            for i, data in zip(own, unpack(z)):
-                found = units(data.decode("utf-8", "surrogatepass"))
-                rows.append(np.fromiter(map(names.__getitem__, found), np.int32, len(found)))
-                doc_ids.append(i)
-                shas.append(hashlib.sha256(data.replace(SPACE.encode(), b" ")[1:]).hexdigest())
-        inside, many = array("q"), array("q")
-        for u in names:
-            found = cut.findall(SPACE + u)
-            inside.extend(map(numbers.__getitem__, found))
-            many.append(len(found))
-        names.clear()
-        inside, many = np.frombuffer(inside, np.int64), np.frombuffer(many, np.int64)
+
+        numbers, lists, sizes, doc_ids, shas = Numbers(), [], [], [], []
+        for own, z in zip(table.column("ids"), table.column("z")):
+            own, texts = own.as_py(), unpack(z.as_py())
+            order, found = unit_lists(texts)
+            lists.append(found.flatten())
+            sizes.append(pc.list_value_length(found).to_numpy())
+            for i in order:
+                doc_ids.append(own[i])
+                shas.append(hashlib.sha256(texts[i].replace(SPACE.encode(), b" ")[1:]).hexdigest())
+        named = pa.chunked_array(lists, pa.binary()).dictionary_encode().combine_chunks()
+        del lists
+        rows = np.split(named.indices.to_numpy(), np.cumsum(np.concatenate(sizes))[:-1])
+        found, many = chunker(pairs)(decoded_units(named.dictionary))
+        inside = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+        del found
         by = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("ids").to_pylist(), answers.column("sizes").to_pylist())))
         place, ids, sizes = np.zeros(len(numbers), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        at = 0
-        for bucket, ws in by_bucket((c.encode("utf-8", "surrogatepass") if c != "\n" else NEWLINE.encode() for c in numbers), n):
-            for w in ws:
-                place[numbers["\n" if w == NEWLINE.encode() else w.decode("utf-8", "surrogatepass")]] = at
-                at += 1
+        number, at = {sendable(c): i for c, i in numbers.items()}, 0
+        numbers.clear()
+        for bucket, ws in by_bucket(number, n):
+            place[np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))] = np.arange(at, at + len(ws))
+            at += len(ws)
             ids.append(stretch(by[bucket][0], np.int32))
             sizes.append(stretch(by[bucket][1], np.int32))
         flat, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
@@ -466,7 +513,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
             one = gather(flat, first[idx], sizes[idx])
             counts.append(len(one))
             out.append(one)
-            back = b"".join(map(spelled.__getitem__, one.tolist())).replace(SPACE.encode(), b" ").removeprefix(b" ")
+            back = spelled_out(spelled, one).replace(SPACE.encode(), b" ").removeprefix(b" ")
             backs.append(hashlib.sha256(back).hexdigest())
         offsets = np.cumsum([0, *counts])
         values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]))
@@ -475,6 +522,18 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string, decoded_sha256 string")
 
 
+def sendable(chunk: str) -> bytes:
+    return chunk.encode("utf-8", "surrogatepass") if chunk != "\n" else NEWLINE.encode()
+
+
+def spelled_out(spelled: pa.Array, ids: np.ndarray) -> bytes:
+    """Bytes of the pieces in a row."""
+    if not len(ids):
+        return b""
+    _, ends, data = spelled.take(pa.array(ids)).buffers()
+    return data[:int(np.frombuffer(ends, np.int32)[len(ids)])].to_pybytes() if data else b""
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Slices of an array, one after the other."""
     if not len(sizes):

@@ -75,6 +75,61 @@ def test_units_hold_whole_chunks():
         assert [c for u in spieces.units(text) for c in cut.findall(spieces.SPACE + u)] == cut.findall(text), text
 
 
+def mixed_texts(seed):
+    rng = random.Random(seed)
+    return [t or "" for t in TEXTS] + ["".join(rng.choices("ab.,_9é字 \n\t▁Q", k=rng.randint(1, 60))) for _ in range(2000)]
+
+
+def test_units_by_arrow_equal_units():
+    texts = [spieces.prepared(t) for t in mixed_texts(9)]
+    order, found = spieces.unit_lists(texts)
+    assert sorted(order) == list(range(len(texts)))
+    for i, units in zip(order, found.to_pylist()):
+        assert [u.decode() for u in units] == spieces.units(texts[i].decode()), texts[i]
+    assert spieces.unit_lists([b""])[1].to_pylist() == [[]]
+
+
+def test_chunks_are_cut_between_characters_no_piece_joins():
+    pieces = spieces.Pieces()
+    coarse, pairs = re.compile(pieces.chunk_pattern()), set(pieces.pairs)
+    units = sorted({u for t in mixed_texts(10) for u in spieces.units(spieces.prepared(t).decode())})
+    chunks, many = spieces.chunker(pieces.pairs)(units)
+    assert sum(many) == len(chunks)
+    at = 0
+    for u, n in zip(units, many):
+        own, at, whole = chunks[at:at + n], at + n, spieces.SPACE + u
+        assert "".join(own) == whole
+        assert all(a[-1] + b[0] not in pairs for a, b in zip(own, own[1:])) and all(c[i:i + 2] in pairs for c in own for i in range(len(c) - 1)), u
+        ends = {sum(map(len, own[:i])) for i in range(len(own))}
+        assert {m.start() for m in coarse.finditer(whole)} <= ends, u
+    assert spieces.chunker(pieces.pairs)([])[0] == []
+
+
+def test_lattice_gets_few_chunks_and_small_tasks(table, monkeypatch):
+    """Numbers are single digits to the model, so the lattice gets digits, not numbers, in more tasks than the other steps have."""
+    seen, encoded = [], spieces.encoded_chunks
+
+    def spy(chunks, pieces):
+        out = encoded(chunks, pieces)
+        seen.append((chunks.count(), out.rdd.getNumPartitions(), spieces.partitions(chunks)))
+        return out
+
+    monkeypatch.setattr(spieces, "encoded_chunks", spy)
+    text = " ".join(map(str, range(3000)))
+    library = sentencepiece.SentencePieceProcessor(model_file=spieces.MODEL)
+    assert spieces.encode(table([text]), spieces.Pieces()).first()["ids"] == library.encode(text)
+    chunks, tasks, others = seen[0]
+    assert chunks <= 11 and tasks == spieces.SLICES * others > others
+
+
+def test_spelled_out_joins_pieces():
+    import pyarrow as pa
+
+    spelled = pa.array([b"", b"ab", "é".encode(), b" "], pa.binary())
+    for ids in ([], [0], [0, 0], [1, 2, 3, 1], [3]):
+        assert spieces.spelled_out(spelled, np.array(ids, np.int32)) == b"".join(spelled[i].as_py() for i in ids)
+
+
 def test_decoded_hash_is_that_of_decode(table):
     pieces = spieces.Pieces()
     for r in spieces.encode(table(TEXTS), pieces).withColumn("back", F.sha2(spieces.decode(F.col("ids"), pieces), 256)).collect():
