@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -159,8 +160,10 @@ def unit_lists(texts: list[bytes]) -> tuple[list[int], pa.Array]:
     return plain + others, pa.concat_arrays([cut, pa.array(rest, cut.type)])
 
 
-def decoded_units(distinct: pa.Array) -> list[str]:
-    return [u.decode("utf-8", "surrogatepass") for u in distinct.to_pylist()]
+def in_slices(distinct: pa.Array, size: int = 40_000) -> Iterator[list[str]]:
+    """Units as strings, some at a time: a block's units and chunks are never all Python strings at once."""
+    for i in range(0, len(distinct), size):
+        yield [u.decode("utf-8", "surrogatepass") for u in distinct.slice(i, size).to_pylist()]
 
 
 def chunker(pairs: list[str]):
@@ -445,7 +448,9 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def words(table: pa.Table) -> pa.Table:
         found = pa.chunked_array([pc.unique(unit_lists(unpack(z.as_py()))[1].flatten()) for z in table.column("z")], pa.binary())
-        seen = set(chunker(pairs)(decoded_units(found.unique()))[0])
+        cut, seen = chunker(pairs), set()
+        for some in in_slices(found.unique()):
+            seen.update(cut(some)[0])
         rows = by_bucket(map(sendable, seen), n)
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "words": pa.array([join_words(w) for _, w in rows], pa.binary())})
 
@@ -489,9 +494,12 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
         named = pa.chunked_array(lists, pa.binary()).dictionary_encode().combine_chunks()
         del lists
         rows = np.split(named.indices.to_numpy(), np.cumsum(np.concatenate(sizes))[:-1])
-        found, many = chunker(pairs)(decoded_units(named.dictionary))
-        inside = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-        del found
+        cut, inside, many = chunker(pairs), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for some in in_slices(named.dictionary):
+            found, each = cut(some)
+            inside.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            many.append(each)
+        inside, many = np.concatenate(inside), np.concatenate(many)
         by = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("ids").to_pylist(), answers.column("sizes").to_pylist())))
         place, ids, sizes = np.zeros(len(numbers), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         number, at = {sendable(c): i for c, i in numbers.items()}, 0
@@ -508,16 +516,16 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
         flat = gather(flat, first[inside], sizes[inside])
         ends = np.r_[0, np.cumsum(sizes[inside])][np.cumsum(many)]
         first, sizes = np.r_[0, ends[:-1]].astype(np.int64), np.diff(ends, prepend=0)
-        counts, out, backs = [], [], []
-        for idx in rows:
+        backs = []
+        values = np.empty(sum(int(sizes[idx].sum()) for idx in rows), np.int32)
+        offsets = np.zeros(len(rows) + 1, np.int64)
+        for k, idx in enumerate(rows):
             one = gather(flat, first[idx], sizes[idx])
-            counts.append(len(one))
-            out.append(one)
+            offsets[k + 1] = offsets[k] + len(one)
+            values[offsets[k]:offsets[k + 1]] = one
             back = spelled_out(spelled, one).replace(SPACE.encode(), b" ").removeprefix(b" ")
             backs.append(hashlib.sha256(back).hexdigest())
-        offsets = np.cumsum([0, *counts])
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *out]))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(counts, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), "text_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_pieces": pa.array(np.diff(offsets)), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), "text_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, n_pieces long, ids array<int>, text_sha256 string, decoded_sha256 string")
 
